@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import mixing, tokenizer
+from folioforge.llm import encoding_repair, mixing, tokenizer
 from folioforge.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.find_damage(table(spark, sf_dir, "pages_in"))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.find_damage(table(spark, sf_dir, "pages_in"), with_text=True)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ def p8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_restored": p1_restored,
         "p7_ids": p7_ids,
         "p8_usage": p8_usage,
         "p8_shares": p8_shares,
