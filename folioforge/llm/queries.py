@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import encoding_repair, mixing, tokenizer
+from folioforge.llm import boilerplate, encoding_repair, mixing, residue, tokenizer
 from folioforge.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.find_damage(table(spark, sf_dir, "pages_in"), with_text=True)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(boilerplate.analyse(table(spark, sf_dir, "pages_in")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
+    return boilerplate.find_boilerplate(p, residue.residue_blocks(p))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -43,6 +52,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_restored": p1_restored,
+        "p2_found": p2_found,
+        "p5_found": p5_found,
         "p7_ids": p7_ids,
         "p8_usage": p8_usage,
         "p8_shares": p8_shares,
