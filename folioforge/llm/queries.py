@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioforge.llm import boilerplate, encoding_repair, mixing, residue, tokenizer
+from folioforge.llm import bodies, boilerplate, encoding_repair, mixing, near_dup, residue, site_lines, tokenizer
 from folioforge.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +25,43 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(boilerplate.analyse(table(spark, sf_dir, "pages_in")))
 
 
+#: TESTDATA.md: three words, 0.7, bodies of at least 50 words.
+PAGE_COPIES = {"size": 3, "least": 0.7, "least_words": 50}
+
+
+def _page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
+    bad = boilerplate.find_boilerplate(p, residue.residue_blocks(p))
+    own = bodies.body_blocks(table(spark, sf_dir, "blocks_in"), bad)
+    return near_dup.near_duplicates(own.select(F.col("page_id").alias("id"), bodies.joined_text().alias("text")), **PAGE_COPIES)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_dup.all_pairs(*_page_links(spark, sf_dir))
+    return pairs.select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(*_page_links(spark, sf_dir)).withColumnRenamed("id", "page_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
     return boilerplate.find_boilerplate(p, residue.residue_blocks(p))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.find_repeated(table(spark, sf_dir, "pages_in"), table(spark, sf_dir, "blocks_in"))
+
+
+def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.sequences(table(spark, sf_dir, "pages_in"), table(spark, sf_dir, "blocks_in"))
+
+
+def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.cleaned_pages(table(spark, sf_dir, "pages_in"), table(spark, sf_dir, "blocks_in"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -53,7 +86,12 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found,
         "p1_restored": p1_restored,
         "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p3_groups": p3_groups,
         "p5_found": p5_found,
+        "p6_found": p6_found,
+        "p6_sequences": p6_sequences,
+        "p6_cleaned": p6_cleaned,
         "p7_ids": p7_ids,
         "p8_usage": p8_usage,
         "p8_shares": p8_shares,
