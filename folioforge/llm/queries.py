@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bodies, boilerplate, encoding_repair, mixing, near_dup, residue, site_lines, tokenizer
-from folioforge.sources import table
+from folioforge.llm import bodies, boilerplate, encoding_repair, mixing, near_dup, reading_level, residue, site_lines, tokenizer
+from folioforge.sources import keep, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,36 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(*_page_links(spark, sf_dir)).withColumnRenamed("id", "page_id")
 
 
+LEAST_LEVEL_WORDS = 60
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reading_level.Grader]:
+    p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
+    odd = residue.residue_blocks(p)
+    whole = residue.residue_pages(p, odd)
+    bad = boilerplate.find_boilerplate(p, odd)
+    english = p.profile.where("lang like 'en%'").select("page_id", "host").dropDuplicates(["page_id"]).join(whole, "page_id", "left_anti")
+    own = bodies.body_blocks(table(spark, sf_dir, "blocks_in").join(english, "page_id", "left_semi"), bad, odd)
+    words = F.aggregate("items", F.lit(0), lambda n, b: n + F.coalesce(b["word_count"], F.lit(0)))
+    own = own.where(words >= LEAST_LEVEL_WORDS).select("page_id", bodies.joined_text().alias("text")).join(english, "page_id")
+    feats = keep(reading_level.body_features(own), "features")
+    return feats, reading_level.train(feats, table(spark, sf_dir, "reading_labels"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_level.levels(*_graded(spark, sf_dir)).select("page_id", "band")
+
+
+def p4_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats, grader = _graded(spark, sf_dir)
+    return reading_level.levels(feats, grader).join(feats.select("page_id", "host"), "page_id")
+
+
+def p4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, grader = _graded(spark, sf_dir)
+    return spark.createDataFrame(grader.report, "fold int, labelled int, right int, years_off double")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
     return boilerplate.find_boilerplate(p, residue.residue_blocks(p))
@@ -88,6 +118,9 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_groups": p3_groups,
+        "p4_found": p4_found,
+        "p4_levels": p4_levels,
+        "p4_quality": p4_quality,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_sequences": p6_sequences,
