@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bodies, boilerplate, encoding_repair, mixing, near_dup, reading_level, residue, site_lines, tokenizer
+from folioforge.llm import bodies, boilerplate, encoding_repair, mixing, near_dup, reading_level, residue, site_lines, subjects, tokenizer
 from folioforge.sources import keep, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,7 @@ PAGE_COPIES = {"size": 3, "least": 0.7, "least_words": 50}
 
 def _page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
-    bad = boilerplate.find_boilerplate(p, residue.residue_blocks(p))
+    bad = keep(boilerplate.find_boilerplate(p, residue.residue_blocks(p)), "boilerplate")
     own = bodies.body_blocks(table(spark, sf_dir, "blocks_in"), bad)
     return near_dup.near_duplicates(own.select(F.col("page_id").alias("id"), bodies.joined_text().alias("text")), **PAGE_COPIES)
 
@@ -52,8 +52,9 @@ def _graded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reading_level.
     p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
     odd = residue.residue_blocks(p)
     whole = residue.residue_pages(p, odd)
-    bad = boilerplate.find_boilerplate(p, odd)
+    bad = keep(boilerplate.find_boilerplate(p, odd), "boilerplate")
     english = p.profile.where("lang like 'en%'").select("page_id", "host").dropDuplicates(["page_id"]).join(whole, "page_id", "left_anti")
+    english = keep(english, "english")
     own = bodies.body_blocks(table(spark, sf_dir, "blocks_in").join(english, "page_id", "left_semi"), bad, odd)
     words = F.aggregate("items", F.lit(0), lambda n, b: n + F.coalesce(b["word_count"], F.lit(0)))
     own = own.where(words >= LEAST_LEVEL_WORDS).select("page_id", bodies.joined_text().alias("text")).join(english, "page_id")
@@ -111,6 +112,24 @@ def p8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(used)
 
 
+def _topics(spark: SparkSession, sf_dir: str) -> tuple[subjects.Corpus, subjects.TopicModel, list[str]]:
+    return subjects.model(*(table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_labels")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(*_topics(spark, sf_dir)).select("doc_id", "subject")
+
+
+def p9_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus, m, _ = _topics(spark, sf_dir)
+    return spark.createDataFrame(subjects.top_terms(corpus, m), "topic int, subject string, rank int, term string, probability double")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subjects.assign(*_topics(spark, sf_dir))
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.avg("share").alias("mean_share"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -129,4 +148,7 @@ def queries() -> dict[str, Query]:
         "p8_usage": p8_usage,
         "p8_shares": p8_shares,
         "p8_curriculum": p8_curriculum,
+        "p9_found": p9_found,
+        "p9_topics": p9_topics,
+        "p9_composition": p9_composition,
     }
