@@ -121,8 +121,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, m, _ = _topics(spark, sf_dir)
-    return spark.createDataFrame(subjects.top_terms(corpus, m), "topic int, subject string, rank int, term string, probability double")
+    corpus, m, names = _topics(spark, sf_dir)
+    return spark.createDataFrame(
+        subjects.top_terms(corpus, m, names), "topic int, language int, subject string, rank int, term string, probability double"
+    )
 
 
 def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from folioforge.sources import keep
 
 COMMON_TOPICS = 4
+#: Prior weight of a labelled document's subjects, and factor for the others (some labels are wrong).
+LABELLED, UNLABELLED = 1.0, 0.1
 PASSES = 8
 INNER = 12
 ALPHA_SUBJECT, ALPHA_COMMON, BETA = 0.05, 0.5, 0.02
@@ -161,10 +163,11 @@ def prepare(documents: DataFrame) -> Corpus:
 
 
 def infer(ids: np.ndarray, lengths: np.ndarray, phi: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(topic proportions of each document, topic posterior of each word)."""
-    n, k = len(lengths), len(alpha)
+    """(topic proportions of each document, topic posterior of each word); ``alpha`` may differ by document."""
+    n, k = len(lengths), alpha.shape[-1]
     doc = np.repeat(np.arange(n), lengths)
-    theta = np.tile(alpha / alpha.sum(), (n, 1))
+    prior = np.broadcast_to(alpha, (n, k))
+    theta = prior / prior.sum(axis=1, keepdims=True)
     like = phi[:, ids].T  # words x topics
     full = np.flatnonzero(lengths)
     starts = np.concatenate(([0], np.cumsum(lengths[full])[:-1])) if len(full) else np.zeros(0, np.int64)
@@ -175,7 +178,7 @@ def infer(ids: np.ndarray, lengths: np.ndarray, phi: np.ndarray, alpha: np.ndarr
         if not len(full):
             break
         sums = np.add.reduceat(post, starts, axis=0)
-        theta[full] = sums + alpha
+        theta[full] = sums + prior[full]
         theta /= theta.sum(axis=1, keepdims=True)
     return theta, post
 
@@ -185,8 +188,18 @@ def _columns(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy())
 
 
+def document_prior(alpha: np.ndarray, labels: list[list[int] | None]) -> np.ndarray:
+    """``alpha`` of each document; a labelled one rather holds its subjects than others."""
+    out = np.tile(alpha, (len(labels), 1))
+    for i, own in enumerate(labels):
+        if own:
+            out[i, : len(alpha) - COMMON_TOPICS] *= UNLABELLED
+            out[i, own] = LABELLED
+    return out
+
+
 def word_statistics(rows: DataFrame, phi: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """Expected uses of each word by each topic, over all documents."""
+    """Expected uses of each word by each topic, over all documents; ``rows`` with ``subjects``."""
     k, v = phi.shape
     names = [f"t{i}" for i in range(k)]
 
@@ -194,15 +207,17 @@ def word_statistics(rows: DataFrame, phi: np.ndarray, alpha: np.ndarray) -> np.n
         stats = np.zeros((v, k))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                ids, lengths = _columns(batch.slice(lo, 512), "words")
-                _, post = infer(ids, lengths, phi, alpha)
+                part = batch.slice(lo, 512)
+                ids, lengths = _columns(part, "words")
+                known = part.column(part.schema.get_field_index("subjects")).to_pylist() if k > COMMON_TOPICS else []
+                _, post = infer(ids, lengths, phi, document_prior(alpha, known) if known else alpha)
                 for t in range(k):
                     stats[:, t] += np.bincount(ids, weights=post[:, t], minlength=v)
         used = np.flatnonzero(stats.sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(stats[used, t]) for t in range(k))], names=["word", *names])
 
     schema = "word int, " + ", ".join(f"{c} double" for c in names)
-    got = rows.select("words").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    got = rows.select("words", "subjects").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     out = np.zeros((v, k))
     at = got.column("word").to_numpy()
     for t, c in enumerate(names):
@@ -210,37 +225,42 @@ def word_statistics(rows: DataFrame, phi: np.ndarray, alpha: np.ndarray) -> np.n
     return out
 
 
-def labelled_counts(corpus: Corpus, labels: DataFrame, subjects: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(uses of each word in documents by subject, in all labelled documents), each document weighing its share."""
-    v, s = len(corpus.words) * corpus.languages, len(subjects)
-    clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects)).dropDuplicates()
-    per_doc = clean.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+def with_labels(corpus: Corpus, labels: DataFrame, subjects: list[str]) -> DataFrame:
+    """``corpus.rows`` with ``subjects``: places of the labelled subjects, null without; kept."""
+    place = F.array_position(F.array(*map(F.lit, subjects)), F.col("subject")) - 1 if subjects else F.lit(None).cast("long")
+    clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects))
+    per_doc = clean.groupBy("doc_id").agg(F.sort_array(F.collect_set(place.cast("int"))).alias("subjects"))
     per_doc = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
-    place = {x: i for i, x in enumerate(subjects)}
+    return keep(corpus.rows.join(per_doc, "doc_id", "left"), "labelled")
+
+
+def labelled_counts(rows: DataFrame, v: int, s: int) -> np.ndarray:
+    """Labelled documents with each word, by subject; a document weighs one over its subjects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.zeros((s, v))
         for batch in batches:
             ids, lengths = _columns(batch, "words")
             ends = np.concatenate(([0], np.cumsum(lengths)))
-            for i, names in enumerate(batch.column(batch.schema.get_field_index("subjects")).to_pylist()):
+            for i, own in enumerate(batch.column(batch.schema.get_field_index("subjects")).to_pylist()):
                 w = np.unique(ids[ends[i] : ends[i + 1]])
-                for x in names:
-                    by[place[x], w] += 1.0 / len(names)
+                for x in own:
+                    by[x, w] += 1.0 / len(own)
         a, b = np.nonzero(by)
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(by[a, b])], names=["s", "w", "n"])
 
-    got = corpus.rows.join(per_doc, "doc_id").select("words", "subjects").mapInArrow(run, "s int, w int, n double").groupBy("s", "w").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.where("subjects is not null").select("words", "subjects").mapInArrow(run, "s int, w int, n double").groupBy("s", "w").agg(F.sum("n").alias("n")).toArrow()
     by = np.zeros((s, v))
     by[got.column("s").to_numpy(), got.column("w").to_numpy()] = got.column("n").to_numpy()
-    return by, by.sum(axis=0)
+    return by
 
 
 class TopicModel(NamedTuple):
     phi: np.ndarray
     alpha: np.ndarray
-    #: Subject of each topic; None for what is common to all.
-    subject: list[str | None]
+    #: Place of the subject of each topic in each language; -1 for what is common to all.
+    subject: np.ndarray
+    languages: int
 
 
 def start(by: np.ndarray, total: np.ndarray, uses: np.ndarray) -> np.ndarray:
@@ -268,14 +288,22 @@ def typical_terms(phi: np.ndarray, uses: np.ndarray) -> np.ndarray:
     return np.argsort(-weight, axis=1, kind="stable")[:, :TOP_TERMS]
 
 
-def map_topics(phi: np.ndarray, by: np.ndarray, uses: np.ndarray, subjects: list[str]) -> list[str | None]:
-    """Subject of each topic by its top terms; the last ``COMMON_TOPICS`` topics have none."""
-    rate = by / np.maximum(by.sum(axis=1, keepdims=True), 1e-9)
-    common = rate.mean(axis=0) + 1e-12
-    out: list[str | None] = [None] * len(phi)
-    for t, top in enumerate(typical_terms(phi, uses)[: len(subjects)]):
-        score = np.log((rate[:, top] + 1e-7) / (common[top] + 1e-7)).mean(axis=1)
-        out[t] = subjects[int(np.argmax(score))]
+def map_topics(phi: np.ndarray, by: np.ndarray, uses: np.ndarray, languages: int) -> np.ndarray:
+    """Subject of each topic in each language: the one whose labelled documents
+    hold most of its top terms there; without such documents, the one it began
+    with.  The last ``COMMON_TOPICS`` topics have none."""
+    s = len(by)
+    out = np.full((len(phi), languages), -1)
+    rate = by / np.maximum(by.sum(axis=0, keepdims=True), 1e-9)
+    size = phi.shape[1] // max(languages, 1)
+    for k in range(languages):
+        block = slice(k * size, (k + 1) * size)
+        tops = typical_terms(phi[:, block], uses[block])
+        for t in range(s):
+            top = tops[t] + k * size
+            seen = by[:, top].sum(axis=0) > 0
+            score = (rate[:, top] * np.minimum(by[:, top].sum(axis=0), 3.0)).sum(axis=1)
+            out[t, k] = int(np.argmax(score)) if seen.any() else t
     return out
 
 
@@ -283,14 +311,15 @@ def fit(corpus: Corpus, labels: DataFrame, subjects: list[str]) -> TopicModel:
     """Variational passes over all documents."""
     s, v = len(subjects), len(corpus.words) * corpus.languages
     alpha = np.array([ALPHA_SUBJECT] * s + [ALPHA_COMMON] * COMMON_TOPICS)
-    if not v:
-        return TopicModel(np.zeros((len(alpha), 0)), alpha, [None] * len(alpha))
-    by, total = labelled_counts(corpus, labels, subjects)
-    uses = word_statistics(corpus.rows, np.full((1, v), 1.0 / v), np.ones(1))[:, 0]
-    phi = per_language(start(by, total, uses), uses, corpus.languages)
+    if not v or not s:
+        return TopicModel(np.full((len(alpha), v), 1.0 / max(v, 1)), alpha, np.full((len(alpha), corpus.languages), -1), corpus.languages)
+    rows = with_labels(corpus, labels, subjects)
+    by = labelled_counts(rows, v, s)
+    uses = word_statistics(rows, np.full((1, v), 1.0 / v), np.ones(1))[:, 0]
+    phi = per_language(start(by, by.sum(axis=0), uses), uses, corpus.languages)
     for _ in range(PASSES):
-        phi = per_language(word_statistics(corpus.rows, phi, alpha).T + BETA, uses, corpus.languages)
-    return TopicModel(phi, alpha, map_topics(phi, by, uses, subjects))
+        phi = per_language(word_statistics(rows, phi, alpha).T + BETA, uses, corpus.languages)
+    return TopicModel(phi, alpha, map_topics(phi, by, uses, corpus.languages), corpus.languages)
 
 
 def sentence_subjects(batch: pa.RecordBatch, m: TopicModel, subjects: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,9 +328,10 @@ def sentence_subjects(batch: pa.RecordBatch, m: TopicModel, subjects: list[str])
     sent_len, sents = _columns(batch, "sentences")
     _, post = infer(ids, lengths, m.phi, m.alpha)
     by = np.zeros((len(ids), len(subjects)))
-    for t, name in enumerate(m.subject):
-        if name is not None:
-            by[:, subjects.index(name)] += post[:, t]
+    language = ids // max(m.phi.shape[1] // max(m.languages, 1), 1)
+    for t in range(len(m.subject) - COMMON_TOPICS):
+        own = m.subject[t][language] if len(ids) else np.zeros(0, np.int64)
+        np.add.at(by, (np.flatnonzero(own >= 0), own[own >= 0]), post[own >= 0, t])
     sentence = np.repeat(np.arange(len(sent_len)), sent_len)
     best = by.argmax(axis=1) if by.shape[1] else np.zeros(len(ids), np.int64)
     bears = by.max(axis=1, initial=0.0) >= LEAST_POSTERIOR if len(ids) else np.zeros(0, bool)
@@ -354,10 +384,14 @@ def model(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> tuple[Co
     return corpus, fit(corpus, labels, subjects), subjects
 
 
-def top_terms(corpus: Corpus, m: TopicModel) -> list[tuple[int, str | None, int, str, float]]:
-    """(topic, subject, rank, term, probability in its language) of the terms that name the topics."""
+def top_terms(corpus: Corpus, m: TopicModel, subjects: list[str]) -> list[tuple[int, int, str | None, int, str, float]]:
+    """(topic, language, subject, rank, term, probability in its language) of the terms that name the topics."""
     out = []
-    for t, top in enumerate(typical_terms(m.phi, m.phi.sum(axis=0)) if m.phi.size else []):
-        for r, w in enumerate(top):
-            out.append((t, m.subject[t], r + 1, corpus.words[w % len(corpus.words)], float(m.phi[t, w])))
+    size = len(corpus.words)
+    for k in range(corpus.languages if size else 0):
+        phi = m.phi[:, k * size : (k + 1) * size]
+        for t, top in enumerate(typical_terms(phi, phi.sum(axis=0))):
+            name = subjects[m.subject[t, k]] if m.subject[t, k] >= 0 else None
+            for r, w in enumerate(top):
+                out.append((t, k, name, r + 1, corpus.words[w], float(phi[t, w])))
     return out
