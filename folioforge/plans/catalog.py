@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.urls import page_host
+from folioforge.plans.shared import SITE, Query
 from folioforge.sources import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetches of each site by status, every fetch once."""
@@ -19,15 +18,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(page_host("page_url").alias("site"), "status").agg(F.count("*").alias("pages"))
 
 
+_MODULES = ("html_plans",)
+
+
 def queries() -> dict[str, Query]:
-    return {"site_status": flagship}
+    found: dict[str, Query] = {"site_status": flagship}
+    for m in _MODULES:
+        found |= import_module(f"folioforge.plans.{m}").QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "site_status": r"""
-        SELECT regexp_replace(regexp_extract(lower(trim(page_url)), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1), '^(?:www\.|m\.)', '') AS site,
-               status, count(*) AS pages
-        FROM (SELECT DISTINCT page_id, page_url, status FROM pages_in) GROUP BY 1, 2
-        """,
+    found = {
+        "site_status": f"SELECT host AS site, status, count(*) AS pages FROM (SELECT DISTINCT page_id, {SITE} AS host, status FROM pages_in) GROUP BY 1, 2"
     }
+    for m in _MODULES:
+        found |= import_module(f"folioforge.plans.{m}").ORACLES
+    return found
