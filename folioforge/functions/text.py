@@ -78,7 +78,7 @@ def sql_syllables(word: str) -> str:
     return (
         f"list_transform([{letters}], lambda l: list_transform([CASE WHEN {cut} THEN left(l, len(l) - 2) ELSE l END], lambda t: "
         f"list_transform([CASE WHEN {groups.format('t')} = 0 THEN {groups.format('l')} ELSE {groups.format('t')} END], "
-        f"n -> CASE WHEN l = '' THEN 0 ELSE greatest(1, CASE WHEN ends_with(t, 'e') AND n > 1 THEN n - 1 ELSE n END) END)[1])[1])[1]"
+        f"lambda n: CASE WHEN l = '' THEN 0 ELSE greatest(1, CASE WHEN ends_with(t, 'e') AND n > 1 THEN n - 1 ELSE n END) END)[1])[1])[1]"
     )
 
 
@@ -116,11 +116,11 @@ def sql_typed_value(c: str) -> str:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """100 times one minus the edit distance over the longer length, of sorted words."""
-    x, y = (F.array_join(F.sort_array(F.split(F.lower(c), " ")), " ") for c in (a, b))
+    """100 times one minus the edit distance over the longer length, of sorted words of ASCII letters and digits."""
+    x, y = (F.array_join(F.sort_array(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""), " ")), " ") for c in (a, b))
     return F.when((x == "") & (y == ""), 100.0).otherwise(100.0 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))))
 
 
 def sql_similarity(a: str, b: str) -> str:
-    x, y = (f"array_to_string(list_sort(string_split(lower({c}), ' ')), ' ')" for c in (a, b))
+    x, y = (f"array_to_string(list_sort(string_split(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'), ' ')), ' ')" for c in (a, b))
     return f"CASE WHEN {x} = '' AND {y} = '' THEN 100.0 ELSE 100.0 * (1 - levenshtein({x}, {y}) / greatest(len({x}), len({y}))) END"
