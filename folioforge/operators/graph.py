@@ -36,3 +36,37 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("component")
     )
+
+
+def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, degree``: ends of edges at each node; a loop counts twice, repeated edges each."""
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    counts = ends.groupBy("node").agg(F.count("*").alias("degree"))
+    return nodes.select("node").join(counts, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """``node, rank`` by a fixed number of power iterations.
+
+    Repeated edges weigh more; edges with an unknown end are left out; the rank
+    of nodes without outgoing edges is spread over all.  Edges are aggregated
+    once; each round is one join and one aggregation, and lineage is cut every
+    few rounds.
+    """
+    nodes = keep(nodes.select("node").dropDuplicates(), "nodes")
+    n = nodes.count()
+    if not n:
+        return nodes.withColumn("rank", F.lit(0.0))
+    known = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    weighed = known.groupBy("src", "dst").agg(F.count("*").alias("w"))
+    out = known.groupBy("src").agg(F.count("*").alias("out"))
+    moves = keep(weighed.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("part")), "moves")
+    sinks = keep(nodes.join(out.select(F.col("src").alias("node")), "node", "left_anti"), "sinks")
+    rank = nodes.withColumn("rank", F.lit(1.0 / n))
+    for i in range(rounds):
+        lost = rank.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        given = moves.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("part") * F.col("rank")).alias("given"))
+        base = (1.0 - damping) / n + damping * lost / n
+        rank = nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        rank = keep(rank, "rank")
+    return rank

@@ -36,7 +36,7 @@ def agent_names(spark: SparkSession, sf_dir: str) -> list[str]:
 
 _LINES = rf"""{A}, r AS (SELECT site, text FROM a WHERE kind = 'robots' AND status = 'present'),
 ln AS (SELECT site, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM r),
-lx AS (SELECT site, CAST(i - 1 AS INTEGER) AS line_no, trim(regexp_replace(regexp_replace(l[i], '^\x{feff}', ''), '#.*$', '')) AS line FROM (SELECT site, l, unnest(range(1, len(l) + 1)) AS i FROM ln)),
+lx AS (SELECT site, CAST(i - 1 AS INTEGER) AS line_no, trim(regexp_replace(regexp_replace(l[i], '^\x{{feff}}', ''), '#.*$', '')) AS line FROM (SELECT site, l, unnest(range(1, len(l) + 1)) AS i FROM ln)),
 lf AS (SELECT site, line_no, lower(trim(regexp_extract(line, '^([^:]*):', 1))) AS field, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) AS value FROM lx WHERE contains(line, ':')),
 lg AS (SELECT *, lag(field) OVER (PARTITION BY site ORDER BY line_no) AS pf FROM lf),
 lh AS (SELECT *, sum(CASE WHEN field = 'user-agent' AND (pf IS NULL OR pf <> 'user-agent') THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY line_no) AS grp FROM lg),
