@@ -30,14 +30,17 @@ INLINE_TAGS = frozenset(
     " html head meta link base title".split()
 )
 
+#: Elements whose content is no markup and not visible.
+RAW_TAGS = frozenset("script style noscript template svg".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"([^<]+)"
+    r"|<(/?[a-zA-Z][a-zA-Z0-9]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
+    r"|<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
+    r"|(<)",
+    re.S,
 )
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 
@@ -74,14 +77,19 @@ def extract_blocks(html: str | None) -> list[HtmlBlock]:
 
     def flush() -> None:
         if buf:
-            text = " ".join(_html.unescape("".join(buf)).split())
+            text = "".join(buf)
+            text = " ".join((_html.unescape(text) if "&" in text else text).split())
             if text:
                 rows.append([text, run_tag, run_heading, run_box, run_sig])
             buf.clear()
 
+    skip = 0  # where the content of a raw element ends
     for m in _TOKEN.finditer(html):
-        text = m["text"]
-        if text is not None:
+        kind = m.lastindex
+        if kind is None or m.start() < skip:
+            continue
+        if kind == 1 or kind == 4:
+            text = m.group()
             if head_buf is not None:
                 head_buf.append(text)
             elif buf:
@@ -90,15 +98,19 @@ def extract_blocks(html: str | None) -> list[HtmlBlock]:
                 buf.append(text)
                 run_tag, run_box, run_sig, run_heading = current, box, sig, heading
             continue
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
+        tag = m.group(2).lower()
+        closing = tag[0] == "/"
+        if closing:
+            tag = tag[1:]
         if tag in INLINE_TAGS:
             if tag == "title":
-                current = "body" if m["close"] else tag
+                current = "body" if closing else tag
+            continue
+        if tag in RAW_TAGS:
+            if not closing:
+                end = _RAW_END[tag].search(html, m.end())
+                skip = end.end() if end else len(html)
             continue
-        closing = m["close"] == "/"
         if tag in BLOCK_TAGS:
             flush()
             current = sig.partition(" ")[0] or "body" if closing else tag
@@ -122,7 +134,7 @@ def extract_blocks(html: str | None) -> list[HtmlBlock]:
             if not closing:
                 if not open_boxes:
                     box_count += 1
-                    c = _CLASS.search(m["attrs"] or "")
+                    c = _CLASS.search(m.group(3) or "")
                     box = box_count
                     sig = f"{tag} {next((g for g in c.groups() if g is not None), '')}" if c else f"{tag} "
                 open_boxes.append((tag, box))
