@@ -18,7 +18,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(page_host("page_url").alias("site"), "status").agg(F.count("*").alias("pages"))
 
 
-_MODULES = ("html_plans", "text_plans", "perimeter_plans", "site_plans", "derived_plans")
+_MODULES = ("html_plans", "text_plans", "perimeter_plans", "site_plans", "derived_plans", "more_plans")
 
 
 def queries() -> dict[str, Query]:

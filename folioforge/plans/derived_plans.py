@@ -280,13 +280,15 @@ def i04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "l04_name_linkage",
-    f"""WITH RECURSIVE x AS (SELECT p_partkey AS id, p_name AS name, p_brand AS block FROM part WHERE p_size <= 25),
+    f"""WITH RECURSIVE x AS (SELECT DISTINCT p_brand || '|' || p_name AS id, p_name AS name, p_brand AS block FROM part),
     e AS (SELECT a.id AS x, b.id AS y FROM x a JOIN x b ON a.block = b.block AND a.id < b.id WHERE {T.sql_similarity('a.name', 'b.name')} >= 80), u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
     r AS (SELECT x, x AS y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x) SELECT x AS node, min(y) AS component FROM r GROUP BY x""",
 )
 def l04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "part").where("p_size <= 25").select("p_partkey", "p_name", "p_brand")
-    a, b = x.select(F.col("p_partkey").alias("src"), F.col("p_name").alias("na"), "p_brand"), x.select(F.col("p_partkey").alias("dst"), F.col("p_name").alias("nb"), "p_brand")
+    """Names of a brand linked by their score: distinct names meet, not the parts that bear them."""
+    name = F.concat("p_brand", F.lit("|"), "p_name").alias("id")
+    x = table(spark, sf_dir, "part").select(name, "p_name", "p_brand").distinct()
+    a, b = x.select(F.col("id").alias("src"), F.col("p_name").alias("na"), "p_brand"), x.select(F.col("id").alias("dst"), F.col("p_name").alias("nb"), "p_brand")
     e = a.join(b, "p_brand").where((F.col("src") < F.col("dst")) & (T.similarity(F.col("na"), F.col("nb")) >= 80))
     return connected_components(e.select("src", "dst"))
 

@@ -144,16 +144,19 @@ def i01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "i12_lookalike_hosts",
-    f"""WITH {P}, d AS (SELECT DISTINCT split_part(host, '.', 1) AS name, host FROM p WHERE host <> '')
-    SELECT a.host AS host_a, b.host AS host_b, levenshtein(a.name, b.name) AS distance FROM d a JOIN d b ON left(a.name, 1) = left(b.name, 1) AND len(a.name) = len(b.name) AND a.host < b.host
-    WHERE levenshtein(a.name, b.name) <= 5""",
+    f"""WITH {P}, d AS (SELECT DISTINCT split_part(host, '.', 1) AS name, host FROM p WHERE host <> ''), q AS (SELECT name, host, i, substr(name, CAST(floor(len(name) * i / 4.0) AS BIGINT) + 1, CAST(floor(len(name) * (i + 1) / 4.0) - floor(len(name) * i / 4.0) AS BIGINT)) AS piece FROM d CROSS JOIN (VALUES (0), (1), (2), (3)) v(i))
+    SELECT DISTINCT a.host AS host_a, b.host AS host_b, levenshtein(a.name, b.name) AS distance FROM q a JOIN q b ON a.i = b.i AND a.piece = b.piece AND len(a.name) = len(b.name) AND a.host < b.host WHERE levenshtein(a.name, b.name) <= 4""",
 )
 def i12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of equal length that agree in a quarter at its place: up to three
+    changed letters leave one quarter as it was, so hosts meet by quarters only."""
     d = pages(spark, sf_dir).where("host <> ''").select(F.split_part("host", F.lit("."), F.lit(1)).alias("name"), "host").distinct()
-    a, b = d.select(F.col("name").alias("na"), F.col("host").alias("host_a")), d.select(F.col("name").alias("nb"), F.col("host").alias("host_b"))
-    near = (F.left("na", F.lit(1)) == F.left("nb", F.lit(1))) & (F.length("na") == F.length("nb")) & (F.col("host_a") < F.col("host_b"))
-    dist = F.levenshtein("na", "nb").cast("bigint")
-    return a.join(b, near).select("host_a", "host_b", dist.alias("distance")).where("distance <= 5")
+    n = F.length("name")
+    cut = lambda i: F.floor(n * i / F.lit(4.0)).cast("int")
+    q = d.withColumn("piece", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.substring("name", cut(i) + 1, cut(i + 1) - cut(i)).alias("t"), n.alias("n")) for i in range(4)))))
+    a, b = q.select("piece", F.col("name").alias("na"), F.col("host").alias("host_a")), q.select("piece", F.col("name").alias("nb"), F.col("host").alias("host_b"))
+    met = a.join(b, "piece").where(F.col("host_a") < F.col("host_b"))
+    return met.select("host_a", "host_b", F.levenshtein("na", "nb").cast("bigint").alias("distance")).where("distance <= 4").distinct()
 
 
 @query(
