@@ -36,7 +36,7 @@ MAX_STATES = 80
 MAX_STEPS = 3
 #: A strict multi-byte decoding hardly succeeds by chance, a single-byte one always does.
 STRICT_COST, LOOSE_COST = 0.1, 0.6
-LEAST_GAIN = {True: 0.3, False: 0.9}
+LEAST_GAIN = {True: 0.1, False: 0.55}
 
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp850", "cp437", "koi8-r", "cp866", "iso8859-2", "cp1254", "mac_cyrillic")
 RIGHT = ("cp1252", "cp1251", "koi8-r", "mac_roman", "cp850", "cp866", "cp1250")
@@ -64,6 +64,12 @@ _TABLES = {c: _tolerant(c) for c in {*WRONG, *RIGHT}}
 _RU = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюя", (8.0, 1.6, 4.5, 1.7, 3.0, 8.5, 0.9, 1.7, 7.4, 1.2, 3.5, 4.4, 3.2, 6.7, 11.0, 2.8, 4.7, 5.5, 6.3, 2.6, 0.3, 1.0, 0.5, 1.4, 0.7, 0.4, 0.04, 1.9, 1.7, 0.3, 0.6, 2.0)))
 _RU_COST = {c: max(0.0, math.log(8.0 / p)) * 0.22 for c, p in _RU.items()}
 _RU_COST["ё"] = 0.25
+#: Frequent pairs of letters in Russian text.
+_RU_PAIRS = frozenset(
+    "ст но то на ен ов ни ра во ко ро по пр ер ре ли го ос ол ал ла не он та те ан ка ва од от ат ет ть ин ом ор ес ти ло ве ел ри ем ки ил да де"
+    " за ак ог об ль ск ит ле ис ми ма мо ас ар ой ый ая ие ия их ых ам ей ся со сь ту ди до жи же из ик им ку мы ну ны ня пе пи ру са се си су ты"
+    " ус ут хо це ци ча че чи ша ше ши ют ят ед ев ег аз ыв ып вы вы ук ив бо бу ба бы ой ви во яя ий йк".split()
+)
 
 #: Letters of French, German, Spanish, Portuguese and Italian beside ASCII.
 _COMMON_LATIN = frozenset("àâäãáçéèêëíîïñóôöõúùûüßœæÀÂÄÃÁÇÉÈÊËÍÎÏÑÓÔÖÕÚÙÛÜŒÆªº")
@@ -94,9 +100,9 @@ def _one(c: str) -> float:
         cost = 0.3
     elif c in "–—’‘“”«»…·©€→›•„\xa0¿¡":
         cost = 0.25
-    elif c in "°±µ№®™×":
+    elif c in "°±µ№®™×£§":
         cost = 0.5
-    elif kind == "Mn" or c == "\xad":
+    elif kind == "Mn" or c == "\xad" or 0xFB00 <= o <= 0xFB06:
         cost = 1.0
     elif c in _COMMON_SIGNS:
         cost = 1.1
@@ -125,6 +131,8 @@ def implausibility(text: str) -> float:
     """Cost of a text; 0 for plain ASCII prose."""
     cost, prev, prev_script, run, inside = 0.0, "", 0, 0, False
     for c in text:
+        if prev in "¿¡" and prev and not c.isalpha():
+            cost += 1.2  # an opening mark that opens nothing
         if inside and c.isalpha() and not prev_script and prev not in "’·–—-\xa0":
             cost += 0.9  # a sign between two letters
         inside = bool(prev_script) and c > "\x7f"
@@ -145,7 +153,11 @@ def implausibility(text: str) -> float:
             if prev_script and s != prev_script:
                 cost += 1.0
             elif prev_script and c.isupper() and prev.islower():
-                cost += 0.9
+                cost += 1.6
+            elif s == 2 and prev_script == 2 and (prev + c).lower() not in _RU_PAIRS:
+                cost += 0.2
+            elif s == 2 and not prev_script:
+                cost += 0.15
             elif prev and prev > "\x7f" and not prev_script and not prev.isspace() and prev not in _OPENING and prev not in "–—’”»…→›•·©№€±":
                 cost += 0.6
             run = run + 1 if s == 1 else 0
@@ -155,7 +167,7 @@ def implausibility(text: str) -> float:
             run = 0
             if prev_script and c not in "’‘–—…»”“«›→·\xa0™®°" and not c.isspace():
                 cost += 0.8  # a sign stuck to a letter before it
-            elif prev in "ÂÃĂ├┬√":
+            elif prev and prev in "ÂÃĂ├┬√":
                 cost += 0.8
         prev, prev_script = c, s
     return cost
@@ -224,11 +236,11 @@ SUSPECT = re.compile(
     "[�\x80-\x84\x86-\x9f]"
     f"|[Â-ÅÎ-ÑâðĂĹĎ][{_TAIL}]"
     f"|[РС][{_TAIL}Ѐ-џ][РС][{_TAIL}Ѐ-џ]"
-    f"|[ВГв][{_TAIL}]"
+    f"|[ВГЕв][{_TAIL}]"
     f"|[√¬][{_MAC_TAIL}]|‚Ä|–[∞-≥ΩΩ∂∏∫π∑]"
     "|[─-╿][^\\s]|[^\\s][─-╿]|ÔÇ"
     "|[a-zß-ÿ][À-ÖØ-Þ‰‡·ˆ˙˚˘¸‹ﬂ§¶¤¨´≠∞≈][a-zß-ÿ]?"
-    "|[‰¸ˆ˙˚˘ﬂ][a-z]"
+    "|[‰¸ˆ˙˚˘ﬂ][a-z]|[¿¡](?:\\s|$)|[a-z]„|[a-z]ı"
     "|[À-ÖØ-öø-ÿ]{3,}"
     "|[а-яё][А-ЯЁ]"
     "|[ÃÂĂ](?![A-Za-zÀ-ſ])|\\s[√ГÃ‡](?:\\s|$)"
@@ -253,20 +265,21 @@ def judge(window: str) -> tuple[str, bool]:
     return got
 
 
-def _mean_ru(text: str) -> float:
-    letters = [_RU_COST.get(c, 1.2) for c in text.lower() if c.isalpha()]
-    return sum(letters) / len(letters) if letters else 0.0
+#: Share of frequent pairs under which Cyrillic words are not Russian as they stand, and the fewest pairs to tell.
+RU_LIMIT, RU_PAIRS_LEAST = 0.34, 4
 
 
-#: Mean letter cost over which Cyrillic words are not Russian as they stand.
-RU_LIMIT = 0.33
+def _hardly_russian(text: str) -> bool:
+    low = text.lower()
+    pairs = [p for p in map("".join, zip(low, low[1:])) if p.isalpha() and "Ѐ" <= p[0] <= "џ" and "Ѐ" <= p[1] <= "џ"]
+    return len(pairs) >= RU_PAIRS_LEAST and sum(p in _RU_PAIRS for p in pairs) < RU_LIMIT * len(pairs)
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """Spans worth a search."""
     for m in _RUN.finditer(text):
         run = m.group()
-        if SUSPECT.search(run) or (any("Ѐ" <= c <= "џ" for c in run) and any(_mean_ru(w.group()) > RU_LIMIT and len(w.group()) > 5 for w in _CYRILLIC_WORDS.finditer(run))):
+        if SUSPECT.search(run) or (any("Ѐ" <= c <= "џ" for c in run) and any(_hardly_russian(w.group()) for w in _CYRILLIC_WORDS.finditer(run))):
             for lo in range(m.start(), m.end(), MAX_WINDOW):
                 yield lo, min(lo + MAX_WINDOW, m.end())
 
