@@ -1,5 +1,5 @@
 """Reading tables and keeping intermediate ones."""
 
-from folioforge.sources.tables import keep, table
+from folioforge.sources.tables import forget, keep, table
 
-__all__ = ["keep", "table"]
+__all__ = ["forget", "keep", "table"]

@@ -30,13 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_KEPT: list[str] = []
+
+
 def keep(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     It cuts lineage, survives the loss of an executor and lets several
-    consumers share one computation.
+    consumers share one computation.  The files stay until :func:`forget`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables kept by this process so far, once their results are
+    written; the number of tables deleted."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _KEPT:
+        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done

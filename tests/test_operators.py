@@ -121,6 +121,14 @@ def test_files(spark, tmp_path):
     assert sorted(r["id"] for r in read_findings(spark, out).collect()) == ["*", "A"]
 
 
+def test_kept_tables_are_forgotten(spark):
+    from folioforge.sources import forget, keep
+
+    kept = keep(spark.range(5), "x")
+    assert kept.count() == 5 and forget(spark) >= 1
+    assert forget(spark) == 0
+
+
 def test_streams(spark, tmp_path):
     rows = "page_id long, page_url string, status string, loaded_at timestamp"
     data = spark.sql("select id % 7 as page_id, concat('https://www.a.example/', id) as page_url, 'present' as status, timestamp'2025-01-01' + make_interval(0, 0, 0, 0, cast(id as int)) as loaded_at from range(40)")
