@@ -1,4 +1,8 @@
-"""Tables extracted from html, one row for each thing found, in page order."""
+"""Tables extracted from html, one row for each thing found, in page order.
+
+Pages may be delivered more than once: rows are made once after extraction, so
+the html itself is never shuffled.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +42,7 @@ def blocks(pages: DataFrame) -> DataFrame:
                     texts.append(b.text)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ords, pa.int32()), pa.array(texts, pa.string())], names=["page_id", "block_ord", "text"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, block_ord int, text string")
+    return pages.select("page_id", "html").mapInArrow(run, "page_id long, block_ord int, text string").dropDuplicates(["page_id", "block_ord"])
 
 
 def headings(pages: DataFrame) -> DataFrame:
@@ -46,7 +50,8 @@ def headings(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", markup.without_hidden(F.col("html")).alias("h"))
     both = F.arrays_zip(all_of(F.col("h"), HEADING, 1).alias("level"), all_of(F.col("h"), HEADING, 2).alias("inner"))
     rows = own.select("page_id", F.posexplode(both).alias("ord", "x"))
-    return rows.select("page_id", "ord", F.col("x.level").cast("int").alias("level"), markup.plain(F.col("x.inner")).alias("text"))
+    rows = rows.select("page_id", "ord", F.col("x.level").cast("int").alias("level"), markup.plain(F.col("x.inner")).alias("text"))
+    return rows.dropDuplicates(["page_id", "ord"])
 
 
 def first_h1(pages: DataFrame) -> DataFrame:
@@ -57,7 +62,7 @@ def first_h1(pages: DataFrame) -> DataFrame:
 def paragraphs(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", markup.without_hidden(F.col("html")).alias("h"))
     rows = own.select("page_id", F.posexplode(all_of(F.col("h"), PARAGRAPH, 1)).alias("ord", "inner"))
-    return rows.select("page_id", "ord", markup.plain(F.col("inner")).alias("text")).where("text <> ''")
+    return rows.select("page_id", "ord", markup.plain(F.col("inner")).alias("text")).where("text <> ''").dropDuplicates(["page_id", "ord"])
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -66,7 +71,7 @@ def links(pages: DataFrame) -> DataFrame:
     both = F.arrays_zip(all_of(F.col("h"), ANCHOR, 1).alias("href"), all_of(F.col("h"), ANCHOR, 2).alias("inner"))
     rows = own.select("page_id", "page_url", F.posexplode(both).alias("ord", "x"))
     rows = rows.select("page_id", "page_url", "ord", F.col("x.href").alias("href"), markup.plain(F.col("x.inner")).alias("anchor"))
-    return rows.withColumn("url", resolve(F.col("href"), F.col("page_url"))).where("url is not null")
+    return rows.withColumn("url", resolve(F.col("href"), F.col("page_url"))).where("url is not null").dropDuplicates(["page_id", "ord"])
 
 
 def title(html: Column) -> Column:
@@ -75,7 +80,7 @@ def title(html: Column) -> Column:
 
 def json_ld(pages: DataFrame) -> DataFrame:
     """``page_id, ord, body`` of structured-data blocks."""
-    return pages.select("page_id", F.posexplode(all_of(F.col("html"), JSON_LD, 1)).alias("ord", "body"))
+    return pages.select("page_id", F.posexplode(all_of(F.col("html"), JSON_LD, 1)).alias("ord", "body")).dropDuplicates(["page_id", "ord"])
 
 
 def json_ld_nodes(pages: DataFrame) -> DataFrame:

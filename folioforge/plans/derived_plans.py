@@ -407,6 +407,6 @@ def g02(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g04(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("html")
     at = n - F.instr(F.reverse("html"), "<a href"[::-1]) - 6
-    return html_pages(spark, sf_dir).where(F.contains("html", F.lit("<a href"))).select("page_id", F.round(at.cast("double") / n, 6).alias("position"))
+    return html_pages(spark, sf_dir).where(F.contains("html", F.lit("<a href"))).select("page_id", F.round(at.cast("double") / n, 6).alias("position")).dropDuplicates(["page_id"])
 
 

@@ -9,6 +9,7 @@ from folioforge.functions import markup
 from folioforge.functions.urls import fork_key, is_about_path, page_host, registrable_domain, template_key, url_path
 from folioforge.operators import html_rows
 from folioforge.plans.shared import P, Query, blocks, pages
+from folioforge.sources import table
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,10 @@ def query(name: str, sql: str | None = None):
 
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir, "html").where("html is not null")
+    """Pages with html as they were delivered, some twice: what is made of them
+    is made once by its keys, which are far smaller than html to shuffle."""
+    df = table(spark, sf_dir, "pages_in").select("page_id", "page_url", "html").where("html is not null")
+    return df.withColumn("host", page_host("page_url"))
 
 
 H = f"{P}, h AS (SELECT * FROM p WHERE html IS NOT NULL)"
@@ -35,12 +39,12 @@ H = f"{P}, h AS (SELECT * FROM p WHERE html IS NOT NULL)"
 
 @query("b01_visible_text", f"WITH {H} SELECT page_id, {markup.sql_visible_text('html')} AS text FROM h")
 def b01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_pages(spark, sf_dir).select("page_id", markup.visible_text(F.col("html")).alias("text"))
+    return html_pages(spark, sf_dir).select("page_id", markup.visible_text(F.col("html")).alias("text")).dropDuplicates(["page_id"])
 
 
 @query("b02_visible_text_raw", f"WITH {H} SELECT page_id, {markup.sql_visible_text('html', raw=True)} AS text FROM h")
 def b02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_pages(spark, sf_dir).select("page_id", markup.visible_text(F.col("html"), raw=True).alias("text"))
+    return html_pages(spark, sf_dir).select("page_id", markup.visible_text(F.col("html"), raw=True).alias("text")).dropDuplicates(["page_id"])
 
 
 @query("b04_blocks", "SELECT DISTINCT page_id, block_ord, text FROM blocks_in")
@@ -124,7 +128,7 @@ def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b18_title", f"WITH {H} SELECT page_id, {markup.sql_plain('regexp_extract(html, ' + markup.sql_string(html_rows.TITLE) + ', 1)')} AS title FROM h")
 def b18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_pages(spark, sf_dir).select("page_id", html_rows.title(F.col("html")).alias("title"))
+    return html_pages(spark, sf_dir).select("page_id", html_rows.title(F.col("html")).alias("title")).dropDuplicates(["page_id"])
 
 
 @query(
@@ -135,7 +139,7 @@ def b18(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b23(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = html_pages(spark, sf_dir).where(F.col("html").rlike("<dt[ >]") & F.col("html").rlike("<dd[ >]"))
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("bigint")
-    return df.select("page_id", n("<dt[ >]").alias("terms"), n("<dd[ >]").alias("definitions"))
+    return df.select("page_id", n("<dt[ >]").alias("terms"), n("<dd[ >]").alias("definitions")).dropDuplicates(["page_id"])
 
 
 @query(
@@ -152,7 +156,7 @@ def b24(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.regexp_extract("head", r'(?i)<meta[^>]*charset="?([A-Za-z0-9-]+)', 1)).alias("charset"),
         F.lower(F.regexp_extract("html", r"""(?i)<html[^>]*lang="?'?([A-Za-z-]+)""", 1)).alias("lang"),
         F.col("head").rlike('(?i)<meta[^>]*name="?robots').alias("has_robots"),
-    )
+    ).dropDuplicates(["page_id"])
 
 
 @query(
@@ -167,7 +171,7 @@ def b20(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = html_pages(spark, sf_dir).select("page_id", markup.without_hidden(F.col("html")).alias("h"))
     both = F.arrays_zip(html_rows.all_of(F.col("h"), pair, 1).alias("t"), html_rows.all_of(F.col("h"), pair, 2).alias("d"))
     rows = own.select("page_id", F.posexplode(both).alias("ord", "x"))
-    return rows.select("page_id", "ord", F.concat(markup.plain(F.col("x.t")), F.lit(": "), markup.plain(F.col("x.d"))).alias("line"))
+    return rows.select("page_id", "ord", F.concat(markup.plain(F.col("x.t")), F.lit(": "), markup.plain(F.col("x.d"))).alias("line")).dropDuplicates(["page_id", "ord"])
 
 
 @query(
@@ -177,7 +181,7 @@ def b20(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def b28(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split(markup.visible_text(F.col("html")), "\n")
-    return html_pages(spark, sf_dir).select("page_id", F.posexplode(lines).alias("line_no", "line"))
+    return html_pages(spark, sf_dir).select("page_id", F.posexplode(lines).alias("line_no", "line")).dropDuplicates(["page_id", "line_no"])
 
 
 # ---- headers and addresses
@@ -267,7 +271,7 @@ _UPATH = _PATH.replace("page_url", "url")
 def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = html_pages(spark, sf_dir)
     about = html_rows.links(own).where(is_about_path(url_path("url"))).select("page_id").distinct()
-    return own.select("host", "page_id").join(about, "page_id", "left_anti").select("host", "page_id")
+    return own.select("host", "page_id").join(about, "page_id", "left_anti").select("host", "page_id").dropDuplicates(["page_id"])
 
 
 _UHOST = r"regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1), '^(?:www\.|m\.)', '')"

@@ -46,7 +46,7 @@ _TAGGED = r"(?is)<(div|li|a|button|p|ul)[ ][^>]*class=[\"']([^\"'>]+)[\"'][^>]*>
 def b09(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = lambda k: html_rows.all_of(F.col("html"), _TAGGED, k)
     both = F.arrays_zip(g(1).alias("t"), g(2).alias("c"), g(3).alias("w"))
-    z = html_pages(spark, sf_dir).select("page_id", F.explode(both).alias("x"))
+    z = html_pages(spark, sf_dir).select("page_id", both.alias("all")).dropDuplicates(["page_id"]).select("page_id", F.explode("all").alias("x"))
     z = z.select("page_id", F.lower("x.t").alias("tag"), F.col("x.c").alias("class"), F.regexp_count("x.w", F.lit(r"[^ \t\r\n]+")).alias("words"))
     out = z.groupBy("tag", "class").agg(F.count("*").alias("instances"), F.countDistinct("page_id").alias("pages"), F.max("words").alias("longest"))
     return out.where("instances >= 6 and longest <= 15")
@@ -60,7 +60,7 @@ def b09(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
     chrome = html_rows.all_of(F.col("html"), r"(?is)<(?:nav|footer|header)(?:[ ][^>]*)?>(.*?)</(?:nav|footer|header)>", 1)
     n = F.aggregate(F.transform(chrome, lambda c: F.regexp_count(c, F.lit("<a "))), F.lit(0), lambda a, b: a + b)
-    return html_pages(spark, sf_dir).select("page_id", F.regexp_count("html", F.lit("<a ")).cast("bigint").alias("anchors"), n.cast("bigint").alias("in_chrome"))
+    return html_pages(spark, sf_dir).select("page_id", F.regexp_count("html", F.lit("<a ")).cast("bigint").alias("anchors"), n.cast("bigint").alias("in_chrome")).dropDuplicates(["page_id"])
 
 
 @query(
@@ -68,7 +68,8 @@ def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""WITH {0}, x AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:a|link)[ ][^>]*href=["'']([^"''>]*)', 1)) AS href FROM h) SELECT href, count(*) AS uses, count(DISTINCT page_id) AS pages FROM x GROUP BY href""".replace("{0}", H),
 )
 def b12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = html_pages(spark, sf_dir).select("page_id", F.explode(html_rows.all_of(F.col("html"), r"""(?i)<(?:a|link)[ ][^>]*href=["']([^"'>]*)""", 1)).alias("href"))
+    hrefs = html_rows.all_of(F.col("html"), r"""(?i)<(?:a|link)[ ][^>]*href=["']([^"'>]*)""", 1)
+    x = html_pages(spark, sf_dir).select("page_id", hrefs.alias("all")).dropDuplicates(["page_id"]).select("page_id", F.explode("all").alias("href"))
     return x.groupBy("href").agg(F.count("*").alias("uses"), F.countDistinct("page_id").alias("pages"))
 
 
@@ -88,7 +89,7 @@ def b15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b17_hydration_blocks", r"""WITH {0} SELECT page_id, regexp_extract(html, '(?i)<div id="(__main|app|root)">', 1) AS mount FROM h WHERE regexp_matches(html, '(?i)<div id="(__main|app|root)">')""".replace("{0}", H))
 def b17(spark: SparkSession, sf_dir: str) -> DataFrame:
     mount = F.regexp_extract("html", '(?i)<div id="(__main|app|root)">', 1)
-    return html_pages(spark, sf_dir).select("page_id", mount.alias("mount")).where("mount <> ''")
+    return html_pages(spark, sf_dir).select("page_id", mount.alias("mount")).where("mount <> ''").dropDuplicates(["page_id"])
 
 
 @query("b19_heading_texts", f"WITH {_HEAD} SELECT lower(text) AS heading, count(*) AS times, count(DISTINCT page_id) AS pages FROM heads WHERE text <> '' GROUP BY 1")
@@ -100,7 +101,7 @@ def b19(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b26_link_marked_text", f"WITH {H}, x AS (SELECT page_id, {markup.sql_visible_text('regexp_replace(html, ' + markup.sql_string('(?i)<a ') + ', ' + markup.sql_string('~<a ') + ', ' + markup.sql_string('g') + ')')} AS t FROM h) SELECT page_id, len(regexp_extract_all(t, '~')) AS marks, len(t) AS chars FROM x")
 def b26(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = markup.visible_text(F.regexp_replace("html", "(?i)<a ", "~<a "))
-    return html_pages(spark, sf_dir).select("page_id", F.regexp_count(t, F.lit("~")).cast("bigint").alias("marks"), F.length(t).cast("bigint").alias("chars"))
+    return html_pages(spark, sf_dir).select("page_id", F.regexp_count(t, F.lit("~")).cast("bigint").alias("marks"), F.length(t).cast("bigint").alias("chars")).dropDuplicates(["page_id"])
 
 
 @query("c16_plain_fragments", f"WITH {_LINKS} SELECT page_id, ord, anchor FROM links WHERE anchor <> '' AND url IS NOT NULL AND regexp_matches(anchor, '[^a-zA-Z ]')")
@@ -284,7 +285,7 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f05_label_lines", f"""WITH {H}, x AS (SELECT page_id, regexp_extract_all(html, '(?is)<dt(?:[ ][^>]*)?>(.*?)</dt>', 1) AS l FROM h) SELECT page_id, len(l) AS labels, len(list_distinct(l)) AS distinct_labels FROM x WHERE len(l) > 0""")
 def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = html_rows.all_of(F.col("html"), "(?is)<dt(?:[ ][^>]*)?>(.*?)</dt>", 1)
-    df = html_pages(spark, sf_dir).select("page_id", x.alias("l")).where(F.size("l") > 0)
+    df = html_pages(spark, sf_dir).select("page_id", x.alias("l")).where(F.size("l") > 0).dropDuplicates(["page_id"])
     return df.select("page_id", F.size("l").cast("bigint").alias("labels"), F.size(F.array_distinct("l")).cast("bigint").alias("distinct_labels"))
 
 
@@ -365,7 +366,7 @@ def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = html_pages(spark, sf_dir)
     n = html_rows.json_ld_nodes(own).where("name is not null").select("page_id", "name")
-    t = own.select("page_id", F.lower(markup.visible_text(F.col("html"))).alias("t"))
+    t = own.select("page_id", F.lower(markup.visible_text(F.col("html"))).alias("t")).dropDuplicates(["page_id"])
     return n.join(t, "page_id").select("page_id", "name", F.contains("t", F.lower("name")).alias("in_text"))
 
 
@@ -376,7 +377,8 @@ def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
     product, fresh = h.rlike("Product"), h.rlike("dateModified|[Aa]s of [0-9]|[Ll]ast updated")
-    return html_pages(spark, sf_dir).groupBy("host").agg(F.count_if(product).alias("products"), F.count_if(product & ~fresh).alias("without"))
+    df = html_pages(spark, sf_dir).select("page_id", "host", product.alias("p"), (product & ~fresh).alias("w")).dropDuplicates(["page_id"])
+    return df.groupBy("host").agg(F.count_if("p").alias("products"), F.count_if("w").alias("without"))
 
 
 @query("k09_pdf_pages", f"""WITH {P}, x AS (SELECT page_id, host, list_filter(map_entries(headers), lambda e: lower(e.key) = 'content-type')[1].value AS ct FROM p) SELECT host, count(*) FILTER (contains(lower(ct), 'pdf')) AS pdfs, count(*) AS pages FROM x GROUP BY host""")

@@ -38,7 +38,8 @@ def query(name: str, sql: str | None = None):
 def h03(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     state = F.when(~html.rlike('(?i)<meta[^>]*name="?viewport'), "missing").when(~html.rlike("(?i)width *= *device-width"), "not responsive").otherwise("fine")
-    return html_pages(spark, sf_dir).groupBy("host", state.alias("state")).agg(F.count("*").alias("pages"))
+    df = html_pages(spark, sf_dir).select("page_id", "host", state.alias("state")).dropDuplicates(["page_id"])
+    return df.groupBy("host", "state").agg(F.count("*").alias("pages"))
 
 
 @query(
@@ -51,13 +52,14 @@ def h05(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = html_pages(spark, sf_dir).withColumn("head", F.regexp_extract("html", "(?is)<head[^>]*>(.*?)</head>", 1))
     sync = F.filter(F.regexp_extract_all("head", F.lit("(?i)<script[^>]*>"), F.lit(0)), lambda t: F.lower(t).contains("src=") & ~F.lower(t).rlike("async|defer"))
     n = lambda p: F.regexp_count("head", F.lit(p))
-    return df.select("page_id", F.size(sync).alias("scripts"), n('(?i)<link[^>]*rel="?stylesheet').alias("sheets"), n("(?i)<style").alias("inline_styles"))
+    return df.select("page_id", F.size(sync).alias("scripts"), n('(?i)<link[^>]*rel="?stylesheet').alias("sheets"), n("(?i)<style").alias("inline_styles")).dropDuplicates(["page_id"])
 
 
 @query("h07_payload", f"WITH {H} SELECT host, max(strlen(html)) AS heaviest, CAST(sum(strlen(html)) AS BIGINT) AS bytes, count(*) FILTER (strlen(html) >= 300000) AS heavy FROM h GROUP BY host")
 def h07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.octet_length("html").cast("bigint")
-    return html_pages(spark, sf_dir).groupBy("host").agg(F.max(n).alias("heaviest"), F.sum(n).alias("bytes"), F.count_if(n >= 300_000).alias("heavy"))
+    n = F.col("n")
+    df = html_pages(spark, sf_dir).select("page_id", "host", F.octet_length("html").cast("bigint").alias("n")).dropDuplicates(["page_id"])
+    return df.groupBy("host").agg(F.max(n).alias("heaviest"), F.sum(n).alias("bytes"), F.count_if(n >= 300_000).alias("heavy"))
 
 
 @query(
@@ -67,7 +69,7 @@ def h07(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = blocks(spark, sf_dir, "word_count").groupBy("page_id").agg(F.sum("word_count").alias("words")).where("words >= 150")
-    bare = html_pages(spark, sf_dir).where(~F.col("html").rlike("(?i)<(?:main|article)[ >]")).select("page_id")
+    bare = html_pages(spark, sf_dir).where(~F.col("html").rlike("(?i)<(?:main|article)[ >]")).select("page_id").distinct()
     return bare.join(w, "page_id")
 
 
@@ -83,26 +85,28 @@ def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = html_pages(spark, sf_dir).where(F.col("html").rlike(_MAIN))
     m = F.length(markup.plain(F.regexp_extract(markup.without_hidden(F.col("html")), _MAIN, 1)))
     t = F.length(markup.visible_text(F.col("html")))
-    return df.select("page_id", m.alias("m"), t.alias("t")).where("t > 0").select("page_id", F.round(F.col("m").cast("double") / F.col("t"), 6).alias("ratio"))
+    df = df.select("page_id", m.alias("m"), t.alias("t")).where("t > 0").dropDuplicates(["page_id"])
+    return df.select("page_id", F.round(F.col("m").cast("double") / F.col("t"), 6).alias("ratio"))
 
 
 @query("b21_main_text", rf"WITH {H}, x AS (SELECT page_id, {markup.sql_plain('regexp_extract(' + markup.sql_without_hidden('html') + ", '" + _MAIN + "', 1)")} AS text FROM h) SELECT * FROM x WHERE text <> ''")
 def b21(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = markup.plain(F.regexp_extract(markup.without_hidden(F.col("html")), _MAIN, 1))
-    return html_pages(spark, sf_dir).select("page_id", m.alias("text")).where("text <> ''")
+    return html_pages(spark, sf_dir).select("page_id", m.alias("text")).where("text <> ''").dropDuplicates(["page_id"])
 
 
 @query("k02_scripts", rf"""WITH {H} SELECT page_id, len(regexp_extract_all(html, '(?i)<script')) AS scripts, len(regexp_extract_all(html, '(?i)<noscript')) AS notices, contains(html, 'self.__next_f.push(') AS hydrated FROM h""")
 def k02(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("bigint")
-    return html_pages(spark, sf_dir).select("page_id", n("(?i)<script").alias("scripts"), n("(?i)<noscript").alias("notices"), F.contains("html", F.lit("self.__next_f.push(")).alias("hydrated"))
+    return html_pages(spark, sf_dir).select("page_id", n("(?i)<script").alias("scripts"), n("(?i)<noscript").alias("notices"), F.contains("html", F.lit("self.__next_f.push(")).alias("hydrated")).dropDuplicates(["page_id"])
 
 
 @query("k07_missing_alt", rf"""WITH {H}, x AS (SELECT page_id, regexp_extract_all(html, '(?i)<img[^>]*>') AS l FROM h) SELECT count(*) AS pages, CAST(sum(len(l)) AS BIGINT) AS images, CAST(sum(len(list_filter(l, lambda t: NOT regexp_matches(t, '(?i)alt *=')))) AS BIGINT) AS without_alt FROM x""")
 def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
     imgs = F.regexp_extract_all("html", F.lit("(?i)<img[^>]*>"), F.lit(0))
     bad = F.filter(imgs, lambda t: ~t.rlike("(?i)alt *="))
-    return html_pages(spark, sf_dir).agg(F.count("*").alias("pages"), F.sum(F.size(imgs)).alias("images"), F.sum(F.size(bad)).alias("without_alt"))
+    df = html_pages(spark, sf_dir).select("page_id", F.size(imgs).alias("i"), F.size(bad).alias("b")).dropDuplicates(["page_id"])
+    return df.agg(F.count("*").alias("pages"), F.sum("i").alias("images"), F.sum("b").alias("without_alt"))
 
 
 @query("j05_skipped_levels", f"WITH {_HEAD}, q AS (SELECT page_id, ord, level, lag(level) OVER (PARTITION BY page_id ORDER BY ord) AS before FROM heads) SELECT page_id, ord, level, before FROM q WHERE level > before + 1")
@@ -120,7 +124,7 @@ def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = html_pages(spark, sf_dir)
     w = blocks(spark, sf_dir, "word_count").groupBy("page_id").agg(F.sum("word_count").alias("words")).where("words >= 300")
     second = html_rows.headings(own).where("level = 2").select("page_id").distinct()
-    return own.where(~F.col("html").rlike("<d[td][ >]")).select("page_id").join(second, "page_id", "left_anti").join(w, "page_id")
+    return own.where(~F.col("html").rlike("<d[td][ >]")).select("page_id").distinct().join(second, "page_id", "left_anti").join(w, "page_id")
 
 
 @query("j10_intent_signals", f"WITH {_HEAD} SELECT page_id, min_by(text, ord) AS first_heading, count(*) AS headings, count(*) FILTER (ends_with(text, '?')) AS questions FROM heads GROUP BY page_id")
@@ -139,7 +143,8 @@ _DATA = r'(?i)application/ld\+json'
 
 @query("i01_structured_data", rf"WITH {H}, x AS (SELECT host, regexp_matches(html, '{_DATA}') AS has_data FROM h) SELECT host, count(*) AS pages, count(*) FILTER (has_data) AS with_data FROM x GROUP BY host")
 def i01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_pages(spark, sf_dir).groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("html").rlike(_DATA)).alias("with_data"))
+    df = html_pages(spark, sf_dir).select("page_id", "host", F.col("html").rlike(_DATA).alias("d")).dropDuplicates(["page_id"])
+    return df.groupBy("host").agg(F.count("*").alias("pages"), F.count_if("d").alias("with_data"))
 
 
 @query(
@@ -168,7 +173,8 @@ def g09(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.lower(url_path("page_url")).rlike("(?:^|[/-])(?:vs|versus|alternatives?|compared-to|comparison)(?:[/-]|$)") | F.lower(
         F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
     ).rlike("what suits you| vs[. ]|versus|compared to|comparison")
-    return html_pages(spark, sf_dir).groupBy("host").agg(F.count("*").alias("pages"), F.count_if(c).alias("comparing")).where("pages >= 5")
+    df = html_pages(spark, sf_dir).select("page_id", "host", c.alias("c")).dropDuplicates(["page_id"])
+    return df.groupBy("host").agg(F.count("*").alias("pages"), F.count_if("c").alias("comparing")).where("pages >= 5")
 
 
 _TARGET = "regexp_replace(regexp_replace(lower(url), '^https?://(?:www[.]|m[.])?', ''), '[?#].*$', '')"
@@ -193,7 +199,7 @@ def h10(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "^https?://(?:www[.]|m[.])?", ""), "[?#].*$", "")
     own = html_pages(spark, sf_dir)
     t = html_rows.links(own).select(norm("url").alias("own")).distinct().withColumn("linked", F.lit(True))
-    k = own.select("page_id", "host", norm("page_url").alias("own")).join(t, "own", "left")
+    k = own.select("page_id", "host", norm("page_url").alias("own")).dropDuplicates(["page_id"]).join(t, "own", "left")
     return k.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("linked").isNull()).alias("orphans")).where("pages >= 5")
 
 
@@ -258,7 +264,7 @@ def l01(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT x AS page_id, min(y) AS component FROM r GROUP BY x""",
 )
 def l05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = html_pages(spark, sf_dir).select("page_id", fork_key(F.col("page_url")).alias("f"), F.sha2("html", 256).alias("c"))
+    k = html_pages(spark, sf_dir).select("page_id", fork_key(F.col("page_url")).alias("f"), F.sha2("html", 256).alias("c")).dropDuplicates(["page_id"])
     least = lambda c: k.select(F.col("page_id").alias("src"), F.min("page_id").over(Window.partitionBy(c)).alias("dst"))
     return connected_components(least("f").unionByName(least("c"))).select(F.col("node").alias("page_id"), "component")
 
@@ -320,8 +326,9 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     keys = ["page_id", "host", "page_url"]
-    first = own.select(*keys, F.explode(by_html).alias("f"))
-    about = html_rows.links(own).where(is_about_path(url_path("url"))).select("page_id").distinct()
+    first = own.select(*keys, by_html.alias("all")).dropDuplicates(["page_id"]).select(*keys, F.explode("all").alias("f"))
+    own = own.select(*keys).dropDuplicates(["page_id"])
+    about = html_rows.links(html_pages(spark, sf_dir)).where(is_about_path(url_path("url"))).select("page_id").distinct()
     second = own.select(*keys).join(about, "page_id", "left_anti").withColumn("f", make("CIT-01-no-about-link", "citability", "medium", "proactive", "medium"))
     leak = blocks(spark, sf_dir, "text").where(F.col("text").rlike(r"\{\{|\$\{|<%|\[\[")).select("page_id").distinct()
     third = own.select(*keys).join(leak, "page_id", "left_semi").withColumn("f", make("CQ-03-template-leakage", "content", "high", "defect", "low"))
