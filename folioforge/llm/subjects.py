@@ -35,7 +35,8 @@ COMMON_TOPICS = 4
 #: Prior weight of a labelled document's subjects, and factor for the others (some labels are wrong).
 LABELLED, UNLABELLED = 1.0, 0.1
 PASSES = 8
-INNER = 12
+#: Rounds within a document, when the topics are fitted and when subjects are assigned.
+INNER_FIT, INNER = 8, 12
 ALPHA_SUBJECT, ALPHA_COMMON, BETA = 0.05, 0.5, 0.02
 RAREST = 20_000
 LEAST_DOCUMENTS = 3
@@ -162,24 +163,23 @@ def prepare(documents: DataFrame) -> Corpus:
     return Corpus(keep(coded, "words"), words, len(languages))
 
 
-def infer(ids: np.ndarray, lengths: np.ndarray, phi: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def infer(ids: np.ndarray, lengths: np.ndarray, phi: np.ndarray, alpha: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
     """(topic proportions of each document, topic posterior of each word); ``alpha`` may differ by document."""
     n, k = len(lengths), alpha.shape[-1]
     doc = np.repeat(np.arange(n), lengths)
-    prior = np.broadcast_to(alpha, (n, k))
+    prior = np.broadcast_to(alpha, (n, k)).astype(np.float32)
     theta = prior / prior.sum(axis=1, keepdims=True)
-    like = phi[:, ids].T  # words x topics
+    like = np.ascontiguousarray(phi.T[ids], dtype=np.float32)  # words x topics
     full = np.flatnonzero(lengths)
     starts = np.concatenate(([0], np.cumsum(lengths[full])[:-1])) if len(full) else np.zeros(0, np.int64)
-    post = np.zeros((len(ids), k))
-    for _ in range(INNER):
-        post = like * theta[doc]
-        post /= post.sum(axis=1, keepdims=True) + 1e-300
-        if not len(full):
-            break
-        sums = np.add.reduceat(post, starts, axis=0)
-        theta[full] = sums + prior[full]
+    tiny = np.float32(1e-30)
+    for _ in range(inner if len(full) else 0):
+        norm = np.einsum("ij,ij->i", like, theta[doc]) + tiny
+        theta[full] *= np.add.reduceat(like / norm[:, None], starts, axis=0)
+        theta[full] += prior[full]
         theta /= theta.sum(axis=1, keepdims=True)
+    post = like * theta[doc]
+    post /= post.sum(axis=1, keepdims=True) + tiny
     return theta, post
 
 
@@ -210,7 +210,7 @@ def word_statistics(rows: DataFrame, phi: np.ndarray, alpha: np.ndarray) -> np.n
                 part = batch.slice(lo, 512)
                 ids, lengths = _columns(part, "words")
                 known = part.column(part.schema.get_field_index("subjects")).to_pylist() if k > COMMON_TOPICS else []
-                _, post = infer(ids, lengths, phi, document_prior(alpha, known) if known else alpha)
+                _, post = infer(ids, lengths, phi, document_prior(alpha, known) if known else alpha, INNER_FIT)
                 for t in range(k):
                     stats[:, t] += np.bincount(ids, weights=post[:, t], minlength=v)
         used = np.flatnonzero(stats.sum(axis=1))
@@ -322,6 +322,11 @@ def fit(corpus: Corpus, labels: DataFrame, subjects: list[str]) -> TopicModel:
     return TopicModel(phi, alpha, map_topics(phi, by, uses, corpus.languages), corpus.languages)
 
 
+def _table(at: np.ndarray, rows: int, columns: int, weights: np.ndarray | None) -> np.ndarray:
+    """Sums of ``weights`` (ones without) at flat places of a table."""
+    return np.bincount(at, weights=weights, minlength=rows * columns).reshape(rows, columns).astype(float)
+
+
 def sentence_subjects(batch: pa.RecordBatch, m: TopicModel, subjects: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, subject, share of its sentences) for each pair that occurs."""
     ids, lengths = _columns(batch, "words")
@@ -331,22 +336,22 @@ def sentence_subjects(batch: pa.RecordBatch, m: TopicModel, subjects: list[str])
     language = ids // max(m.phi.shape[1] // max(m.languages, 1), 1)
     for t in range(len(m.subject) - COMMON_TOPICS):
         own = m.subject[t][language] if len(ids) else np.zeros(0, np.int64)
-        np.add.at(by, (np.flatnonzero(own >= 0), own[own >= 0]), post[own >= 0, t])
+        at = np.flatnonzero(own >= 0)
+        by[at, own[at]] += post[at, t]  # each word once
     sentence = np.repeat(np.arange(len(sent_len)), sent_len)
     best = by.argmax(axis=1) if by.shape[1] else np.zeros(len(ids), np.int64)
     bears = by.max(axis=1, initial=0.0) >= LEAST_POSTERIOR if len(ids) else np.zeros(0, bool)
-    votes = np.zeros((len(sent_len), len(subjects)))
-    np.add.at(votes, (sentence[bears], best[bears]), by[bears, best[bears]])
+    s_count = max(len(subjects), 1)
+    votes = _table(sentence[bears] * s_count + best[bears], len(sent_len), s_count, by[bears, best[bears]] if by.shape[1] else None)
     doc = np.repeat(np.arange(len(sents)), sents)
     # a mention in passing does not outvote what the document is about
-    weight = np.zeros((len(sents), len(subjects)))
-    np.add.at(weight, doc, votes)
+    voted, voted_for = np.nonzero(votes)
+    weight = _table(doc[voted] * s_count + voted_for, len(sents), s_count, votes[voted, voted_for])
     weight /= np.maximum(weight.sum(axis=1, keepdims=True), 1e-9)
     votes *= 0.2 + weight[doc]
     says = votes.max(axis=1, initial=0.0) > 0
     chosen = votes.argmax(axis=1) if votes.shape[1] else np.zeros(len(votes), np.int64)
-    counts = np.zeros((len(sents), len(subjects)))
-    np.add.at(counts, (doc[says], chosen[says]), 1.0)
+    counts = _table(doc[says] * s_count + chosen[says], len(sents), s_count, None)
     real = says | (sent_len >= LEAST_SENTENCE)  # a heading without a subject is no sentence
     share = counts / np.maximum(np.bincount(doc[real], minlength=len(sents)), 1)[:, None]
     d, s = np.nonzero(share)
