@@ -23,6 +23,7 @@ repeated ids count once; texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -232,16 +233,22 @@ def shard_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return rows.select("shard", "side", "cls", "f0", "f1").mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"])
+    return rows.select("shard", "side", "cls", "f0", "f1").mapInArrow(run, "a long, b long")
 
 
-def shards(classes: DataFrame) -> DataFrame:
-    """``shard, side, cls, f0, f1`` of all classes in shards of two or more, none beyond two chunks."""
+def shards(classes: DataFrame) -> list[DataFrame]:
+    """``shard, side, cls, f0, f1`` of all classes in shards of two or more, none beyond two chunks.
+
+    The first table holds the shards of usual size, the second the chunks of
+    the large ones.  Sizes are counted with partial sums, so a hot shard is never
+    whole in one task.
+    """
     rows = classes.select("cls", "f0", "f1", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, "band")
-    one = rows.where(F.col("n") <= CHUNK).select(F.col("band").alias("shard"), F.lit(0).alias("side"), "cls", "f0", "f1")
-    large = rows.where(F.col("n") > CHUNK).withColumn("chunks", F.ceil(F.col("n") / CHUNK)).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+    hot = rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    hot = keep(hot, "hot")
+    usual = rows.join(hot, "band", "left_anti")
+    one = usual.select(F.col("band").alias("shard"), F.lit(0).alias("side"), "cls", "f0", "f1").repartition("shard")
+    large = rows.join(hot, "band").withColumn("chunks", F.ceil(F.col("n") / CHUNK)).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("chunks")))
     # chunk c meets every chunk: itself, those after it as the first side, those before it as the second
     met = large.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     cut = met.select(
@@ -249,14 +256,17 @@ def shards(classes: DataFrame) -> DataFrame:
         F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("side"),
         "cls", "f0", "f1",
     )
-    return one.unionByName(cut).repartition("shard").sortWithinPartitions("shard")
+    return [one.sortWithinPartitions("shard"), cut.repartition("shard").sortWithinPartitions("shard")]
 
 
 def class_links(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(``id, cls`` of all bodies, ``a, b, similarity`` of linked classes); ``sets`` kept."""
+    """(``id, cls`` of all bodies, ``a, b, similarity`` of linked classes); ``sets`` kept, ids distinct."""
     members = sets.select("id", "cls")
-    classes = keep(sets.groupBy("cls").agg(F.min("id").alias("id")).join(sets.drop("cls"), "id"), "classes")
-    near = keep(shard_pairs(shards(classes)), "near")
+    several = members.groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1")
+    copies = members.join(several.select("cls", "first"), "cls").where("id <> first").select("id")
+    # the sets stay where they are: only the ids of copies travel
+    classes = sets.join(copies, "id", "left_anti")
+    near = keep(reduce(DataFrame.unionByName, map(shard_pairs, shards(classes))).dropDuplicates(["a", "b"]), "near")
     # only the sets of classes with a candidate travel
     wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).dropDuplicates(["cls"])
     chosen = classes.select("cls", "shingles").join(wanted, "cls", "left_semi")
@@ -268,9 +278,12 @@ def class_links(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return members, keep(links, "links")
 
 
-def near_duplicates(bodies: DataFrame, size: int = 5, least: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """:func:`class_links` of ``id, text`` rows."""
-    sets = keep(describe(bodies, size, least_words).dropDuplicates(["id"]), "sets")
+def near_duplicates(
+    bodies: DataFrame, size: int = 5, least: float = 0.8, least_words: int = 0, distinct_ids: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`class_links` of ``id, text`` rows; ``distinct_ids`` says that no id comes twice."""
+    own = bodies if distinct_ids else bodies.select("id", "text").dropDuplicates(["id"])
+    sets = keep(describe(own, size, least_words), "sets")
     return class_links(sets, least)
 
 

@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: TESTDATA.md: three words, 0.7, bodies of at least 50 words.
-PAGE_COPIES = {"size": 3, "least": 0.7, "least_words": 50}
+PAGE_COPIES = {"size": 3, "least": 0.7, "least_words": 50, "distinct_ids": True}
 
 
 def _page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
