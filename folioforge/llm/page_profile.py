@@ -23,11 +23,14 @@ from folioforge.functions.html_blocks import extract_blocks
 from folioforge.functions.urls import page_host
 from folioforge.llm import residue_text
 from folioforge.llm.encoding_repair import repair
-from folioforge.llm.simhash import fold_words, hamming, hash_strings, simhash, token_hashes
+from folioforge.llm.simhash import fold_words, hash_strings, token_hashes
 
 MAIN, BYLINE, TITLE, FIELD, MESSAGE_TITLE = 1, 2, 4, 8, 16
-#: Sentences at most so far from a trusted message are kept as nodes of the near-duplicate graph.
-NEAR_SEED = 14
+#: Frequent words of the four languages, last in the order of words, so that they seldom name a slot.
+COMMON = """the of a an and to in is it for on that this with as was are be by at from or not but you your we our they he she
+de la le les des du et un une en à que qui est pour dans sur pas au il elle nous vous ce se
+der die das und ist von zu den dem mit ein eine für auf nicht im es sie wir ich auch
+el los las y del una por con para no su al lo como más""".split()
 #: Lines up to this length are compared as repaired; a longer text hardly depends on its damaged letters.
 REPAIRED_LENGTH = 200
 
@@ -59,7 +62,7 @@ SCHEMA = T.StructType(
                     [
                         T.StructField("block_ord", T.IntegerType()),
                         T.StructField("key", T.LongType()),
-                        T.StructField("simhash", T.LongType()),
+                        T.StructField("slots", T.ArrayType(T.IntegerType(), False)),
                         T.StructField("folded", T.StringType()),
                     ]
                 ),
@@ -70,14 +73,43 @@ SCHEMA = T.StructType(
 )
 
 
+_COMMON_HASHES = hash_strings(pa.array(COMMON))
+_MESSAGE_HASHES = np.unique(token_hashes(fold_words(pa.array(residue_text.MESSAGES)))[0])
+
+
+def prefix_slots(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of all sentences, ends): of n distinct words the first n // 5 + 1 in one order of all words.
+
+    Two sentences that share 0.8 of their words share a slot: each has all but
+    a fifth of its words in common with the other, so the first common word in
+    the order is among the first n // 5 + 1 words of both.  Any order will do;
+    with the words of the messages behind all others, a sentence of a page
+    that has some other words shares no slot with a message.
+    """
+    tier = np.isin(hashes, _MESSAGE_HASHES).astype(np.uint64)
+    tier[np.isin(hashes, _COMMON_HASHES)] = 2
+    order = hashes >> np.uint64(2) | tier << np.uint64(62)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.lexsort((order, owner))
+    order, owner = order[at], owner[at]
+    new = np.ones(len(order), bool)
+    new[1:] = (order[1:] != order[:-1]) | (owner[1:] != owner[:-1])
+    order, owner = order[new], owner[new]
+    count = np.bincount(owner, minlength=len(lengths))
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    take = np.where(count > 0, count // 5 + 1, 0)
+    slots = (order[rank < take[owner]] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+    return slots, np.concatenate(([0], np.cumsum(take)))
+
+
 class Seeds:
-    """Trusted messages with their fingerprints."""
+    """Trusted messages with their slots."""
 
     def __init__(self) -> None:
         folded = fold_words(pa.array(residue_text.MESSAGES))
         self.folded = folded.to_pylist()
-        self.simhash = simhash(*token_hashes(folded))
-        self.keys = hash_strings(folded).astype(np.int64)
+        slots, ends = prefix_slots(*token_hashes(folded))
+        self.slots = [slots[lo:hi].tolist() for lo, hi in zip(ends, ends[1:])]
 
 
 _SEEDS: list[Seeds] = []
@@ -118,17 +150,13 @@ def sentences_of(texts: pa.Array) -> Sentences:
     return Sentences(owner, folded, *token_hashes(folded), whole)
 
 
-def _near(x: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(block, key, fingerprint, words) of the sentences near a trusted message."""
-    s = seeds()
-    prints = simhash(x.hashes, x.lengths)
-    uniq, inv = np.unique(prints, return_inverse=True)
-    close = np.zeros(len(uniq), bool)
-    for lo in range(0, len(uniq), 65536):
-        close[lo : lo + 65536] = (hamming(uniq[lo : lo + 65536, None], s.simhash[None, :]).min(axis=1) <= NEAR_SEED)
-    keep = np.flatnonzero(close[inv] & (x.lengths > 1))
+def _near(x: Sentences) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(block, key, slots, words) of the sentences of several words."""
+    some = x.lengths > 1
+    keep = np.flatnonzero(some)
     words = x.folded.take(pa.array(keep))
-    return x.owner[keep], hash_strings(words).astype(np.int64), prints[keep].astype(np.int64), words
+    slots, ends = prefix_slots(x.hashes[np.repeat(some, x.lengths)], x.lengths[keep])
+    return x.owner[keep], hash_strings(words).astype(np.int64), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(slots)), words
 
 
 def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | None]) -> pa.RecordBatch:
@@ -175,7 +203,7 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
     cut = sentences_of(texts)
     folded, hashes = cut.texts, cut.hashes
     lengths = np.bincount(cut.owner, weights=cut.lengths, minlength=len(texts)).astype(np.int64)
-    owner, key, prints, near_words = _near(cut)
+    owner, key, slots, near_words = _near(cut)
     ends = np.concatenate(([0], np.cumsum(counts)))
     token_ends = np.concatenate(([0], np.cumsum(lengths)))
     near_ends = np.searchsorted(owner, ends)
@@ -187,8 +215,8 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
     token_count = lengths.astype(np.int32)
     langs = [(m[1].lower() if (m := _LANG.search(h[:4000])) else None) for h in htmls]
     struct = pa.StructArray.from_arrays(
-        [pa.array((owner - ends[page_of]).astype(np.int32)), pa.array(key), pa.array(prints), near_words],
-        names=["block_ord", "key", "simhash", "folded"],
+        [pa.array((owner - ends[page_of]).astype(np.int32)), pa.array(key), slots, near_words],
+        names=["block_ord", "key", "slots", "folded"],
     )
     # the tokens of a page come after the token counts of its blocks
     merged_ends = ends + token_ends[ends]

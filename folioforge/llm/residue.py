@@ -1,11 +1,11 @@
 """Template residue, filler and error texts, by label propagation over near-duplicates.
 
-Nodes are the distinct sentences (words of letters in lower case) not far from
-a trusted message.  Edges join nodes that meet in one of the partitioned
-SimHash tables (``BANDS`` byte-wide tables), lie within ``NEAR`` bits and share
-at least ``LEAST_SIMILAR`` of their words.  Labels of trusted messages spread
-through connected components, a ring of neighbours at a time, until a ring
-brings none that is new.  A block is residue if it holds a labelled sentence,
+Nodes are all sentences of several words (of letters, in lower case) and the
+trusted messages.  Edges join nodes that share at least ``LEAST_SIMILAR`` of
+their words; they are found exactly, by the slots of
+:func:`~folioforge.llm.page_profile.prefix_slots`.  Labels of trusted messages
+spread through connected components, a ring of neighbours at a time, until a
+ring brings none that is new.  A block is residue if it holds a labelled sentence,
 an unfilled template field or Latin filler, or if it is a title that is itself
 a message.  A page is residue as a whole (``block_ord`` -1) if nothing else
 stands where its body should be, be it in blocks, headings or a notice that
@@ -24,49 +24,37 @@ from folioforge.llm.boilerplate import Pages, block_marks, field_flag
 from folioforge.llm.page_profile import MAIN, seeds
 from folioforge.sources import keep
 
-BANDS = 8
-NEAR = 12
+#: The slots of prefix_slots are made for this share.
 LEAST_SIMILAR = 0.8
 
 
-def _tables(df: DataFrame) -> DataFrame:
-    """One row for each SimHash table that a sentence is in."""
-    bands = [F.shiftrightunsigned("simhash", 8 * i).bitwiseAND(255) + F.lit(256 * i) for i in range(BANDS)]
-    return df.withColumn("slot", F.explode(F.array(*bands)))
-
-
 def _similar(a: Column, b: Column) -> Column:
     x, y = F.split(a, " "), F.split(b, " ")
     return F.size(F.array_intersect(x, y)) >= LEAST_SIMILAR * F.size(F.array_union(x, y))
 
 
 def labelled_sentences(nodes: DataFrame) -> DataFrame:
-    """``key`` of the nodes in the components of trusted messages; ``nodes``: ``key, simhash, folded``."""
-    spark = nodes.sparkSession
+    """``key`` of the nodes in the components of trusted messages, kept; ``nodes``: ``key, slots, folded``, repeats allowed."""
     s = seeds()
-    ring = spark.createDataFrame(
-        [(int(k), int(h.astype("int64")), f) for k, h, f in zip(s.keys, s.simhash, s.folded)], "key long, simhash long, folded string"
-    )
-    nodes = keep(nodes, "sentences")
-    done = nodes.join(F.broadcast(ring.select("key")), "key", "left_semi")  # the seeds are a bounded list
-    done = keep(done, "ring")
-    left = nodes
+    ring = nodes.sparkSession.createDataFrame(list(zip(s.slots, s.folded)), "slots array<int>, f string")
+    ring = F.broadcast(ring.select(F.explode("slots").alias("slot"), "f"))  # a bounded list
+    done = None
     while True:
-        left = left.join(done.select("key"), "key", "left_anti")
-        near = ring.select(F.col("simhash").alias("h"), F.col("folded").alias("f"))
-        meet = _tables(left).join(_tables(near.withColumnRenamed("h", "simhash")).select("slot", F.col("simhash").alias("h"), "f"), "slot")
-        ok = (F.bit_count(F.col("simhash").bitwiseXOR(F.col("h"))) <= NEAR) & _similar(F.col("folded"), F.col("f"))
-        new = keep(meet.where(ok).select("key", "simhash", "folded").dropDuplicates(["key"]), "ring")
+        # nodes with a label leave first, else a ring would meet its whole family again
+        left = nodes if done is None else nodes.join(done, "key", "left_anti")
+        meet = left.select("key", "slots", "folded", F.explode("slots").alias("slot")).join(ring, "slot")
+        new = keep(meet.where(_similar(F.col("folded"), F.col("f"))).select("key", "slots", "folded").dropDuplicates(["key"]), "ring")
+        done = new.select("key") if done is None else done.unionByName(new.select("key"))
         if new.isEmpty():
-            return done.select("key")
-        done = done.unionByName(new)
-        ring = new
+            return done
+        # kept, so that the planner knows its size: a small ring is sent to the nodes
+        ring = keep(new.select(F.explode("slots").alias("slot"), F.col("folded").alias("f")), "ring_slots")
 
 
 def residue_blocks(p: Pages) -> DataFrame:
     """``page_id, block_ord`` of the blocks that are or contain residue, kept."""
     near = p.profile.select("page_id", F.explode("near").alias("n")).select("page_id", "n.*")
-    labels = labelled_sentences(near.select("key", "simhash", "folded").dropDuplicates(["key"]))
+    labels = labelled_sentences(near.select("key", "slots", "folded"))
     said = near.join(labels, "key", "left_semi").select("page_id", "block_ord")
     rows = p.profile.select("page_id", F.posexplode("flags").alias("block_ord", "flags"))
     shown = rows.where(field_flag()).select("page_id", "block_ord")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import site_lines
+from folioforge.llm import page_profile, residue, site_lines
 from tests.llm.test_pages import found
 
 
@@ -58,3 +58,36 @@ def test_hash_of_longs_is_that_of_spark(spark):
     got = site_lines.hash_long(values.view(np.uint64), np.uint64(42)).view(np.int64)
     df = spark.createDataFrame([(int(v),) for v in values], "v long")
     assert [r[0] for r in df.select(F.xxhash64("v")).collect()] == got.tolist()
+
+
+def near_sentences(spark, sentences):
+    """The sentences of a list that get a label, by the operator."""
+    import pyarrow as pa
+
+    cut = page_profile.sentences_of(pa.array(sentences))
+    owner, key, slots, words = page_profile._near(cut)
+    rows = list(zip(key.tolist(), slots.to_pylist(), words.to_pylist()))
+    labels = {r["key"] for r in residue.labelled_sentences(spark.createDataFrame(rows, "key long, slots array<int>, folded string")).collect()}
+    return {sentences[i] for i, k in zip(owner.tolist(), key.tolist()) if k in labels}
+
+
+def similar(a, b):
+    a, b = set(a.split()), set(b.split())
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_every_similar_sentence_gets_the_label(spark):
+    rng = random.Random(6)
+    seeds, cases = page_profile.seeds().folded, set()
+    for m in seeds:
+        for _ in range(12):
+            w = m.split()
+            for _ in range(rng.choice((1, 1, 2, 3))):
+                w.insert(rng.randrange(len(w) + 1), "".join(rng.choices("abcdefghijklmnop", k=6)))
+            cases.add(" ".join(w))
+    cases = sorted(cases)
+    graph = {c for c in cases if any(similar(c, m) for m in seeds)}
+    while more := {c for c in cases if c not in graph and any(similar(c, g) for g in graph)}:
+        graph |= more
+    assert 0 < len(graph) < len(cases)
+    assert near_sentences(spark, cases) == graph
