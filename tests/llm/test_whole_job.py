@@ -91,3 +91,15 @@ def test_every_similar_sentence_gets_the_label(spark):
         graph |= more
     assert 0 < len(graph) < len(cases)
     assert near_sentences(spark, cases) == graph
+
+
+def test_labels_walk_far_from_the_message(spark):
+    message = "todo write the intro for the page before launch"
+    assert message in page_profile.seeds().folded
+    chain, words = [], message.split()
+    for new in ("newa", "newb", "newc", "newd", "newe"):  # one word more, then one of the message less
+        chain.append(" ".join([*words, new]))
+        words = [*words[1:], new]
+        chain.append(" ".join(words))
+    assert all(similar(a, b) for a, b in zip([message, *chain], chain)) and not similar(chain[-1], message)
+    assert near_sentences(spark, [*chain, "nothing of the kind is said here"]) == set(chain)
