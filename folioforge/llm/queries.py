@@ -25,6 +25,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(boilerplate.analyse(table(spark, sf_dir, "pages_in")))
 
 
+def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.cleaned_blocks(table(spark, sf_dir, "blocks_in"), p2_found(spark, sf_dir))
+
+
+def p2_cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.cleaned_pages(table(spark, sf_dir, "pages_in"), p2_found(spark, sf_dir))
+
+
 #: TESTDATA.md: three words, 0.7, bodies of at least 50 words.
 PAGE_COPIES = {"size": 3, "least": 0.7, "least_words": 50, "distinct_ids": True}
 
@@ -81,6 +89,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.find_boilerplate(p, residue.residue_blocks(p))
 
 
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = bodies.body_blocks(table(spark, sf_dir, "blocks_in"), keep(p5_found(spark, sf_dir), "boilerplate"))
+    return own.select("page_id", bodies.joined_text().alias("text"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.find_repeated(table(spark, sf_dir, "pages_in"), table(spark, sf_dir, "blocks_in"))
 
@@ -137,12 +150,15 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found,
         "p1_restored": p1_restored,
         "p2_found": p2_found,
+        "p2_cleaned": p2_cleaned,
+        "p2_cleaned_pages": p2_cleaned_pages,
         "p3_found": p3_found,
         "p3_groups": p3_groups,
         "p4_found": p4_found,
         "p4_levels": p4_levels,
         "p4_quality": p4_quality,
         "p5_found": p5_found,
+        "p5_bodies": p5_bodies,
         "p6_found": p6_found,
         "p6_sequences": p6_sequences,
         "p6_cleaned": p6_cleaned,

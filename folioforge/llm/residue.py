@@ -90,3 +90,17 @@ def find_residue(p: Pages) -> DataFrame:
     """``page_id, block_ord``, with ``block_ord`` -1 for whole pages."""
     blocks = residue_blocks(p)
     return blocks.unionByName(residue_pages(p, blocks).withColumn("block_ord", F.lit(-1)))
+
+
+def cleaned_blocks(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``blocks``, each key once, without the found blocks and without all blocks of the found pages."""
+    found = keep(found, "found")
+    whole = found.where("block_ord = -1").select("page_id")
+    left = blocks.join(found, ["page_id", "block_ord"], "left_anti").join(whole, "page_id", "left_anti")
+    return left.dropDuplicates(["page_id", "block_ord"])
+
+
+def cleaned_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``pages``, each ``page_id`` once, without the pages found as a whole; their html is as it was."""
+    whole = keep(found.where("block_ord = -1").select("page_id"), "found")
+    return pages.join(whole, "page_id", "left_anti").dropDuplicates(["page_id"])

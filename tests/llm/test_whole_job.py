@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import page_profile, residue, site_lines
+from folioforge.llm import page_profile, queries, residue, site_lines
 from tests.llm.test_pages import found
 
 
@@ -103,3 +103,20 @@ def test_labels_walk_far_from_the_message(spark):
         chain.append(" ".join(words))
     assert all(similar(a, b) for a, b in zip([message, *chain], chain)) and not similar(chain[-1], message)
     assert near_sentences(spark, [*chain, "nothing of the kind is said here"]) == set(chain)
+
+
+def test_collections_without_the_found_rows(spark, data_dir):
+    q = queries.queries()
+    odd = found(q["p2_found"](spark, data_dir))
+    whole = {i for i, o in odd if o == -1}
+    blocks = {(r["page_id"], r["block_ord"]): r["text"] for r in spark.read.parquet(f"{data_dir}/blocks_in.parquet").collect()}
+    pages = {r["page_id"] for r in spark.read.parquet(f"{data_dir}/pages_in.parquet").select("page_id").collect()}
+    left = q["p2_cleaned"](spark, data_dir).collect()
+    assert sorted((r["page_id"], r["block_ord"]) for r in left) == sorted(k for k in blocks if k not in odd and k[0] not in whole)
+    assert all(r["text"] == blocks[r["page_id"], r["block_ord"]] for r in left) and whole and len(left) < len(blocks)
+    assert sorted(r["page_id"] for r in q["p2_cleaned_pages"](spark, data_dir).collect()) == sorted(pages - whole)
+    bad = found(q["p5_found"](spark, data_dir))
+    want = {}
+    for k in sorted(k for k, t in blocks.items() if k not in bad and t is not None):
+        want.setdefault(k[0], []).append(blocks[k])
+    assert found(q["p5_bodies"](spark, data_dir)) == {(i, " ".join(t)) for i, t in want.items()}
