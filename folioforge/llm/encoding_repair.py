@@ -11,13 +11,16 @@ repair is clearly cheaper, or if it holds characters that only damage leaves
 
 Defined results: null html and null or empty headers give no row; a repeated
 page gives each field once; texts of any length are scanned whole, in linear
-time (a window is searched in pieces of at most ``MAX_WINDOW`` characters and
-all pieces count).  Where single pieces give too little evidence, all pieces of
-the field are judged together; the field is then a case without a restored text.
+time: a long run is searched in pieces of some ``PIECE`` characters, cut at
+white space, and all pieces count.  Where single windows give too little evidence,
+the gains of one step are summed over all windows of the field and the step is
+charged once.  A repair replaces the damaged spans alone; markup, references
+and header names stay as they are.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import html as _html
 import math
@@ -31,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_WINDOW = 400
-MAX_STATES = 80
-MAX_STEPS = 3
+PIECE = 400
+#: States that are opened before a search gives up; README says what more would change.
+MAX_STATES = 20
 #: A strict multi-byte decoding hardly succeeds by chance, a single-byte one always does.
 STRICT_COST, LOOSE_COST = 0.1, 0.6
 LEAST_GAIN = {True: 0.1, False: 0.55}
@@ -204,12 +207,12 @@ def search(text: str) -> tuple[str, float, float, bool]:
     """(cheapest reachable text, its cost, cost of the text itself, whether every step to it was strict)."""
     base = implausibility(text)
     best, best_cost, best_strict = text, base, False
-    heap: list[tuple[float, int, int, str, float, bool]] = [(base, 0, 0, text, 0.0, True)]
+    heap: list[tuple[float, int, str, float, bool]] = [(base, 0, text, 0.0, True)]
     visited = {hash(text)}
     tick = expanded = 0
     while heap and expanded < MAX_STATES:
-        cost, depth, _, state, paid, strict = heapq.heappop(heap)
-        if depth == MAX_STEPS or (depth and best_cost < 0.6 * cost):
+        _, _, state, paid, strict = heapq.heappop(heap)
+        if paid + STRICT_COST >= best_cost:  # no text can cost less than the steps to it
             continue
         expanded += 1
         for nxt, sure in steps(state):
@@ -223,7 +226,7 @@ def search(text: str) -> tuple[str, float, float, bool]:
             if c < best_cost:
                 best, best_cost, best_strict = nxt, c, strict and sure
             if sure or c < base - 0.5:
-                heapq.heappush(heap, (c, depth + 1, tick, nxt, spent, strict and sure))
+                heapq.heappush(heap, (c, tick, nxt, spent, strict and sure))
     return best, best_cost, base, best_strict
 
 
@@ -280,44 +283,148 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
     for m in _RUN.finditer(text):
         run = m.group()
         if SUSPECT.search(run) or (any("Ѐ" <= c <= "џ" for c in run) and any(_hardly_russian(w.group()) for w in _CYRILLIC_WORDS.finditer(run))):
-            for lo in range(m.start(), m.end(), MAX_WINDOW):
-                yield lo, min(lo + MAX_WINDOW, m.end())
+            yield from _pieces(text, *m.span())
 
 
-def repair(text: str) -> tuple[str, bool]:
-    """(restored text, whether any piece was damaged)."""
-    out, at, damaged = [], 0, False
+def _pieces(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """A run in pieces that end at white space, near ``PIECE`` characters each."""
+    while hi - lo > PIECE:
+        m = _SPACE.search(text, lo + PIECE, hi)
+        if not m:
+            break
+        yield lo, m.start()
+        lo = m.end()
+    yield lo, hi
+
+
+_SPACE = re.compile(r"[ \t\xa0]+")
+
+
+def _one_step(texts: list[str]) -> dict[tuple[str, str], list[str | None]]:
+    """Each text after one step, by (wrong, right) codec; None where the step is impossible."""
+    out: dict[tuple[str, str], list[str | None]] = {}
+    for wrong in WRONG:
+        there, _ = _TABLES[wrong]
+        for i, t in enumerate(texts):
+            try:
+                data = bytes([there[ord(c)] for c in t])
+            except KeyError:
+                continue
+            try:
+                out.setdefault((wrong, "utf-8"), [None] * len(texts))[i] = data.decode("utf-8")
+            except UnicodeDecodeError:
+                for right in RIGHT:
+                    if right != wrong:
+                        out.setdefault((wrong, right), [None] * len(texts))[i] = data.decode("latin-1").translate(_DECODE[right])
+    return out
+
+
+def _together(texts: list[str]) -> list[str] | None:
+    """The windows of a field after the one step that gains most on all of them, if it gains enough."""
+    base = [implausibility(t) for t in texts]
+    best, best_gain = None, 0.0
+    for (_, right), got in _one_step(texts).items():
+        gains = [b - implausibility(g) if g is not None else 0.0 for b, g in zip(base, got)]
+        sure = right == "utf-8"
+        gain = sum(gains) - (STRICT_COST if sure else LOOSE_COST)
+        if gain >= LEAST_GAIN[sure] and gain > best_gain:
+            best, best_gain = [g if g is not None and x > 0 else t for t, g, x in zip(texts, got, gains)], gain
+    return best
+
+
+def repairs(text: str) -> list[tuple[int, int, str]]:
+    """Damaged spans and what they should be; a span that nothing restores stays as it is."""
+    out = []
     spans = list(windows(text))
     for lo, hi in spans:
         fixed, bad = judge(text[lo:hi])
-        if not bad and " " in text[lo:hi]:  # one bad word among good ones
+        if " " in text[lo:hi] and implausibility(fixed) > 0.5 * implausibility(text[lo:hi]):  # one bad word among good ones
             parts = [judge(w) if SUSPECT.search(w) else (w, False) for w in re.split(r"([ \t\xa0]+)", text[lo:hi])]
-            if any(b for _, b in parts):
-                fixed, bad = "".join(w for w, _ in parts), True
+            wordwise = "".join(w for w, _ in parts)
+            if any(b for _, b in parts) and (not bad or implausibility(wordwise) <= implausibility(fixed)):
+                fixed, bad = wordwise, True
         if bad:
-            damaged = True
-            out += [text[at:lo], fixed]
-            at = hi
-    if damaged:
-        return "".join(out) + text[at:], True
-    if len(spans) > 1:  # too little in each window, enough in all of them together
-        for k in range(0, len(spans), 8):
-            part = spans[k : k + 8]
-            if judge(" ".join(text[lo : min(hi, lo + 50)] for lo, hi in part))[1]:
-                return text, True
-    return text, False
+            out.append((lo, hi, fixed))
+    if not out and len(spans) > 1:  # too little in each window, enough in all of them together
+        got = _together([text[lo:hi] for lo, hi in spans])
+        if got is not None:
+            out = [(lo, hi, g) for (lo, hi), g in zip(spans, got)]
+    return out
+
+
+def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for lo, hi, fixed in spans:
+        out += [text[at:lo], fixed]
+        at = hi
+    return "".join(out) + text[at:]
+
+
+def repair(text: str) -> tuple[str, bool]:
+    """(restored text, whether any piece was damaged)."""
+    found = repairs(text)
+    return (_replaced(text, found), True) if found else (text, False)
+
+
+_REF = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
+
+
+def _unescaped(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """(text without references, (begin, end) of each reference there and here)."""
+    out, at, n, refs = [], 0, 0, []
+    for m in _REF.finditer(text):
+        plain = _html.unescape(m.group())
+        if plain == m.group():
+            continue
+        out += [text[at : m.start()], plain]
+        n += m.start() - at
+        refs.append((n, n + len(plain), m.start(), m.end()))
+        n += len(plain)
+        at = m.end()
+    out.append(text[at:])
+    return "".join(out), refs
+
+
+def _original(at: int, refs: list[tuple[int, int, int, int]], end: bool) -> int:
+    """Where a place of the unescaped text lies in the original."""
+    k = bisect.bisect_right(refs, (at, math.inf, 0, 0)) - 1
+    if k < 0:
+        return at
+    lo, hi, olo, ohi = refs[k]
+    if at >= hi:
+        return ohi + at - hi
+    return ohi if end and at > lo else olo
 
 
 def repair_field(text: str | None) -> tuple[str | None, bool]:
-    """The same over a text that may hold character references."""
+    """The same over a text that may hold character references; those outside the damage stay."""
     if not text:
         return text, False
-    refs = bool(_C1_REF.search(text))
-    plain = _html.unescape(text) if "&" in text else text
-    fixed, damaged = repair(plain)
-    if damaged:
-        return fixed, True
-    return (plain, True) if refs else (text, False)
+    if "&" not in text:
+        return repair(text)
+    plain, refs = _unescaped(text)
+    spans = []
+    for lo, hi, fixed in repairs(plain):
+        a, b = _original(lo, refs, False), _original(hi, refs, True)
+        if plain[lo:hi] != fixed:
+            spans.append((a, b, _html.escape(fixed, quote=False) if "&" in text[a:b] else fixed))
+        else:
+            spans.append((a, b, text[a:b]))
+    # references to control characters mean the letters that browsers show
+    touched = [(a, b) for a, b, _ in spans]
+    for m in _C1_REF.finditer(text):
+        if not any(a < m.end() and m.start() < b for a, b in touched):
+            spans.append((m.start(), m.end(), _html.unescape(m.group())))
+    return (_replaced(text, sorted(spans)), True) if spans else (text, False)
+
+
+def repair_values(values: list[str | None]) -> tuple[list[str | None], bool]:
+    """Header values, each by itself; where none shows enough, all of them together."""
+    got = [repair_field(v) for v in values]
+    if any(bad for _, bad in got):
+        return [v for v, _ in got], True
+    whole, bad = repair_field("\n".join(v or "" for v in values))
+    return (whole.split("\n") if bad and whole.count("\n") == len(values) - 1 else values), bad
 
 
 #: RE2 superset of SUSPECT, for whole columns: a non-ASCII character or a reference to one.
@@ -325,31 +432,43 @@ _MAYBE = r"[^\x00-\x7f]|&#|&[A-Za-z]+;"
 
 
 def find_damage(pages: DataFrame, with_text: bool = False) -> DataFrame:
-    """``page_id, field[, restored]`` of damaged ``html`` and ``headers``.
+    """``page_id, field[, restored, restored_headers]`` of damaged ``html`` and ``headers``.
 
-    One narrow pass; only the rows found are shuffled, to give repeated pages once.
+    ``restored`` is the whole html and ``restored_headers`` the whole map, with the
+    damaged spans replaced.  One narrow pass; only the rows found are shuffled,
+    to give repeated pages once.
     """
     fields = [T.StructField("page_id", T.LongType()), T.StructField("field", T.StringType())]
     if with_text:
         fields.append(T.StructField("restored", T.StringType()))
+        fields.append(T.StructField("values", T.ArrayType(T.StringType())))
+        fields.append(T.StructField("keys", T.ArrayType(T.StringType())))
     schema = T.StructType(fields)
+    types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, htmls, heads = batch.column(0), batch.column(1), batch.column(2)
-            rows: list[tuple] = []
-            for name, col in (("html", htmls), ("headers", heads)):
-                maybe = pc.fill_null(pc.match_substring_regex(col, _MAYBE), False)
-                where = pc.indices_nonzero(maybe)
-                for i, t in zip(ids.take(where).to_pylist(), col.take(where).to_pylist()):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                ids, htmls, heads, keys = batch.columns
+                rows: list[tuple] = []
+                where = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(htmls, _MAYBE), False))
+                for i, t in zip(ids.take(where).to_pylist(), htmls.take(where).to_pylist()):
                     fixed, bad = repair_field(t)
                     if bad:
-                        rows.append((i, name, fixed) if with_text else (i, name))
-            cols = list(zip(*rows)) if rows else [()] * len(fields)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64() if k == 0 else pa.string()) for k, c in enumerate(cols)], names=[f.name for f in fields]
-            )
-
-    flat = F.concat_ws("\n", F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])))
-    found = pages.select("page_id", "html", flat.alias("headers")).mapInArrow(run, schema)
-    return found.dropDuplicates(["page_id", "field"])
+                        rows.append((i, "html", fixed, None, None))
+                joined = pc.binary_join(heads.cast(types[3]), "\n")
+                where = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(joined, _MAYBE), False))
+                for i, v, k in zip(ids.take(where).to_pylist(), heads.take(where).to_pylist(), keys.take(where).to_pylist()):
+                    fixed, bad = repair_values(v)
+                    if bad:
+                        rows.append((i, "headers", None, fixed, k))
+                cols = list(zip(*rows)) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[: len(fields)], types)], names=[f.name for f in fields])
+
+    values = F.transform(F.map_values("headers"), lambda v: F.coalesce(v, F.lit("")))
+    found = pages.select("page_id", "html", values.alias("heads"), F.map_keys("headers").alias("keys")).mapInArrow(run, schema)
+    found = found.dropDuplicates(["page_id", "field"])
+    if not with_text:
+        return found
+    return found.select("page_id", "field", "restored", F.map_from_arrays("keys", "values").alias("restored_headers"))

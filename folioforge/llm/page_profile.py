@@ -1,9 +1,10 @@
 """One pass over the pages: everything that the operators on page bodies share.
 
 Each page gives one compact row: host, declared language and, for each block in
-page order, its place (main container or not), line key, word count and tokens.
-Lines damaged by a wrong encoding are compared in their repaired form.  Pages
-without html have no row; repeated pages give one.
+page order, its place (main container or not), line key, word count and tokens;
+further all its sentences, those of headings and noscript notices too.
+Lines damaged by a wrong encoding are compared in their repaired form.  Texts
+are read whole.  Pages without html have no row; repeated pages give one.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ COMMON = """the of a an and to in is it for on that this with as was are be by a
 de la le les des du et un une en à que qui est pour dans sur pas au il elle nous vous ce se
 der die das und ist von zu den dem mit ein eine für auf nicht im es sie wir ich auch
 el los las y del una por con para no su al lo como más""".split()
-#: Lines up to this length are compared as repaired; a longer text hardly depends on its damaged letters.
-REPAIRED_LENGTH = 200
+#: Places of sentences that stand in no block: in a heading or noscript notice, and as a part of the title.
+NOTICE, TITLE_PART = -2, -3
 
 _SUSPECT = r"[^\x00-\x{ff}–—‘’“”„…•›‹€→·А-яЁё№™]|[ÂÃÐÑ][^A-Za-z]|[a-zß-ÿ][À-ÖØ-Þ]|[\x{80}-\x{9f}]|[РС][Ѐ-Џѐ-џ°±»«]|[а-яё][А-ЯЁ]"
 _BYLINE = re.compile(
@@ -40,6 +41,7 @@ _BYLINE = re.compile(
     r"|^\W*(?:\d+\.\s*)?(?:by|von|par|por)\s+\S+\s+\S+\s*,\s*(?:staff|redak|r\S{1,4}dac|reda)",
     re.I,
 )
+_TITLE_TAG = re.compile(r"<title\b", re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z][A-Za-z0-9_-]*)", re.I | re.S)
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)(?:</noscript>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -150,9 +152,9 @@ def sentences_of(texts: pa.Array) -> Sentences:
     return Sentences(owner, folded, *token_hashes(folded), whole)
 
 
-def _near(x: Sentences) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """(block, key, slots, words) of the sentences of several words."""
-    some = x.lengths > 1
+def _near(x: Sentences, least: int = 2) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(text, key, slots, words) of the sentences of at least ``least`` words."""
+    some = x.lengths >= least
     keep = np.flatnonzero(some)
     words = x.folded.take(pa.array(keep))
     slots, ends = prefix_slots(x.hashes[np.repeat(some, x.lengths)], x.lengths[keep])
@@ -165,8 +167,7 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
     counts = np.fromiter((len(p) for p in pages), np.int64, len(pages))
     texts = pa.array([b.text for p in pages for b in p], pa.string())
     flags = np.zeros(len(texts), np.int8)
-    short = pc.less_equal(pc.utf8_length(texts), REPAIRED_LENGTH)
-    suspect = pc.indices_nonzero(pc.and_(short, pc.match_substring_regex(texts, _SUSPECT))).to_pylist() if len(texts) else []
+    suspect = pc.indices_nonzero(pc.match_substring_regex(texts, _SUSPECT)).to_pylist() if len(texts) else []
     if suspect:
         plain = texts.to_pylist()
         for i in suspect:
@@ -175,26 +176,27 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
     words = pc.list_value_length(pc.utf8_split_whitespace(texts)).to_numpy(zero_copy_only=False).astype(np.int32) if len(texts) else np.zeros(0, np.int32)
     at = 0
     unblocked = []
-    for p, h in zip(pages, htmls):
+    beside: list[tuple[int, int, str]] = []  # (page, place, text) beside the blocks
+    for i, (p, h) in enumerate(zip(pages, htmls)):
         main = [b.ord for b in p if b.in_main]
-        if not main and not any(b.in_main for b in p):
+        if not main:
             main = _without_heading(p, words, at)
         for o in main:
             flags[at + o] |= MAIN
         for o in main[:2]:
             if words[at + o] <= 25 and _BYLINE.match(texts[at + o].as_py()):
                 flags[at + o] |= BYLINE
-        if p and (p[0].tag == "title" or p[0].heading is None and not p[0].in_main and "<title" in h[:4000].lower()):
+        if p and (p[0].tag == "title" or p[0].heading is None and not p[0].in_main and _TITLE_TAG.search(h)):
             flags[at] |= TITLE
-            if residue_text.title_is_message(texts[at].as_py()):
+            title = texts[at].as_py()
+            if residue_text.title_is_message(title):
                 flags[at] |= MESSAGE_TITLE
-        outside = False
-        if sum(int(words[at + o]) for o in main) < 60:
-            for m in _NOSCRIPT.finditer(h):
-                outside = outside or _is_message(_TAG.sub(" ", m[1]))
-            for b in p:
-                outside = outside or bool(b.heading and _is_message(b.heading))
-        unblocked.append(outside)
+            beside += [(i, TITLE_PART, part) for part in residue_text.title_parts(title)]
+        notices = {b.heading for b in p if b.heading}
+        if "<noscript" in h or "<NOSCRIPT" in h.upper():
+            notices |= {_TAG.sub(" ", m[1]) for m in _NOSCRIPT.finditer(h)}
+        unblocked.append(any(residue_text.title_is_message(n) for n in notices))
+        beside += [(i, NOTICE, n) for n in notices]
         at += len(p)
     if len(texts):
         for i in pc.indices_nonzero(pc.match_substring_regex(texts, residue_text.MAYBE_FIELD)).to_pylist():
@@ -203,19 +205,30 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
     cut = sentences_of(texts)
     folded, hashes = cut.texts, cut.hashes
     lengths = np.bincount(cut.owner, weights=cut.lengths, minlength=len(texts)).astype(np.int64)
-    owner, key, slots, near_words = _near(cut)
     ends = np.concatenate(([0], np.cumsum(counts)))
     token_ends = np.concatenate(([0], np.cumsum(lengths)))
-    near_ends = np.searchsorted(owner, ends)
+    owner, key, slots, near_words = _near(cut)
     page_of = np.searchsorted(ends, owner, side="right") - 1
+    place = owner - ends[page_of]
+    if beside:
+        of, at_, said = zip(*beside)
+        # titles and notices of one word count too
+        owner2, key2, slots2, words2 = _near(sentences_of(pa.array(said, pa.string())), 1)
+        page_of = np.concatenate((page_of, np.array(of)[owner2]))
+        order = np.argsort(page_of, kind="stable")
+        page_of, place = page_of[order], np.concatenate((place, np.array(at_)[owner2]))[order]
+        key = np.concatenate((key, key2))[order]
+        slots = pa.concat_arrays([slots, slots2]).take(pa.array(order))
+        near_words = pa.concat_arrays([near_words, words2]).take(pa.array(order))
+    near_ends = np.searchsorted(page_of, np.arange(len(pages) + 1))
 
     def listed(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
     token_count = lengths.astype(np.int32)
-    langs = [(m[1].lower() if (m := _LANG.search(h[:4000])) else None) for h in htmls]
+    langs = [(m[1].lower() if (m := _LANG.search(h)) else None) for h in htmls]
     struct = pa.StructArray.from_arrays(
-        [pa.array((owner - ends[page_of]).astype(np.int32)), pa.array(key), slots, near_words],
+        [pa.array(place.astype(np.int32)), pa.array(key), slots, near_words],
         names=["block_ord", "key", "slots", "folded"],
     )
     # the tokens of a page come after the token counts of its blocks
@@ -253,23 +266,6 @@ def _without_heading(blocks: list, words: np.ndarray, at: int) -> list[int]:
     return [b.ord for b in blocks if b.container == box and b.ord]
 
 
-_MESSAGE_SETS: list[list[frozenset[str]]] = []
-
-
-def _is_message(text: str) -> bool:
-    """Whether every sentence of a text nearly is a trusted message, or the text a message title."""
-    if TITLES_MATCH(text.strip()) or residue_text.contains_field(text):
-        return True
-    if not _MESSAGE_SETS:
-        _MESSAGE_SETS.append([frozenset(m.split()) for m in seeds().folded])
-    parts = [frozenset(residue_text.fold_message(p).split()) for p in re.split(_SENTENCE, text)]
-    parts = [p for p in parts if len(p) > 1]
-    return bool(parts) and all(any(len(p & m) >= 0.8 * len(p | m) for m in _MESSAGE_SETS[0]) for p in parts)
-
-
-TITLES_MATCH = residue_text.TITLES.match
-
-
 def profile_pages(pages: DataFrame) -> DataFrame:
     """:data:`SCHEMA` of every page with html, once."""
     own = pages.where("html is not null").select("page_id", F.coalesce(page_host("page_url"), F.lit("")).alias("host"), "html")
@@ -283,4 +279,4 @@ def profile_pages(pages: DataFrame) -> DataFrame:
     return own.mapInArrow(run, SCHEMA)
 
 
-__all__ = ["BYLINE", "FIELD", "MAIN", "MESSAGE_TITLE", "SCHEMA", "TITLE", "profile_pages", "seeds"]
+__all__ = ["BYLINE", "FIELD", "MAIN", "MESSAGE_TITLE", "NOTICE", "SCHEMA", "TITLE", "TITLE_PART", "profile_pages", "seeds"]

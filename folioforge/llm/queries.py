@@ -39,7 +39,7 @@ PAGE_COPIES = {"size": 3, "least": 0.7, "least_words": 50, "distinct_ids": True}
 
 def _page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
-    bad = keep(boilerplate.find_boilerplate(p, residue.residue_blocks(p)), "boilerplate")
+    bad = keep(boilerplate.find_boilerplate(p, residue.whole_residue(p)[0]), "boilerplate")
     own = bodies.body_blocks(table(spark, sf_dir, "blocks_in"), bad)
     return near_dup.near_duplicates(own.select(F.col("page_id").alias("id"), bodies.joined_text().alias("text")), **PAGE_COPIES)
 
@@ -58,8 +58,7 @@ LEAST_LEVEL_WORDS = 60
 
 def _graded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reading_level.Grader]:
     p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
-    odd = residue.residue_blocks(p)
-    whole = residue.residue_pages(p, odd)
+    odd, whole = residue.whole_residue(p)
     bad = keep(boilerplate.find_boilerplate(p, odd), "boilerplate")
     english = p.profile.where("lang like 'en%'").select("page_id", "host").dropDuplicates(["page_id"]).join(whole, "page_id", "left_anti")
     english = keep(english, "english")
@@ -86,7 +85,7 @@ def p4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = boilerplate.analyse(table(spark, sf_dir, "pages_in"))
-    return boilerplate.find_boilerplate(p, residue.residue_blocks(p))
+    return boilerplate.find_boilerplate(p, residue.whole_residue(p)[0])
 
 
 def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

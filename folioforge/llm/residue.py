@@ -1,15 +1,18 @@
 """Template residue, filler and error texts, by label propagation over near-duplicates.
 
-Nodes are all sentences of several words (of letters, in lower case) and the
-trusted messages.  Edges join nodes that share at least ``LEAST_SIMILAR`` of
-their words; they are found exactly, by the slots of
-:func:`~folioforge.llm.page_profile.prefix_slots`.  Labels of trusted messages
-spread through connected components, a ring of neighbours at a time, until a
-ring brings none that is new.  A block is residue if it holds a labelled sentence,
-an unfilled template field or Latin filler, or if it is a title that is itself
-a message.  A page is residue as a whole (``block_ord`` -1) if nothing else
-stands where its body should be, be it in blocks, headings or a notice that
-scripts are required.
+Nodes are all sentences (words of letters, in lower case), those of headings,
+titles and noscript notices too.  Edges join nodes that share at least
+``LEAST_SIMILAR`` of their words; they are found exactly, by the slots of
+:func:`~folioforge.llm.page_profile.prefix_slots`.  Trusted labels come from two
+places: default messages of common software, and the corpus itself, where a
+sentence stands in bodies of at most ``SOLE_WORDS`` words on ``SOLE_HOSTS`` hosts, and
+in such bodies on a good part of all pages that hold it.  Labels spread through
+connected components, a ring of neighbours at a time, until a ring brings none
+that is new.  A block is residue if it holds a labelled sentence, an unfilled
+template field or filler text.  A page is residue as a whole (``block_ord`` -1) if
+nothing else stands where its body should be, be it in blocks, headings or a
+notice that scripts are required.  A title is residue if a part of it is a
+message by its form, is labelled, or is found on residue pages and hardly any other.
 
 Sentences that write about such texts are none.  Null html gives no row;
 repeated pages give each row once; texts are read whole.
@@ -21,11 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.boilerplate import Pages, block_marks, field_flag
-from folioforge.llm.page_profile import MAIN, seeds
+from folioforge.llm.page_profile import MAIN, NOTICE, TITLE, TITLE_PART, seeds
 from folioforge.sources import keep
 
 #: The slots of prefix_slots are made for this share.
 LEAST_SIMILAR = 0.8
+#: A sentence that is a message: in bodies of so many words at most, on so many hosts, and so on this share of its pages.
+SOLE_WORDS, SOLE_HOSTS, SOLE_SHARE = 25, 3, 0.2
+#: A title part that is a message: on so many hosts, and residue on this share of its pages.
+TITLE_HOSTS, TITLE_SHARE = 2, 0.9
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -33,11 +40,34 @@ def _similar(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) >= LEAST_SIMILAR * F.size(F.array_union(x, y))
 
 
-def labelled_sentences(nodes: DataFrame) -> DataFrame:
-    """``key`` of the nodes in the components of trusted messages, kept; ``nodes``: ``key, slots, folded``, repeats allowed."""
+def sentences(p: Pages) -> DataFrame:
+    """``page_id, host, block_ord, key, slots, folded`` of all sentences, once for each delivery of a page."""
+    return p.profile.select("page_id", "host", F.explode("near").alias("n")).select("page_id", "host", "n.*")
+
+
+def sole_bodies(p: Pages) -> DataFrame:
+    """``slots, folded`` of the sentences that are seen in short bodies on several hosts, or in
+    notices where there is no body at all, and seldom elsewhere."""
+    body = block_marks(p).where("is_body").groupBy("page_id").agg(F.sum("words").alias("n"), F.collect_set("block_ord").alias("own"))
+    long = body.where(F.col("n") > SOLE_WORDS).select("page_id")
+    rows = sentences(p).join(long, "page_id", "left_anti").join(body.select("page_id", "own"), "page_id", "left")
+    here = F.when(F.col("own").isNull(), F.col("block_ord") == NOTICE).otherwise(F.array_contains("own", F.col("block_ord")))
+    said = keep(rows.where(here).select("page_id", "host", "key", "slots", "folded"), "short_bodies")
+    hosts = F.count_distinct("host").alias("hosts")
+    alone = said.groupBy("key").agg(F.count_distinct("page_id").alias("alone"), hosts, F.first("slots").alias("slots"), F.first("folded").alias("folded"))
+    alone = keep(alone.where(F.col("hosts") >= SOLE_HOSTS), "alone")
+    every = sentences(p).where(F.col("block_ord") != TITLE_PART).join(alone.select("key"), "key", "left_semi")
+    total = every.groupBy("key").agg(F.count_distinct("page_id").alias("pages"))
+    return alone.join(total, "key").where(F.col("alone") >= SOLE_SHARE * F.col("pages")).select("slots", "folded")
+
+
+def labelled_sentences(nodes: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+    """``key`` of the nodes in the components of trusted texts, kept; ``nodes``: ``key, slots, folded``, repeats allowed."""
     s = seeds()
-    ring = nodes.sparkSession.createDataFrame(list(zip(s.slots, s.folded)), "slots array<int>, f string")
-    ring = F.broadcast(ring.select(F.explode("slots").alias("slot"), "f"))  # a bounded list
+    ring = nodes.sparkSession.createDataFrame(list(zip(s.slots, s.folded)), "slots array<int>, folded string")
+    if learned is not None:
+        ring = keep(ring.unionByName(learned), "trusted")
+    ring = ring.select(F.explode("slots").alias("slot"), F.col("folded").alias("f"))
     done = None
     while True:
         # nodes with a label leave first, else a ring would meet its whole family again
@@ -52,9 +82,9 @@ def labelled_sentences(nodes: DataFrame) -> DataFrame:
 
 
 def residue_blocks(p: Pages) -> DataFrame:
-    """``page_id, block_ord`` of the blocks that are or contain residue, kept."""
-    near = p.profile.select("page_id", F.explode("near").alias("n")).select("page_id", "n.*")
-    labels = labelled_sentences(near.select("key", "slots", "folded"))
+    """``page_id, block_ord`` of the blocks that are or contain residue, and of labelled notices and title parts, kept."""
+    near = sentences(p)
+    labels = labelled_sentences(near.select("key", "slots", "folded"), sole_bodies(p))
     said = near.join(labels, "key", "left_semi").select("page_id", "block_ord")
     rows = p.profile.select("page_id", F.posexplode("flags").alias("block_ord", "flags"))
     shown = rows.where(field_flag()).select("page_id", "block_ord")
@@ -64,12 +94,7 @@ def residue_blocks(p: Pages) -> DataFrame:
 def residue_pages(p: Pages, blocks: DataFrame) -> DataFrame:
     """``page_id`` of the pages with nothing else where the body should be."""
     # the pages that can be: those with residue in a block or outside any
-    odd = (
-        p.profile.where("unblocked")
-        .select("page_id")
-        .unionByName(blocks.select("page_id"))
-        .dropDuplicates(["page_id"])
-    )
+    odd = p.profile.where("unblocked").select("page_id").unionByName(blocks.select("page_id")).dropDuplicates(["page_id"])
     some = Pages(p.profile.join(odd, "page_id", "left_semi"), p.lines)
     marks = block_marks(some).join(blocks.withColumn("residue", F.lit(True)), ["page_id", "block_ord"], "left")
     bad = F.col("residue").isNotNull()
@@ -77,19 +102,42 @@ def residue_pages(p: Pages, blocks: DataFrame) -> DataFrame:
     per_page = marks.groupBy("page_id").agg(
         F.sum((F.col("is_body") & ~bad).cast("int")).alias("body"), F.max(main & bad).alias("shown")
     )
+    noticed = blocks.where(F.col("block_ord") == NOTICE).select("page_id", F.lit(True).alias("noticed"))
     said = p.profile.select("page_id", "unblocked").dropDuplicates(["page_id"])
+    any_of = F.coalesce("shown", F.lit(False)) | F.coalesce("noticed", F.lit(False)) | F.col("unblocked")
     return (
         odd.join(per_page, "page_id", "left")
+        .join(noticed, "page_id", "left")
         .join(said, "page_id")
-        .where((F.coalesce("body", F.lit(0)) == 0) & (F.coalesce("shown", F.lit(False)) | F.col("unblocked")))
+        .where((F.coalesce("body", F.lit(0)) == 0) & any_of)
         .select("page_id")
     )
 
 
+def message_titles(p: Pages, blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``page_id, block_ord`` of the titles with a part that is labelled, or that is found on residue pages and hardly any other."""
+    parts = sentences(p).where(F.col("block_ord") == TITLE_PART).select("page_id", "host", "key")
+    on = keep(parts.join(pages, "page_id", "left_semi").dropDuplicates(["page_id", "key"]), "title_parts")
+    some = on.groupBy("key").agg(F.count("*").alias("bad"), F.count_distinct("host").alias("hosts")).where(F.col("hosts") >= TITLE_HOSTS)
+    total = parts.join(some, "key", "left_semi").groupBy("key").agg(F.count_distinct("page_id").alias("pages"))
+    learned = some.join(total, "key").where(F.col("bad") >= TITLE_SHARE * F.col("pages")).select("key")
+    found = on.join(learned, "key", "left_semi").select("page_id").unionByName(blocks.where(F.col("block_ord") == TITLE_PART).select("page_id"))
+    titled = p.profile.select("page_id", F.posexplode("flags").alias("block_ord", "f")).where(F.col("f").bitwiseAND(TITLE) != 0)
+    return titled.select("page_id", "block_ord").join(found.dropDuplicates(["page_id"]), "page_id", "left_semi")
+
+
+def whole_residue(p: Pages) -> tuple[DataFrame, DataFrame]:
+    """(``page_id, block_ord`` of residue blocks, kept; ``page_id`` of residue pages, kept)."""
+    blocks = residue_blocks(p)
+    pages = keep(residue_pages(p, blocks), "residue_pages")
+    own = blocks.where("block_ord >= 0").unionByName(message_titles(p, blocks, pages)).dropDuplicates(["page_id", "block_ord"])
+    return keep(own, "residue_blocks"), pages
+
+
 def find_residue(p: Pages) -> DataFrame:
     """``page_id, block_ord``, with ``block_ord`` -1 for whole pages."""
-    blocks = residue_blocks(p)
-    return blocks.unionByName(residue_pages(p, blocks).withColumn("block_ord", F.lit(-1)))
+    blocks, pages = whole_residue(p)
+    return blocks.unionByName(pages.withColumn("block_ord", F.lit(-1)))
 
 
 def cleaned_blocks(blocks: DataFrame, found: DataFrame) -> DataFrame:

@@ -61,5 +61,37 @@ def test_find_damage(spark):
     df = spark.createDataFrame(rows, "page_id long, html string, headers map<string,string>, field string")
     assert sorted(map(tuple, er.find_damage(df).collect())) == [(1, "html"), (2, "headers")]
     assert er.find_damage(df.limit(0)).count() == 0
-    restored = {(r["page_id"], r["field"]): r["restored"] for r in er.find_damage(df, with_text=True).collect()}
-    assert restored[1, "html"] == "<p>Größe</p>" and "Quiénes" in restored[2, "headers"]
+    restored = {(r["page_id"], r["field"]): r for r in er.find_damage(df, with_text=True).collect()}
+    assert restored[1, "html"]["restored"] == "<p>Größe</p>" and restored[1, "html"]["restored_headers"] is None
+    assert restored[2, "headers"]["restored_headers"] == {"x-section": "Quiénes somos"} and restored[2, "headers"]["restored"] is None
+
+
+def test_markup_and_references_outside_the_damage_stay():
+    text = "<p>1 &lt; 2 &amp; 3 &copy;</p><p title='a &gt; b'>cafÃ© &amp; thÃ©</p>&nbsp;"
+    assert er.repair_field(text) == (text.replace("cafÃ©", "café").replace("thÃ©", "thé"), True)
+    assert er.repair_field("a &lt; b &#150; c") == ("a &lt; b – c", True)
+    assert er.repair_field("x &Atilde;&copy; y &lt;")[0].endswith(" y &lt;")
+
+
+def test_damage_behind_long_runs_and_several_times():
+    good = "Größe für Übermut, naïve café – “déjà vu”"
+    bad = good
+    for _ in range(5):
+        bad = bad.encode("utf-8").decode("latin-1")
+    assert er.repair(bad) == (good, True)
+    run = "Übermäßig " * 90  # one run of right words, longer than a piece
+    assert er.repair(run + "kÃ¼ndbar") == (run + "kündbar", True)
+    assert er.repair("ü" * 900 + "kÃ¼ndbar")[1]
+
+
+def test_weak_evidence_adds_up_over_the_field():
+    gains = er._together(["\u00c3\u00a9", "\u00c3\u00bc"] * 3)
+    assert gains == ["é", "ü"] * 3 and er._together(["é", "ü"]) is None
+
+
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "mac_roman"])
+def test_whole_pages_come_back_exactly(wrong):
+    there, back = er._tolerant(wrong)
+    page = "<h1>Über uns</h1><p>Le garçon a mangé près de l’hôtel &amp; déjà vu &lt;b&gt;</p><p>Während die Größe überall auffällt</p>"
+    bad = "".join(back[b] for b in page.encode("utf-8"))
+    assert er.repair_field(bad) == (page, True)

@@ -94,7 +94,7 @@ def test_every_similar_sentence_gets_the_label(spark):
 
 
 def test_labels_walk_far_from_the_message(spark):
-    message = "todo write the intro for the page before launch"
+    message = "the page you are looking for does not exist"
     assert message in page_profile.seeds().folded
     chain, words = [], message.split()
     for new in ("newa", "newb", "newc", "newd", "newe"):  # one word more, then one of the message less
