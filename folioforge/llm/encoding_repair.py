@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 PIECE = 400
 #: States that are opened before a search gives up; README says what more would change.
-MAX_STATES = 20
+MAX_STATES = 8
 #: A strict multi-byte decoding hardly succeeds by chance, a single-byte one always does.
 STRICT_COST, LOOSE_COST = 0.1, 0.6
 LEAST_GAIN = {True: 0.1, False: 0.55}
@@ -130,38 +130,54 @@ def _script(c: str) -> int:
 _VOWELISH = frozenset("áàâäãéèêëíìîïóòôöõúùûüæœýÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÆŒÝ")
 
 
-def implausibility(text: str) -> float:
-    """Cost of a text; 0 for plain ASCII prose."""
+_INFO: dict[str, tuple[float, int, bool, bool, bool]] = {}
+
+
+def _info(c: str) -> tuple[float, int, bool, bool, bool]:
+    """(cost, script, is a letter, is upper, is lower) of a character."""
+    got = _INFO[c] = (_one(c) if c >= "\x80" else 0.0, _script(c), c.isalpha(), c.isupper(), c.islower())
+    return got
+
+
+def implausibility(text: str, limit: float = math.inf) -> float:
+    """Cost of a text; 0 for plain ASCII prose.  Beyond ``limit`` the rest is not counted."""
     cost, prev, prev_script, run, inside = 0.0, "", 0, 0, False
+    known = _INFO
+    prev_lower = prev_alpha = False
     for c in text:
-        if prev in "¿¡" and prev and not c.isalpha():
+        own, script, alpha, upper, lower = known.get(c) or _info(c)
+        if not alpha and prev and prev in "¿¡":
             cost += 1.2  # an opening mark that opens nothing
-        if inside and c.isalpha() and not prev_script and prev not in "’·–—-\xa0":
+        if inside and alpha and not prev_script and prev not in "’·–—-\xa0":
             cost += 0.9  # a sign between two letters
-        inside = bool(prev_script) and c > "\x7f"
+        inside = prev_script != 0 and c > "\x7f"
         if c < "\x80":
-            s = 1 if c.isalpha() else 0
-            if s and prev_script == 2 and prev.isalpha():
-                cost += 1.0
-            elif s and prev > "\x7f" and not prev_script and prev not in _OPENING and prev not in "–—’”»…→›•·\xa0©№€±":
-                cost += 0.8  # a sign stuck to a following letter
-            elif s and c.isupper() and prev_script == 1 and prev > "\x7f" and prev.islower():
-                cost += 0.5
+            s = 1 if alpha else 0
+            if s:
+                if prev_script == 2 and prev_alpha:
+                    cost += 1.0
+                elif prev > "\x7f":
+                    if not prev_script and prev not in _OPENING and prev not in "–—’”»…→›•·\xa0©№€±":
+                        cost += 0.8  # a sign stuck to a following letter
+                    elif upper and prev_script == 1 and prev_lower:
+                        cost += 0.5
             run = 0
-            prev, prev_script = c, s
+            prev, prev_script, prev_lower, prev_alpha = c, s, lower, alpha
             continue
-        cost += _one(c)
-        s = _script(c)
+        if cost > limit:
+            return cost
+        cost += own
+        s = script
         if s:
             if prev_script and s != prev_script:
                 cost += 1.0
-            elif prev_script and c.isupper() and prev.islower():
+            elif prev_script and upper and prev_lower:
                 cost += 1.6
             elif s == 2 and prev_script == 2 and (prev + c).lower() not in _RU_PAIRS:
                 cost += 0.2
             elif s == 2 and not prev_script:
                 cost += 0.15
-            elif prev and prev > "\x7f" and not prev_script and not prev.isspace() and prev not in _OPENING and prev not in "–—’”»…→›•·©№€±":
+            elif prev > "\x7f" and not prev_script and not prev.isspace() and prev not in _OPENING and prev not in "–—’”»…→›•·©№€±":
                 cost += 0.6
             run = run + 1 if s == 1 else 0
             if run >= 3:
@@ -172,7 +188,7 @@ def implausibility(text: str) -> float:
                 cost += 0.8  # a sign stuck to a letter before it
             elif prev and prev in "ÂÃĂ├┬√":
                 cost += 0.8
-        prev, prev_script = c, s
+        prev, prev_script, prev_lower, prev_alpha = c, s, lower, alpha
     return cost
 
 
@@ -222,7 +238,8 @@ def search(text: str) -> tuple[str, float, float, bool]:
             visited.add(h)
             tick += 1
             spent = paid + (STRICT_COST if sure else LOOSE_COST)
-            c = implausibility(nxt) + spent
+            # a loose step that gains nothing is left
+            c = implausibility(nxt, math.inf if sure else max(best_cost, base - 0.5) - spent) + spent
             if c < best_cost:
                 best, best_cost, best_strict = nxt, c, strict and sure
             if sure or c < base - 0.5:

@@ -1,12 +1,15 @@
 """Mixing of sources to target shares of the total size, as a curriculum.
 
-Each source has a weight schedule ``w(t) = share * (start + (end - start) t)``
-over training time ``t`` in [0, 1], ``start + end = 2``, so that its integral is
-the target share.  Its integral times the total size is the source's cumulative
-token demand ``D(t)``.  Documents of a source stand in a fixed pseudo-random
-order, epoch after epoch; the one whose tokens begin at ``c`` gets the training
-position ``D^-1(c)``, a closed form.  The curriculum is sorted by position over
-ranges.
+Each source has a weight schedule over training time ``t`` in [0, 1], straight
+between given points and constant outside them, scaled so that its integral is
+one; times the source's tokens it is its cumulative demand ``D(t)``.  Documents
+of a source stand in a fixed pseudo-random order, epoch after epoch; the one
+whose tokens begin at ``c`` gets the training position ``D^-1(c)``, the root of a
+quadratic on one piece of the schedule.  The curriculum is sorted by position
+over ranges.  A source without a schedule has the default: sources that may be
+repeated are scarce and move to the end, the others keep an even weight.
+
+A source ends with the document whose end is nearest to its demand.
 
 Size of the mixture: ``total_tokens``, or else the largest total for which
 every source that has documents can give its share within its repeats.  A
@@ -29,10 +32,10 @@ from pyspark.sql import functions as F
 from folioforge.llm.tokenizer import encode_corpus
 from folioforge.sources import keep
 
-#: Sources that may be repeated are scarce; the curriculum moves them to the end.
-START_WEIGHT_SCARCE = 0.5
-START_WEIGHT_PLENTY = 1.0
-BUCKETS = 1024
+#: Default schedules, ``(t, weight)`` points, of sources that may be repeated and of the others.
+SCARCE, PLENTY = ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0))
+#: Documents of a source in one bucket, about, whose running sum is taken in one task.
+BUCKET_ROWS = 100_000
 
 
 def clean_source(c: Column) -> Column:
@@ -89,7 +92,9 @@ def usage(sized: DataFrame, plan: DataFrame) -> DataFrame:
     The running sum of a source is taken in two levels, over hash buckets and
     within one, so a source with a third of all rows is no single task.
     """
-    bucketed = sized.withColumn("bucket", F.pmod(F.shiftright("ring", 32), F.lit(BUCKETS)))
+    # buckets are ranges of the ring, so that they follow one another as its values do
+    buckets = 1 << max(4, (sized.count() // BUCKET_ROWS).bit_length())
+    bucketed = sized.withColumn("bucket", F.shiftright("ring", 64 - (buckets.bit_length() - 1)))
     sums = bucketed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(
@@ -109,7 +114,7 @@ def usage(sized: DataFrame, plan: DataFrame) -> DataFrame:
     rest = F.col("demanded") - whole * F.col("available")
     return (
         at.join(p, at.source.eqNullSafe(p.ps), "left")
-        .withColumn("uses", F.coalesce((whole + (F.col("offset") < rest).cast("int")).cast("long"), F.lit(0).cast("long")))
+        .withColumn("uses", F.coalesce((whole + (2 * F.col("offset") + F.col("n_tokens") < 2 * rest).cast("int")).cast("long"), F.lit(0).cast("long")))
         .select("doc_id", "source", "n_tokens", "uses", "offset", "available", "demanded", "max_repeats", "target_share")
     )
 
@@ -132,21 +137,60 @@ def shares(used: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def inverse_demand(c: Column, demanded: Column, start: Column) -> Column:
-    """``t`` with ``D(t) = c`` for ``D(t) = demanded * (start t + (1 - start) t^2)``."""
-    y = F.least(F.lit(1.0), c / demanded)
-    a = F.lit(1.0) - start
-    root = (F.sqrt(start * start + 4 * a * y) - start) / (2 * a)
-    return F.when(F.abs(a) < 1e-12, y).otherwise(root)
+def schedule_pieces(schedule: DataFrame) -> DataFrame:
+    """``source, pieces`` of ``source, t, weight`` points, several a source.
+
+    A piece is ``t0, t1, w0, w1, c0, c1``: times, weights and the integral of the
+    weight up to both ends, as shares of the whole.  Null points and negative
+    weights count as none and as 0; times are cut to [0, 1]; of points at one
+    time the larger weight counts.  A schedule without weight has no pieces.
+    """
+    points = (
+        schedule.where("t is not null and weight is not null")
+        .select(clean_source(F.col("source")).alias("source"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("t"))).alias("t"), F.greatest(F.lit(0.0), F.col("weight")).alias("w"))
+        .groupBy("source", "t")
+        .agg(F.max("w").alias("w"))
+        .groupBy("source")
+        .agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("p"))
+    )
+    # constant outside the points
+    ends = points.withColumn("p", F.expr("concat(array(named_struct('t', 0D, 'w', p[0].w)), p, array(named_struct('t', 1D, 'w', element_at(p, -1).w)))"))
+    area = "(p[i + 1].t - p[i].t) * (p[i + 1].w + p[i].w) / 2"
+    cut = ends.selectExpr(
+        "source",
+        f"transform(sequence(0, size(p) - 2), i -> named_struct('t0', p[i].t, 't1', p[i + 1].t, 'w0', p[i].w, 'w1', p[i + 1].w, 'a', {area})) AS q",
+    ).selectExpr("source", "q", "aggregate(q, 0D, (x, e) -> x + e.a) AS total")
+    upto = "aggregate(slice(q, 1, i), 0D, (x, e) -> x + e.a)"
+    return cut.where("total > 0").selectExpr(
+        "source",
+        "filter(transform(sequence(0, size(q) - 1), i -> named_struct('t0', q[i].t0, 't1', q[i].t1, 'w0', q[i].w0 / total, 'w1', q[i].w1 / total,"
+        f" 'c0', {upto} / total, 'c1', ({upto} + q[i].a) / total)), e -> e.c1 > e.c0) AS pieces",
+    )
 
 
-def curriculum(used: DataFrame) -> DataFrame:
-    """``position, doc_id, use_no, source, n_tokens`` in training order."""
-    start = F.when(F.col("max_repeats") > 1, F.lit(START_WEIGHT_SCARCE)).otherwise(F.lit(START_WEIGHT_PLENTY))
+#: ``t`` with ``D(t) = y`` on the piece of a schedule that holds it.
+_POSITION = (
+    "element_at(transform(filter(pieces, e -> e.c1 >= y OR e.c1 >= 1D - 1e-12), e -> e.t0 + CASE"
+    " WHEN abs(e.w1 - e.w0) < 1e-12 THEN greatest(0D, y - e.c0) / e.w0"
+    " ELSE (sqrt(greatest(0D, e.w0 * e.w0 + 2 * (e.w1 - e.w0) / (e.t1 - e.t0) * greatest(0D, y - e.c0))) - e.w0) * (e.t1 - e.t0) / (e.w1 - e.w0) END), 1)"
+)
+
+
+def curriculum(used: DataFrame, schedule: DataFrame | None = None) -> DataFrame:
+    """``position, doc_id, use_no, source, n_tokens`` in training order; ``schedule``: ``source, t, weight`` points."""
+    spark = used.sparkSession
+    plain = [("scarce" if points is SCARCE else "plenty", t, w) for points in (SCARCE, PLENTY) for t, w in points]
+    kinds = schedule_pieces(spark.createDataFrame(plain, "source string, t double, weight double")).withColumnsRenamed({"source": "kind", "pieces": "usual"})
+    rows = used.where("uses > 0").withColumn("kind", F.when(F.col("max_repeats") > 1, "scarce").otherwise("plenty")).join(F.broadcast(kinds), "kind")
+    if schedule is None:
+        rows = rows.withColumn("pieces", F.col("usual"))
+    else:
+        own = schedule_pieces(schedule).withColumnsRenamed({"source": "s", "pieces": "own"})
+        rows = rows.join(own, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("pieces", F.coalesce("own", "usual"))
     return (
-        used.where("uses > 0")
-        .withColumn("use_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("uses") - 1)))
-        .withColumn("position", inverse_demand(F.col("use_no") * F.col("available") + F.col("offset"), F.col("demanded"), start))
+        rows.withColumn("use_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("uses") - 1)))
+        .withColumn("y", F.least(F.lit(1.0), (F.col("use_no") * F.col("available") + F.col("offset")) / F.greatest(F.lit(1.0), F.col("demanded"))))
+        .withColumn("position", F.expr(_POSITION))
         .select("position", "doc_id", "use_no", "source", "n_tokens")
         .orderBy("position", "doc_id", "use_no")
     )

@@ -175,7 +175,6 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
         texts = pa.array(plain, pa.string())
     words = pc.list_value_length(pc.utf8_split_whitespace(texts)).to_numpy(zero_copy_only=False).astype(np.int32) if len(texts) else np.zeros(0, np.int32)
     at = 0
-    unblocked = []
     beside: list[tuple[int, int, str]] = []  # (page, place, text) beside the blocks
     for i, (p, h) in enumerate(zip(pages, htmls)):
         main = [b.ord for b in p if b.in_main]
@@ -188,16 +187,22 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
                 flags[at + o] |= BYLINE
         if p and (p[0].tag == "title" or p[0].heading is None and not p[0].in_main and _TITLE_TAG.search(h)):
             flags[at] |= TITLE
-            title = texts[at].as_py()
-            if residue_text.title_is_message(title):
+            parts = residue_text.title_parts(texts[at].as_py())
+            if parts and residue_text.TITLES.match(parts[0]):
                 flags[at] |= MESSAGE_TITLE
-            beside += [(i, TITLE_PART, part) for part in residue_text.title_parts(title)]
+            beside += [(i, TITLE_PART, part) for part in parts]
         notices = {b.heading for b in p if b.heading}
-        if "<noscript" in h or "<NOSCRIPT" in h.upper():
+        if "noscript" in h or "NOSCRIPT" in h.upper():
             notices |= {_TAG.sub(" ", m[1]) for m in _NOSCRIPT.finditer(h)}
-        unblocked.append(any(residue_text.title_is_message(n) for n in notices))
         beside += [(i, NOTICE, n) for n in notices]
         at += len(p)
+    unblocked = np.zeros(len(pages), bool)
+    of, place_of, said = (list(x) for x in zip(*beside)) if beside else ([], [], [])
+    said = pa.array(said, pa.string())
+    maybe = pc.match_substring_regex(said, residue_text.MAYBE_FIELD).to_pylist()
+    for i, place, text, m in zip(of, place_of, said.to_pylist(), maybe):
+        if place == NOTICE and (residue_text.TITLES.match(text) or m and residue_text.contains_field(text)):
+            unblocked[i] = True
     if len(texts):
         for i in pc.indices_nonzero(pc.match_substring_regex(texts, residue_text.MAYBE_FIELD)).to_pylist():
             if residue_text.contains_field(texts[i].as_py()):
@@ -211,12 +216,11 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
     page_of = np.searchsorted(ends, owner, side="right") - 1
     place = owner - ends[page_of]
     if beside:
-        of, at_, said = zip(*beside)
         # titles and notices of one word count too
-        owner2, key2, slots2, words2 = _near(sentences_of(pa.array(said, pa.string())), 1)
+        owner2, key2, slots2, words2 = _near(sentences_of(said), 1)
         page_of = np.concatenate((page_of, np.array(of)[owner2]))
         order = np.argsort(page_of, kind="stable")
-        page_of, place = page_of[order], np.concatenate((place, np.array(at_)[owner2]))[order]
+        page_of, place = page_of[order], np.concatenate((place, np.array(place_of)[owner2]))[order]
         key = np.concatenate((key, key2))[order]
         slots = pa.concat_arrays([slots, slots2]).take(pa.array(order))
         near_words = pa.concat_arrays([near_words, words2]).take(pa.array(order))

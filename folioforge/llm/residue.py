@@ -40,23 +40,29 @@ def _similar(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) >= LEAST_SIMILAR * F.size(F.array_union(x, y))
 
 
-def sentences(p: Pages) -> DataFrame:
-    """``page_id, host, block_ord, key, slots, folded`` of all sentences, once for each delivery of a page."""
-    return p.profile.select("page_id", "host", F.explode("near").alias("n")).select("page_id", "host", "n.*")
+def sentences(profile: DataFrame, *places: int) -> DataFrame:
+    """``page_id, host, block_ord, key, slots, folded`` of the sentences (at ``places`` beside
+    the blocks), once for each delivery of a page."""
+    near = F.filter("near", lambda n: n["block_ord"].isin(*places)) if places else F.col("near")
+    return profile.select("page_id", "host", F.explode(near).alias("n")).select("page_id", "host", "n.*")
 
 
 def sole_bodies(p: Pages) -> DataFrame:
     """``slots, folded`` of the sentences that are seen in short bodies on several hosts, or in
     notices where there is no body at all, and seldom elsewhere."""
     body = block_marks(p).where("is_body").groupBy("page_id").agg(F.sum("words").alias("n"), F.collect_set("block_ord").alias("own"))
-    long = body.where(F.col("n") > SOLE_WORDS).select("page_id")
-    rows = sentences(p).join(long, "page_id", "left_anti").join(body.select("page_id", "own"), "page_id", "left")
-    here = F.when(F.col("own").isNull(), F.col("block_ord") == NOTICE).otherwise(F.array_contains("own", F.col("block_ord")))
-    said = keep(rows.where(here).select("page_id", "host", "key", "slots", "folded"), "short_bodies")
-    hosts = F.count_distinct("host").alias("hosts")
-    alone = said.groupBy("key").agg(F.count_distinct("page_id").alias("alone"), hosts, F.first("slots").alias("slots"), F.first("folded").alias("folded"))
+    body = keep(body, "body_words")
+    none = p.profile.select("page_id").join(body.select("page_id"), "page_id", "left_anti").dropDuplicates(["page_id"])
+    few = body.where(F.col("n") <= SOLE_WORDS).select("page_id", "own").unionByName(none.select("page_id", F.array(F.lit(NOTICE)).alias("own")))
+    # the few pages are written, so that the planner knows their number: the sentences stay where they are
+    there = p.profile.select("page_id", "host", "near").join(keep(few, "few_words"), "page_id")
+    own = there.select("page_id", "host", F.explode(F.expr("filter(near, n -> array_contains(own, n.block_ord))")).alias("n"))
+    said = keep(own.select("page_id", "host", "n.*"), "short_bodies")
+    alone = said.groupBy("key").agg(
+        F.count_distinct("page_id").alias("alone"), F.count_distinct("host").alias("hosts"), F.first("slots").alias("slots"), F.first("folded").alias("folded")
+    )
     alone = keep(alone.where(F.col("hosts") >= SOLE_HOSTS), "alone")
-    every = sentences(p).where(F.col("block_ord") != TITLE_PART).join(alone.select("key"), "key", "left_semi")
+    every = sentences(p.profile).where(F.col("block_ord") != TITLE_PART).join(alone.select("key"), "key", "left_semi")
     total = every.groupBy("key").agg(F.count_distinct("page_id").alias("pages"))
     return alone.join(total, "key").where(F.col("alone") >= SOLE_SHARE * F.col("pages")).select("slots", "folded")
 
@@ -83,7 +89,7 @@ def labelled_sentences(nodes: DataFrame, learned: DataFrame | None = None) -> Da
 
 def residue_blocks(p: Pages) -> DataFrame:
     """``page_id, block_ord`` of the blocks that are or contain residue, and of labelled notices and title parts, kept."""
-    near = sentences(p)
+    near = sentences(p.profile)
     labels = labelled_sentences(near.select("key", "slots", "folded"), sole_bodies(p))
     said = near.join(labels, "key", "left_semi").select("page_id", "block_ord")
     rows = p.profile.select("page_id", F.posexplode("flags").alias("block_ord", "flags"))
@@ -116,14 +122,15 @@ def residue_pages(p: Pages, blocks: DataFrame) -> DataFrame:
 
 def message_titles(p: Pages, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id, block_ord`` of the titles with a part that is labelled, or that is found on residue pages and hardly any other."""
-    parts = sentences(p).where(F.col("block_ord") == TITLE_PART).select("page_id", "host", "key")
+    parts = sentences(p.profile, TITLE_PART).select("page_id", "host", "key")
     on = keep(parts.join(pages, "page_id", "left_semi").dropDuplicates(["page_id", "key"]), "title_parts")
     some = on.groupBy("key").agg(F.count("*").alias("bad"), F.count_distinct("host").alias("hosts")).where(F.col("hosts") >= TITLE_HOSTS)
     total = parts.join(some, "key", "left_semi").groupBy("key").agg(F.count_distinct("page_id").alias("pages"))
     learned = some.join(total, "key").where(F.col("bad") >= TITLE_SHARE * F.col("pages")).select("key")
     found = on.join(learned, "key", "left_semi").select("page_id").unionByName(blocks.where(F.col("block_ord") == TITLE_PART).select("page_id"))
-    titled = p.profile.select("page_id", F.posexplode("flags").alias("block_ord", "f")).where(F.col("f").bitwiseAND(TITLE) != 0)
-    return titled.select("page_id", "block_ord").join(found.dropDuplicates(["page_id"]), "page_id", "left_semi")
+    # the title is a page's first block
+    titled = p.profile.where(F.get("flags", F.lit(0)).bitwiseAND(TITLE) != 0).select("page_id", F.lit(0).alias("block_ord"))
+    return titled.join(found.dropDuplicates(["page_id"]), "page_id", "left_semi")
 
 
 def whole_residue(p: Pages) -> tuple[DataFrame, DataFrame]:

@@ -280,9 +280,3 @@ def contains_field(text: str) -> bool:
 def title_parts(text: str) -> list[str]:
     """The parts of a title between its separators: what it is about, and the names of sections and site."""
     return [p for p in (q.strip() for q in _TITLE_PARTS.split(text)) if p]
-
-
-def title_is_message(text: str) -> bool:
-    """Whether a title (or a run that begins with one) is itself a message by its form."""
-    head = (title_parts(text) or [""])[0]
-    return bool(TITLES.match(head)) or contains_field(head)

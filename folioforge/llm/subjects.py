@@ -37,6 +37,8 @@ LABELLED, UNLABELLED = 1.0, 0.1
 PASSES = 8
 #: Rounds within a document, when the topics are fitted and when subjects are assigned.
 INNER_FIT, INNER = 8, 12
+#: Words of the documents that are worked on side by side.
+CELLS = 1 << 15
 ALPHA_SUBJECT, ALPHA_COMMON, BETA = 0.05, 0.5, 0.02
 RAREST = 20_000
 LEAST_DOCUMENTS = 3
@@ -66,7 +68,8 @@ def sentence_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 class Corpus(NamedTuple):
-    """``doc_id, words`` (ids of language and word, all sentences), ``sentences`` (known words of each sentence)."""
+    """``doc_id, words`` (ids of language and word, all sentences), ``sentences`` (known words
+    of each sentence), ``bag, times`` (distinct words, and how often each stands there)."""
 
     rows: DataFrame
     words: list[str]
@@ -150,37 +153,62 @@ def prepare(documents: DataFrame) -> Corpus:
                 per_sentence = np.bincount(sent, minlength=len(counts))
                 n_words = np.bincount(doc, minlength=part.num_rows)
                 n_sents = np.bincount(owner, minlength=part.num_rows)
+                span = len(words) * len(languages) + 1
+                pair, times = np.unique(doc * span + ids, return_counts=True)
+                n_bag = np.bincount(pair // span, minlength=part.num_rows)
+                bag_ends = pa.array(np.concatenate(([0], np.cumsum(n_bag))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_words))).astype(np.int32)), pa.array(ids.astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_sents))).astype(np.int32)), pa.array(per_sentence.astype(np.int32))),
+                        pa.ListArray.from_arrays(bag_ends, pa.array((pair % span).astype(np.int32))),
+                        pa.ListArray.from_arrays(bag_ends, pa.array(times.astype(np.int32))),
                     ],
-                    names=["doc_id", "words", "sentences"],
+                    names=["doc_id", "words", "sentences", "bag", "times"],
                 )
 
-    coded = own.select("doc_id", "text").mapInArrow(encode, "doc_id long, words array<int>, sentences array<int>")
+    coded = own.select("doc_id", "text").mapInArrow(encode, "doc_id long, words array<int>, sentences array<int>, bag array<int>, times array<int>")
     return Corpus(keep(coded, "words"), words, len(languages))
 
 
-def infer(ids: np.ndarray, lengths: np.ndarray, phi: np.ndarray, alpha: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
-    """(topic proportions of each document, topic posterior of each word); ``alpha`` may differ by document."""
+def infer(bag: np.ndarray, times: np.ndarray, lengths: np.ndarray, by_word: np.ndarray, alpha: np.ndarray, inner: int = INNER) -> np.ndarray:
+    """Topic proportions of each document.
+
+    ``bag, times, lengths``: distinct words of the documents, one after the
+    other, their counts, and how many each document has; ``by_word``: words x
+    topics, single precision; ``alpha`` may differ by document.  Documents of like length
+    are worked on side by side, as one dense product.
+    """
     n, k = len(lengths), alpha.shape[-1]
-    doc = np.repeat(np.arange(n), lengths)
     prior = np.broadcast_to(alpha, (n, k)).astype(np.float32)
     theta = prior / prior.sum(axis=1, keepdims=True)
-    like = np.ascontiguousarray(phi.T[ids], dtype=np.float32)  # words x topics
-    full = np.flatnonzero(lengths)
-    starts = np.concatenate(([0], np.cumsum(lengths[full])[:-1])) if len(full) else np.zeros(0, np.int64)
-    tiny = np.float32(1e-30)
-    for _ in range(inner if len(full) else 0):
-        norm = np.einsum("ij,ij->i", like, theta[doc]) + tiny
-        theta[full] *= np.add.reduceat(like / norm[:, None], starts, axis=0)
-        theta[full] += prior[full]
-        theta /= theta.sum(axis=1, keepdims=True)
-    post = like * theta[doc]
-    post /= post.sum(axis=1, keepdims=True) + tiny
-    return theta, post
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    while len(order):
+        # as many documents as fit, a long one by itself
+        cells = np.arange(1, len(order) + 1) * lengths[order]
+        some, order = np.split(order, [max(1, int(np.searchsorted(cells, CELLS)))])
+        width = int(lengths[some].max())
+        inside = np.arange(width)[None] < lengths[some][:, None]
+        at = np.where(inside, starts[some][:, None] + np.arange(width)[None], 0)
+        like = by_word[bag[at]] * inside[..., None]
+        weight = np.where(inside, times[at], 0).astype(np.float32)
+        x = theta[some]
+        for _ in range(inner):
+            norm = np.matmul(like, x[:, :, None])[..., 0] + np.float32(1e-30)
+            x = x * np.matmul((weight / norm)[:, None, :], like)[:, 0] + prior[some]
+            x /= x.sum(axis=1, keepdims=True)
+        theta[some] = x
+    return theta
+
+
+def posterior(ids: np.ndarray, doc: np.ndarray, theta: np.ndarray, by_word: np.ndarray) -> np.ndarray:
+    """Topic posterior of each word under its document's proportions."""
+    post = by_word[ids] * theta[doc]
+    post /= post.sum(axis=1, keepdims=True) + np.float32(1e-30)
+    return post
 
 
 def _columns(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -202,22 +230,26 @@ def word_statistics(rows: DataFrame, phi: np.ndarray, alpha: np.ndarray) -> np.n
     """Expected uses of each word by each topic, over all documents; ``rows`` with ``subjects``."""
     k, v = phi.shape
     names = [f"t{i}" for i in range(k)]
+    by_word = np.ascontiguousarray(phi.T, dtype=np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats = np.zeros((v, k))
+        stats = np.zeros((k, v))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids, lengths = _columns(part, "words")
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                bag, lengths = _columns(part, "bag")
+                times, _ = _columns(part, "times")
+                doc = np.repeat(np.arange(part.num_rows), lengths)
                 known = part.column(part.schema.get_field_index("subjects")).to_pylist() if k > COMMON_TOPICS else []
-                _, post = infer(ids, lengths, phi, document_prior(alpha, known) if known else alpha, INNER_FIT)
+                theta = infer(bag, times, lengths, by_word, document_prior(alpha, known) if known else np.tile(alpha, (part.num_rows, 1)), INNER_FIT)
+                post = posterior(bag, doc, theta, by_word) * times[:, None]
                 for t in range(k):
-                    stats[:, t] += np.bincount(ids, weights=post[:, t], minlength=v)
-        used = np.flatnonzero(stats.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(stats[used, t]) for t in range(k))], names=["word", *names])
+                    stats[t] += np.bincount(bag, weights=post[:, t], minlength=v)
+        used = np.flatnonzero(stats.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(stats[t, used]) for t in range(k))], names=["word", *names])
 
     schema = "word int, " + ", ".join(f"{c} double" for c in names)
-    got = rows.select("words", "subjects").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    got = rows.select("bag", "times", "subjects").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     out = np.zeros((v, k))
     at = got.column("word").to_numpy()
     for t, c in enumerate(names):
@@ -327,13 +359,16 @@ def _table(at: np.ndarray, rows: int, columns: int, weights: np.ndarray | None)
     return np.bincount(at, weights=weights, minlength=rows * columns).reshape(rows, columns).astype(float)
 
 
-def sentence_subjects(batch: pa.RecordBatch, m: TopicModel, subjects: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sentence_subjects(batch: pa.RecordBatch, m: TopicModel, by_word: np.ndarray, subjects: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, subject, share of its sentences) for each pair that occurs."""
     ids, lengths = _columns(batch, "words")
     sent_len, sents = _columns(batch, "sentences")
-    _, post = infer(ids, lengths, m.phi, m.alpha)
+    bag, sizes = _columns(batch, "bag")
+    times, _ = _columns(batch, "times")
+    theta = infer(bag, times, sizes, by_word, np.tile(m.alpha, (batch.num_rows, 1)))
+    post = posterior(ids, np.repeat(np.arange(batch.num_rows), lengths), theta, by_word)
     by = np.zeros((len(ids), len(subjects)))
-    language = ids // max(m.phi.shape[1] // max(m.languages, 1), 1)
+    language = ids // max(len(by_word) // max(m.languages, 1), 1)
     for t in range(len(m.subject) - COMMON_TOPICS):
         own = m.subject[t][language] if len(ids) else np.zeros(0, np.int64)
         at = np.flatnonzero(own >= 0)
@@ -362,12 +397,14 @@ def sentence_subjects(batch: pa.RecordBatch, m: TopicModel, subjects: list[str])
 
 def assign(corpus: Corpus, m: TopicModel, subjects: list[str], least: float = LEAST_SHARE) -> DataFrame:
     """``doc_id, subject, share`` of each document's subjects."""
+    by_word = np.ascontiguousarray(m.phi.T, dtype=np.float32)
+    m = m._replace(phi=m.phi[:, :0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                d, s, share = sentence_subjects(part, m, subjects)
+                d, s, share = sentence_subjects(part, m, by_word, subjects)
                 ok = share >= least - 1e-9
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(d[ok])), pa.array([subjects[i] for i in s[ok]], pa.string()), pa.array(share[ok])],
