@@ -126,10 +126,21 @@ def shard_of(table: pa.Table) -> Shard:
     return Shard(page, host_ids[page] if len(page) else page, flags, lines, lengths, merged[is_token])
 
 
-def line_evidence(s: Shard) -> pa.Table:
-    """``EVIDENCE`` of one shard."""
-    if not len(s.page):
-        return pa.table({"line": pa.array([], pa.int64()), "pages": pa.array([], pa.int64()), "host_pages": pa.array([], pa.int64())})
+class Runs(NamedTuple):
+    """Token runs of chosen blocks, ranked by the suffixes of their shard."""
+
+    cls: np.ndarray  # equal for equal runs of one host
+    pages: np.ndarray  # distinct pages of each class
+    host_pages: np.ndarray  # pages of each host of the shard
+
+
+def distinct_per_class(cls: np.ndarray, other: np.ndarray) -> np.ndarray:
+    pairs = np.unique(np.stack((cls, other)), axis=1)[0]
+    return np.bincount(pairs, minlength=int(cls.max()) + 1)
+
+
+def ranked_runs(s: Shard, pick: np.ndarray) -> Runs:
+    """The runs of the blocks ``pick``, at least one, over the suffixes of the whole shard."""
     blocks = len(s.page)
     # symbols: (host, token), and an own separator after each page
     token_block = np.repeat(np.arange(blocks), s.lengths)
@@ -144,30 +155,31 @@ def line_evidence(s: Shard) -> pa.Table:
     sep[where] = False
     stream[sep] = top + np.arange(pages)
     block_start = np.concatenate(([0], np.cumsum(s.lengths)[:-1])) + s.page
-    pick = np.flatnonzero(((s.flags & MAIN) > 0) & (s.lengths > 1) & (s.lines != 0))
-    if not len(pick):
-        return line_evidence(Shard(*(a[:0] for a in s)))
     ranks = doubled_ranks(stream, int(s.lengths[pick].max()))
     cls = run_classes(ranks, block_start[pick], s.lengths[pick])
+    first_of_page = np.flatnonzero(np.concatenate(([True], s.page[1:] != s.page[:-1])))
+    host_pages = np.bincount(s.host[first_of_page], minlength=int(s.host.max()) + 1)
+    return Runs(cls, distinct_per_class(cls, s.page[pick]), host_pages)
+
+
+def line_evidence(s: Shard) -> pa.Table:
+    """``EVIDENCE`` of one shard."""
+    none = pa.table({"line": pa.array([], pa.int64()), "pages": pa.array([], pa.int64()), "host_pages": pa.array([], pa.int64())})
+    pick = np.flatnonzero(((s.flags & MAIN) > 0) & (s.lengths > 1) & (s.lines != 0))
+    if not len(pick):
+        return none
+    cls, page_count, host_pages = ranked_runs(s, pick)
     # neighbours: the line before and after, on the same page
     same_before = np.concatenate(([False], s.page[1:] == s.page[:-1]))
     same_after = np.concatenate((s.page[1:] == s.page[:-1], [False]))
     before = np.where(same_before, np.roll(s.lines, 1), 0)[pick]
     after = np.where(same_after, np.roll(s.lines, -1), 0)[pick]
-
-    def distinct(other: np.ndarray) -> np.ndarray:
-        pairs = np.unique(np.stack((cls, other)), axis=1)[0]
-        return np.bincount(pairs, minlength=int(cls.max()) + 1)
-
-    page_count = distinct(s.page[pick])
-    unlike = np.maximum(distinct(dense(before)), distinct(dense(after)))
+    unlike = np.maximum(distinct_per_class(cls, dense(before)), distinct_per_class(cls, dense(after)))
     good = (page_count >= 2) & (unlike >= LEAST_UNLIKE * page_count)
     rep = np.full(len(page_count), -1)
     rep[cls] = pick
     chosen = rep[np.flatnonzero(good & (rep >= 0))]
     counts = page_count[np.flatnonzero(good & (rep >= 0))]
-    first_of_page = np.flatnonzero(np.concatenate(([True], s.page[1:] != s.page[:-1])))
-    host_pages = np.bincount(s.host[first_of_page], minlength=int(s.host.max()) + 1)
     # spellings of a line that differ in damaged letters are one line
     host_line = np.stack((s.host[chosen], s.lines[chosen]))
     uniq, inv = np.unique(host_line, axis=1, return_inverse=True)
@@ -175,6 +187,19 @@ def line_evidence(s: Shard) -> pa.Table:
     return pa.table({"line": uniq[1], "pages": summed, "host_pages": host_pages[uniq[0]].astype(np.int64)})
 
 
+def outside_counts(s: Shard) -> pa.Table:
+    """``blocks, repeated, twice`` of one shard: blocks outside the main container, those whose run stands on
+    ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of its host's pages, and those whose run stands on two pages."""
+    outside = (s.flags & MAIN) == 0
+    pick = np.flatnonzero(outside & (s.lengths > 0))
+    repeated = twice = 0
+    if len(pick):
+        cls, page_count, host_pages = ranked_runs(s, pick)
+        n, of = page_count[cls], host_pages[s.host[pick]]
+        repeated, twice = int(((n >= LEAST_PAGES) & (n >= LEAST_SHARE * of)).sum()), int((n >= 2).sum())
+    return pa.table({"blocks": [int(outside.sum())], "repeated": [repeated], "twice": [twice]})
+
+
 def sharded(profile: DataFrame) -> DataFrame:
     """``profile`` with the shard of each page, of some ``SHARD_PAGES`` pages."""
     sizes = profile.groupBy("host").agg(F.count("*").alias("n"))
@@ -204,6 +229,15 @@ def boilerplate_lines(profile: DataFrame) -> DataFrame:
     )
 
 
+def evidence_shares(profile: DataFrame) -> DataFrame:
+    """One row: how many blocks outside the main containers the suffix arrays prove by repetition."""
+    shards = sharded(profile.select("page_id", "host", "flags", "lines", "tokens"))
+    counts = shards.select("shard", "page_id", "host", "flags", "lines", "tokens").groupBy("shard").applyInArrow(
+        lambda t: outside_counts(shard_of(t)), "blocks long, repeated long, twice long"
+    )
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("blocks", "repeated", "twice")))
+
+
 class Pages(NamedTuple):
     """Profile of all pages, each once, and what follows from it."""
 

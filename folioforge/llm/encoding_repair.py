@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PIECE = 400
-#: States that are opened before a search gives up; README says what more would change.
-MAX_STATES = 8
+#: States opened one after the other without a cheaper text before a search gives up; README says what more would change.
+PATIENCE = 6
+#: Share of a text's cost under which what strict steps reached needs no loose ones.
+CLEAR = 0.4
 #: A strict multi-byte decoding hardly succeeds by chance, a single-byte one always does.
 STRICT_COST, LOOSE_COST = 0.1, 0.6
 LEAST_GAIN = {True: 0.1, False: 0.55}
@@ -193,24 +195,28 @@ def implausibility(text: str, limit: float = math.inf) -> float:
 
 
 def steps(text: str) -> Iterator[tuple[str, bool]]:
-    """Texts one decoding away, and whether the decoding could have failed."""
+    """Texts one decoding away, and whether the decoding could have failed; the strict ones first."""
     if "&" in text:
         plain = _html.unescape(text)
         if plain != text:
             yield plain, True
-    seen: set[bytes] = set()
+    left: dict[bytes, str] = {}
     for wrong in WRONG:
         there, _ = _TABLES[wrong]
         try:
             data = bytes([there[ord(c)] for c in text])
         except KeyError:
             continue
-        if data in seen:
+        if data in left:
             continue
-        seen.add(data)
+        left[data] = wrong
         try:
             yield data.decode("utf-8"), True
         except UnicodeDecodeError:
+            continue
+        left[data] = ""
+    for data, wrong in left.items():
+        if wrong:
             for right in RIGHT:
                 if right != wrong:
                     yield data.decode("latin-1").translate(_DECODE[right]), False
@@ -225,13 +231,15 @@ def search(text: str) -> tuple[str, float, float, bool]:
     best, best_cost, best_strict = text, base, False
     heap: list[tuple[float, int, str, float, bool]] = [(base, 0, text, 0.0, True)]
     visited = {hash(text)}
-    tick = expanded = 0
-    while heap and expanded < MAX_STATES:
+    tick = idle = 0
+    while heap and idle < PATIENCE:
         _, _, state, paid, strict = heapq.heappop(heap)
         if paid + STRICT_COST >= best_cost:  # no text can cost less than the steps to it
             continue
-        expanded += 1
+        idle += 1
         for nxt, sure in steps(state):
+            if not sure and best_strict and best_cost < CLEAR * base:
+                break  # a strict way is as good as found
             h = hash(nxt)
             if h in visited:
                 continue
@@ -241,7 +249,7 @@ def search(text: str) -> tuple[str, float, float, bool]:
             # a loose step that gains nothing is left
             c = implausibility(nxt, math.inf if sure else max(best_cost, base - 0.5) - spent) + spent
             if c < best_cost:
-                best, best_cost, best_strict = nxt, c, strict and sure
+                best, best_cost, best_strict, idle = nxt, c, strict and sure, 0
             if sure or c < base - 0.5:
                 heapq.heappush(heap, (c, tick, nxt, spent, strict and sure))
     return best, best_cost, base, best_strict

@@ -287,14 +287,29 @@ def near_duplicates(
     return class_links(sets, least)
 
 
+def salted(members: DataFrame, wanted: DataFrame, cls: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The bodies ``name`` of the classes in ``wanted`` (``cls, k``: class and size): as they
+    are, cut in ``CHUNK`` bodies a part, and with ``part`` for the number of parts.
+
+    A hot class is so joined part by part, and no task gets all of it.
+    """
+    parts = wanted.select(F.col("cls").alias(cls), F.ceil(F.col("k") / CHUNK).alias("parts"))
+    rows = members.select(F.col("id").alias(name), F.col("cls").alias(cls)).join(parts, cls)
+    return rows.withColumn("part", F.pmod(F.xxhash64(name), "parts")), parts
+
+
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """``id_a, id_b`` (a < b): all linked bodies and all copies, written out."""
-    m = members.select(F.col("id").alias("x"), F.col("cls").alias("cx"))
-    n = members.select(F.col("id").alias("y"), F.col("cls").alias("cy"))
-    copies = members.groupBy("cls").agg(F.count("*").alias("k")).where("k > 1").select("cls")
-    several = m.join(copies, m.cx == copies.cls, "left_semi")
-    same = several.join(n, (F.col("cx") == F.col("cy")) & (F.col("x") < F.col("y"))).select("x", "y")
-    over = links.select("a", "b").join(m, F.col("a") == F.col("cx")).join(n, F.col("b") == F.col("cy")).select("x", "y")
+    sizes = members.groupBy("cls").agg(F.count("*").alias("k"))
+    several = sizes.where("k > 1")
+    right, _ = salted(members, several, "c", "y")
+    left = right.select(F.col("y").alias("x"), "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    same = left.join(right.select("c", "part", "y"), ["c", "part"]).where("x < y").select("x", "y")
+    # over a link, the bodies of the one class meet the parts of the other
+    right, parts = salted(members, sizes.join(links.select(F.col("b").alias("cls")).dropDuplicates(), "cls", "left_semi"), "b", "y")
+    met = links.select("a", "b").join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    one = members.select(F.col("id").alias("x"), F.col("cls").alias("a"))
+    over = met.select("a", "b", "part").join(one, "a").join(right.select("b", "part", "y"), ["b", "part"]).select("x", "y")
     return same.unionByName(over).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 

@@ -88,6 +88,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.find_boilerplate(p, residue.whole_residue(p)[0])
 
 
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.evidence_shares(boilerplate.analyse(table(spark, sf_dir, "pages_in")).profile)
+
+
 def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = bodies.body_blocks(table(spark, sf_dir, "blocks_in"), keep(p5_found(spark, sf_dir), "boilerplate"))
     return own.select("page_id", bodies.joined_text().alias("text"))
@@ -158,6 +162,7 @@ def queries() -> dict[str, Query]:
         "p4_quality": p4_quality,
         "p5_found": p5_found,
         "p5_bodies": p5_bodies,
+        "p5_shares": p5_shares,
         "p6_found": p6_found,
         "p6_sequences": p6_sequences,
         "p6_cleaned": p6_cleaned,
