@@ -35,6 +35,9 @@ el los las y del una por con para no su al lo como más""".split()
 #: Places of sentences that stand in no block: in a heading or noscript notice, and as a part of the title.
 NOTICE, TITLE_PART = -2, -3
 
+#: Bodies up to so many words are short.
+SHORT_WORDS = 25
+
 _SUSPECT = r"[^\x00-\x{ff}–—‘’“”„…•›‹€→·А-яЁё№™]|[ÂÃÐÑ][^A-Za-z]|[a-zß-ÿ][À-ÖØ-Þ]|[\x{80}-\x{9f}]|[РС][Ѐ-Џѐ-џ°±»«]|[а-яё][А-ЯЁ]"
 _BYLINE = re.compile(
     r"^\W*(?:\d+\.\s*)?(?:written by|text:|texto de|\S{1,4}crit par|автор:?)\s+\S+\s+\S+"
@@ -57,6 +60,7 @@ SCHEMA = T.StructType(
         T.StructField("words", T.ArrayType(T.IntegerType(), False)),
         T.StructField("tokens", T.ArrayType(T.IntegerType(), False)),
         T.StructField("unblocked", T.BooleanType()),
+        T.StructField("long_line", T.LongType()),
         T.StructField(
             "near",
             T.ArrayType(
@@ -230,6 +234,12 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
     token_count = lengths.astype(np.int32)
+    # the line of the first block of the main container that alone makes a body long; null without
+    long = np.flatnonzero(((flags & MAIN) != 0) & ((flags & BYLINE) == 0) & (words > SHORT_WORDS))
+    at = np.searchsorted(long, ends[:-1])
+    some = (at < len(long)) & (long[np.minimum(at, max(len(long) - 1, 0))] < ends[1:] if len(long) else False)
+    keys = line_keys(folded) if len(texts) else np.zeros(0, np.int64)
+    long_line = pa.array(keys[long[at[some]]] if some.any() else np.zeros(0, np.int64)).take(pa.array(np.where(some, np.cumsum(some) - 1, 0), mask=~some)) if some.any() else pa.nulls(len(pages), pa.int64())
     langs = [(m[1].lower() if (m := _LANG.search(h)) else None) for h in htmls]
     struct = pa.StructArray.from_arrays(
         [pa.array(place.astype(np.int32)), pa.array(key), slots, near_words],
@@ -248,10 +258,11 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
             pa.array(hosts, pa.string()),
             pa.array(langs, pa.string()),
             listed(pa.array(flags), ends),
-            listed(pa.array(line_keys(folded) if len(texts) else np.zeros(0, np.int64)), ends),
+            listed(pa.array(keys), ends),
             listed(pa.array(words), ends),
             listed(pa.array(merged), merged_ends),
             pa.array(unblocked, pa.bool_()),
+            long_line,
             listed(struct, near_ends),
         ],
         names=SCHEMA.names,

@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.boilerplate import Pages, block_marks, field_flag
-from folioforge.llm.page_profile import MAIN, NOTICE, TITLE, TITLE_PART, seeds
+from folioforge.llm.page_profile import MAIN, NOTICE, SHORT_WORDS, TITLE, TITLE_PART, seeds
 from folioforge.sources import keep
 
 #: The slots of prefix_slots are made for this share.
 LEAST_SIMILAR = 0.8
 #: A sentence that is a message: in bodies of so many words at most, on so many hosts, and so on this share of its pages.
-SOLE_WORDS, SOLE_HOSTS, SOLE_SHARE = 25, 3, 0.2
+SOLE_WORDS, SOLE_HOSTS, SOLE_SHARE = SHORT_WORDS, 3, 0.2
 #: A title part that is a message: on so many hosts, and residue on this share of its pages.
 TITLE_HOSTS, TITLE_SHARE = 2, 0.9
 
@@ -40,29 +40,32 @@ def _similar(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) >= LEAST_SIMILAR * F.size(F.array_union(x, y))
 
 
-def sentences(profile: DataFrame, *places: int) -> DataFrame:
-    """``page_id, host, block_ord, key, slots, folded`` of the sentences (at ``places`` beside
-    the blocks), once for each delivery of a page."""
-    near = F.filter("near", lambda n: n["block_ord"].isin(*places)) if places else F.col("near")
-    return profile.select("page_id", "host", F.explode(near).alias("n")).select("page_id", "host", "n.*")
+def sentences(profile: DataFrame) -> DataFrame:
+    """``page_id, host, block_ord, key, slots, folded`` of all sentences, once for each delivery of a page."""
+    return profile.select("page_id", "host", F.explode("near").alias("n")).select("page_id", "host", "n.*")
 
 
-def sole_bodies(p: Pages) -> DataFrame:
+def _maybe_short(p: Pages) -> DataFrame:
+    """The rows of the pages whose body may have at most ``SOLE_WORDS`` words: no block of the main container is longer, or the first that is holds a boilerplate line."""
+    none = p.profile.where("long_line is null").select("page_id")
+    known = p.profile.select("page_id", F.col("long_line").alias("line")).join(p.lines, "line", "left_semi").select("page_id")
+    # written, so that the planner knows their number
+    return p.profile.join(keep(none.unionByName(known).dropDuplicates(["page_id"]), "maybe_short"), "page_id", "left_semi")
+
+
+def sole_bodies(p: Pages, nodes: DataFrame) -> DataFrame:
     """``slots, folded`` of the sentences that are seen in short bodies on several hosts, or in
     notices where there is no body at all, and seldom elsewhere."""
-    body = block_marks(p).where("is_body").groupBy("page_id").agg(F.sum("words").alias("n"), F.collect_set("block_ord").alias("own"))
-    body = keep(body, "body_words")
-    none = p.profile.select("page_id").join(body.select("page_id"), "page_id", "left_anti").dropDuplicates(["page_id"])
-    few = body.where(F.col("n") <= SOLE_WORDS).select("page_id", "own").unionByName(none.select("page_id", F.array(F.lit(NOTICE)).alias("own")))
-    # the few pages are written, so that the planner knows their number: the sentences stay where they are
-    there = p.profile.select("page_id", "host", "near").join(keep(few, "few_words"), "page_id")
-    own = there.select("page_id", "host", F.explode(F.expr("filter(near, n -> array_contains(own, n.block_ord))")).alias("n"))
-    said = keep(own.select("page_id", "host", "n.*"), "short_bodies")
-    alone = said.groupBy("key").agg(
+    some = _maybe_short(p)
+    body = block_marks(Pages(some, p.lines)).where("is_body").groupBy("page_id").agg(F.sum("words").alias("n"), F.collect_set("block_ord").alias("own"))
+    here = some.select("page_id", "host", "near").join(body, "page_id", "left").where(F.coalesce("n", F.lit(0)) <= SOLE_WORDS)
+    own = F.coalesce("own", F.array(F.lit(NOTICE)))
+    said = here.withColumn("own", own).select("page_id", "host", F.explode(F.expr("filter(near, n -> array_contains(own, n.block_ord))")).alias("n"))
+    alone = said.select("page_id", "host", "n.*").groupBy("key").agg(
         F.count_distinct("page_id").alias("alone"), F.count_distinct("host").alias("hosts"), F.first("slots").alias("slots"), F.first("folded").alias("folded")
     )
     alone = keep(alone.where(F.col("hosts") >= SOLE_HOSTS), "alone")
-    every = sentences(p.profile).where(F.col("block_ord") != TITLE_PART).join(alone.select("key"), "key", "left_semi")
+    every = nodes.where(F.col("block_ord") != TITLE_PART).select("page_id", "key").join(alone.select("key"), "key", "left_semi")
     total = every.groupBy("key").agg(F.count_distinct("page_id").alias("pages"))
     return alone.join(total, "key").where(F.col("alone") >= SOLE_SHARE * F.col("pages")).select("slots", "folded")
 
@@ -83,15 +86,14 @@ def labelled_sentences(nodes: DataFrame, learned: DataFrame | None = None) -> Da
         done = new.select("key") if done is None else done.unionByName(new.select("key"))
         if new.isEmpty():
             return done
-        # kept, so that the planner knows its size: a small ring is sent to the nodes
-        ring = keep(new.select(F.explode("slots").alias("slot"), F.col("folded").alias("f")), "ring_slots")
+        # written, so that the planner knows its size: a small ring is sent to the nodes
+        ring = new.select(F.explode("slots").alias("slot"), F.col("folded").alias("f"))
 
 
-def residue_blocks(p: Pages) -> DataFrame:
+def residue_blocks(p: Pages, nodes: DataFrame) -> DataFrame:
     """``page_id, block_ord`` of the blocks that are or contain residue, and of labelled notices and title parts, kept."""
-    near = sentences(p.profile)
-    labels = labelled_sentences(near.select("key", "slots", "folded"), sole_bodies(p))
-    said = near.join(labels, "key", "left_semi").select("page_id", "block_ord")
+    labels = labelled_sentences(nodes.select("key", "slots", "folded"), sole_bodies(p, nodes))
+    said = nodes.select("page_id", "block_ord", "key").join(labels, "key", "left_semi").select("page_id", "block_ord")
     rows = p.profile.select("page_id", F.posexplode("flags").alias("block_ord", "flags"))
     shown = rows.where(field_flag()).select("page_id", "block_ord")
     return keep(shown.unionByName(said).dropDuplicates(["page_id", "block_ord"]), "residue")
@@ -120,9 +122,9 @@ def residue_pages(p: Pages, blocks: DataFrame) -> DataFrame:
     )
 
 
-def message_titles(p: Pages, blocks: DataFrame, pages: DataFrame) -> DataFrame:
+def message_titles(p: Pages, nodes: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id, block_ord`` of the titles with a part that is labelled, or that is found on residue pages and hardly any other."""
-    parts = sentences(p.profile, TITLE_PART).select("page_id", "host", "key")
+    parts = nodes.where(F.col("block_ord") == TITLE_PART).select("page_id", "host", "key")
     on = keep(parts.join(pages, "page_id", "left_semi").dropDuplicates(["page_id", "key"]), "title_parts")
     some = on.groupBy("key").agg(F.count("*").alias("bad"), F.count_distinct("host").alias("hosts")).where(F.col("hosts") >= TITLE_HOSTS)
     total = parts.join(some, "key", "left_semi").groupBy("key").agg(F.count_distinct("page_id").alias("pages"))
@@ -135,9 +137,10 @@ def message_titles(p: Pages, blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 def whole_residue(p: Pages) -> tuple[DataFrame, DataFrame]:
     """(``page_id, block_ord`` of residue blocks, kept; ``page_id`` of residue pages, kept)."""
-    blocks = residue_blocks(p)
+    nodes = keep(sentences(p.profile), "sentences")
+    blocks = residue_blocks(p, nodes)
     pages = keep(residue_pages(p, blocks), "residue_pages")
-    own = blocks.where("block_ord >= 0").unionByName(message_titles(p, blocks, pages)).dropDuplicates(["page_id", "block_ord"])
+    own = blocks.where("block_ord >= 0").unionByName(message_titles(p, nodes, blocks, pages)).dropDuplicates(["page_id", "block_ord"])
     return keep(own, "residue_blocks"), pages
 
 

@@ -23,7 +23,7 @@ def found(df):
 def test_boilerplate_by_structure_and_repeats(spark):
     rows = P.site() + [(1, *P.site()[0][1:])] + [(99, "https://b.example/", None)]
     p = boilerplate.analyse(spark.createDataFrame(rows, PAGES))
-    got = found(boilerplate.find_boilerplate(p, residue.residue_blocks(p)))
+    got = found(boilerplate.find_boilerplate(p, residue.whole_residue(p)[0]))
     for i, _, h in P.site():
         for b in extract_blocks(h):
             inside = b.in_main and not b.text.startswith(("Written by", "Share this"))
@@ -34,7 +34,7 @@ def test_copied_articles_are_no_boilerplate(spark):
     same = P.body(5)
     rows = [(i, f"https://a.example/{i}", P.html(same, title=f"T {i}")) for i in range(1, 8)]
     p = boilerplate.analyse(spark.createDataFrame(rows, PAGES))
-    got = found(boilerplate.find_boilerplate(p, residue.residue_blocks(p)))
+    got = found(boilerplate.find_boilerplate(p, residue.whole_residue(p)[0]))
     for i, _, h in rows:
         for b in extract_blocks(h):
             if b.in_main and b.text in same[1:-1]:
