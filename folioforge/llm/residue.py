@@ -55,9 +55,10 @@ def _maybe_short(p: Pages) -> DataFrame:
 
 def sole_bodies(p: Pages, nodes: DataFrame) -> DataFrame:
     """``slots, folded`` of the sentences that are seen in short bodies on several hosts, or in
-    notices where there is no body at all, and seldom elsewhere."""
+    notices where there is no body at all, and seldom elsewhere.  Blocks with fields or
+    filler are known by themselves and teach nothing."""
     some = _maybe_short(p)
-    body = block_marks(Pages(some, p.lines)).where("is_body").groupBy("page_id").agg(F.sum("words").alias("n"), F.collect_set("block_ord").alias("own"))
+    body = block_marks(Pages(some, p.lines)).where("is_body").groupBy("page_id").agg(F.sum("words").alias("n"), F.collect_set(F.when(~field_flag(), F.col("block_ord"))).alias("own"))
     here = some.select("page_id", "host", "near").join(body, "page_id", "left").where(F.coalesce("n", F.lit(0)) <= SOLE_WORDS)
     own = F.coalesce("own", F.array(F.lit(NOTICE)))
     said = here.withColumn("own", own).select("page_id", "host", F.explode(F.expr("filter(near, n -> array_contains(own, n.block_ord))")).alias("n"))
