@@ -230,12 +230,12 @@ def boilerplate_lines(profile: DataFrame) -> DataFrame:
 
 
 def evidence_shares(profile: DataFrame) -> DataFrame:
-    """One row: how many blocks outside the main containers the suffix arrays prove by repetition."""
+    """One row (none without pages): how many blocks outside the main containers the suffix arrays prove by repetition."""
     shards = sharded(profile.select("page_id", "host", "flags", "lines", "tokens"))
     counts = shards.select("shard", "page_id", "host", "flags", "lines", "tokens").groupBy("shard").applyInArrow(
         lambda t: outside_counts(shard_of(t)), "blocks long, repeated long, twice long"
     )
-    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("blocks", "repeated", "twice")))
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("blocks", "repeated", "twice"))).where("blocks > 0")
 
 
 class Pages(NamedTuple):

@@ -105,6 +105,10 @@ def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.sequences(table(spark, sf_dir, "pages_in"), table(spark, sf_dir, "blocks_in"))
 
 
+def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.line_texts(table(spark, sf_dir, "pages_in"), table(spark, sf_dir, "blocks_in"))
+
+
 def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.cleaned_pages(table(spark, sf_dir, "pages_in"), table(spark, sf_dir, "blocks_in"))
 
@@ -165,6 +169,7 @@ def queries() -> dict[str, Query]:
         "p5_shares": p5_shares,
         "p6_found": p6_found,
         "p6_sequences": p6_sequences,
+        "p6_lines": p6_lines,
         "p6_cleaned": p6_cleaned,
         "p7_ids": p7_ids,
         "p8_usage": p8_usage,

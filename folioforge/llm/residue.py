@@ -101,7 +101,7 @@ def residue_blocks(p: Pages, nodes: DataFrame) -> DataFrame:
 
 
 def residue_pages(p: Pages, blocks: DataFrame) -> DataFrame:
-    """``page_id`` of the pages with nothing else where the body should be."""
+    """``page_id, shown`` of the pages with nothing else where the body should be; ``shown``: a block says so."""
     # the pages that can be: those with residue in a block or outside any
     odd = p.profile.where("unblocked").select("page_id").unionByName(blocks.select("page_id")).dropDuplicates(["page_id"])
     some = Pages(p.profile.join(odd, "page_id", "left_semi"), p.lines)
@@ -119,15 +119,17 @@ def residue_pages(p: Pages, blocks: DataFrame) -> DataFrame:
         .join(noticed, "page_id", "left")
         .join(said, "page_id")
         .where((F.coalesce("body", F.lit(0)) == 0) & any_of)
-        .select("page_id")
+        .select("page_id", F.coalesce("shown", F.lit(False)).alias("shown"))
     )
 
 
 def message_titles(p: Pages, nodes: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """``page_id, block_ord`` of the titles with a part that is labelled, or that is found on residue pages and hardly any other."""
+    """``page_id, block_ord`` of the titles with a part that is labelled, or that is found on residue pages
+    and hardly any other, among them pages of several hosts that show a message."""
     parts = nodes.where(F.col("block_ord") == TITLE_PART).select("page_id", "host", "key")
-    on = keep(parts.join(pages, "page_id", "left_semi").dropDuplicates(["page_id", "key"]), "title_parts")
-    some = on.groupBy("key").agg(F.count("*").alias("bad"), F.count_distinct("host").alias("hosts")).where(F.col("hosts") >= TITLE_HOSTS)
+    on = keep(parts.join(pages, "page_id").dropDuplicates(["page_id", "key"]), "title_parts")
+    hosts = F.count_distinct(F.when(F.col("shown"), F.col("host"))).alias("hosts")
+    some = on.groupBy("key").agg(F.count("*").alias("bad"), hosts).where(F.col("hosts") >= TITLE_HOSTS)
     total = parts.join(some, "key", "left_semi").groupBy("key").agg(F.count_distinct("page_id").alias("pages"))
     learned = some.join(total, "key").where(F.col("bad") >= TITLE_SHARE * F.col("pages")).select("key")
     found = on.join(learned, "key", "left_semi").select("page_id").unionByName(blocks.where(F.col("block_ord") == TITLE_PART).select("page_id"))
@@ -142,13 +144,13 @@ def whole_residue(p: Pages) -> tuple[DataFrame, DataFrame]:
     blocks = residue_blocks(p, nodes)
     pages = keep(residue_pages(p, blocks), "residue_pages")
     own = blocks.where("block_ord >= 0").unionByName(message_titles(p, nodes, blocks, pages)).dropDuplicates(["page_id", "block_ord"])
-    return keep(own, "residue_blocks"), pages
+    return keep(own, "residue_blocks"), pages.select("page_id")
 
 
 def find_residue(p: Pages) -> DataFrame:
     """``page_id, block_ord``, with ``block_ord`` -1 for whole pages."""
     blocks, pages = whole_residue(p)
-    return blocks.unionByName(pages.withColumn("block_ord", F.lit(-1)))
+    return blocks.unionByName(pages.select("page_id", F.lit(-1).alias("block_ord")))
 
 
 def cleaned_blocks(blocks: DataFrame, found: DataFrame) -> DataFrame:

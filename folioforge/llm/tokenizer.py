@@ -16,10 +16,12 @@ vocabulary's depth.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -202,6 +204,8 @@ def encode_corpus(
     """
     path = path or vocabulary_path()
     pattern = word_pattern()
+    df.sparkSession.sparkContext.addFile(path)  # executors need not have the driver's folders
+    name = os.path.basename(path)
     key_type = df.schema[key].dataType
     out = T.StructType(
         [
@@ -212,7 +216,7 @@ def encode_corpus(
     own = df.select(df[key].alias("k"), df[text].alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, pattern)
+        bpe = encoder(SparkFiles.get(name), pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import page_profile, queries, residue, site_lines
+from folioforge.functions.html_blocks import extract_blocks
+from folioforge.llm import boilerplate, page_profile, queries, residue, residue_text, site_lines
+from tests.llm import pages as P
 from tests.llm.test_pages import found
 
 
@@ -36,7 +38,20 @@ def test_sequences_with_gaps_and_repeats_against_brute_force(spark, monkeypatch,
     rng = random.Random(4)
     sites = {h: [[rng.choice("abcdefgh"[:k]) for _ in range(rng.randrange(1, 8))] for _ in range(n)] for h, n, k in (("a.example", 14, 4), ("b.example", 9, 8))}
     sites["c.example"] = [rng.sample("abcdefgh", 6) for _ in range(70)]
-    got = found(site_lines.sequences(*lines_tables(spark, sites)))
+    tables = lines_tables(spark, sites)
+    rows = site_lines.sequences(*tables).collect()
+    got = {tuple(r)[:4] for r in rows}
+    # a pattern is read back by its prefixes
+    texts = {(r["host"], r["line"]): r["text"] for r in site_lines.line_texts(*tables).collect()}
+    by = {(r["host"], r["pattern"]): r for r in rows}
+    back = set()
+    for r in rows:
+        lines, at = [], r
+        while at is not None:
+            lines.append(texts[at["host"], at["line"]])
+            at = by[at["host"], at["prefix"]] if at["length"] > 1 else None
+        back.add((r["host"], tuple(reversed(lines)), r["support"]))
+    assert back == {(h, tuple(p), n) for h, seqs in sites.items() for p, n in brute_sequences(seqs).items()}
     want = set()
     for host, seqs in sites.items():
         rows = [(host, list(p), len(p), n) for p, n in brute_sequences(seqs).items()]
@@ -113,10 +128,40 @@ def test_collections_without_the_found_rows(spark, data_dir):
     pages = {r["page_id"] for r in spark.read.parquet(f"{data_dir}/pages_in.parquet").select("page_id").collect()}
     left = q["p2_cleaned"](spark, data_dir).collect()
     assert sorted((r["page_id"], r["block_ord"]) for r in left) == sorted(k for k in blocks if k not in odd and k[0] not in whole)
-    assert all(r["text"] == blocks[r["page_id"], r["block_ord"]] for r in left) and whole and len(left) < len(blocks)
+    assert all(r["text"] == blocks[r["page_id"], r["block_ord"]] for r in left) and len(left) < len(blocks)
     assert sorted(r["page_id"] for r in q["p2_cleaned_pages"](spark, data_dir).collect()) == sorted(pages - whole)
     bad = found(q["p5_found"](spark, data_dir))
     want = {}
     for k in sorted(k for k, t in blocks.items() if k not in bad and t is not None):
         want.setdefault(k[0], []).append(blocks[k])
     assert found(q["p5_bodies"](spark, data_dir)) == {(i, " ".join(t)) for i, t in want.items()}
+
+
+def test_whole_pages_leave_both_collections(spark):
+    found_rows = spark.createDataFrame([(1, -1), (1, 0), (2, 3)], "page_id long, block_ord int")
+    blocks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 3, "c"), (2, 4, "d"), (2, 4, "d"), (3, 0, None)], "page_id long, block_ord int, text string")
+    assert found(residue.cleaned_blocks(blocks, found_rows)) == {(2, 4, "d"), (3, 0, None)}
+    pages = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (3, None)], "page_id long, html string")
+    assert sorted(map(tuple, residue.cleaned_pages(pages, found_rows).collect()), key=str) == [(2, "y"), (3, None)]
+
+
+def test_held_out_messages_are_learned(spark):
+    """Messages in no seed: found where they stand alone on several hosts, then wherever else they stand."""
+    messages = ["Nothing answers at this door today.", "Ce rayon dort encore un peu.", "Der Laden schläft noch, klopfen hilft nicht."]
+    assert not any(residue_text.contains_field(m) for m in messages)
+    rows, want, n = [], set(), 0
+    for m in messages:
+        for host in "abcd":
+            n += 1
+            rows.append((n, f"https://{host}.example/{n}", P.html([m], title=f"T{n}")))
+            want |= {(n, -1), (n, m)}
+    for m in messages:
+        n += 1
+        rows.append((n, f"https://e.example/{n}", P.html([*P.body(n), m], title=f"T{n}")))
+        want.add((n, m))
+    n += 1
+    rows.append((n, f"https://f.example/{n}", P.html([*P.body(n), "He said that nothing answers at this door today, not even the old dog."], title=f"T{n}")))
+    rows += [(100 + i, u, h) for i, u, h in P.site()]
+    got = found(residue.find_residue(boilerplate.analyse(spark.createDataFrame(rows, "page_id long, page_url string, html string"))))
+    texts = {(i, b.ord): b.text for i, _, h in rows for b in extract_blocks(h)}
+    assert {(i, texts.get((i, o), o)) for i, o in got} == want
