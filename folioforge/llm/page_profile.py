@@ -61,13 +61,13 @@ SCHEMA = T.StructType(
         T.StructField("tokens", T.ArrayType(T.IntegerType(), False)),
         T.StructField("unblocked", T.BooleanType()),
         T.StructField("long_line", T.LongType()),
+        T.StructField("marked", T.ArrayType(T.IntegerType(), False)),
         T.StructField(
             "near",
             T.ArrayType(
                 T.StructType(
                     [
                         T.StructField("block_ord", T.IntegerType()),
-                        T.StructField("key", T.LongType()),
                         T.StructField("slots", T.ArrayType(T.IntegerType(), False)),
                         T.StructField("folded", T.StringType()),
                     ]
@@ -156,13 +156,13 @@ def sentences_of(texts: pa.Array) -> Sentences:
     return Sentences(owner, folded, *token_hashes(folded), whole)
 
 
-def _near(x: Sentences, least: int = 2) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """(text, key, slots, words) of the sentences of at least ``least`` words."""
+def _near(x: Sentences, least: int = 2) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(text, slots, words) of the sentences of at least ``least`` words."""
     some = x.lengths >= least
     keep = np.flatnonzero(some)
     words = x.folded.take(pa.array(keep))
     slots, ends = prefix_slots(x.hashes[np.repeat(some, x.lengths)], x.lengths[keep])
-    return x.owner[keep], hash_strings(words).astype(np.int64), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(slots)), words
+    return x.owner[keep], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(slots)), words
 
 
 def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | None]) -> pa.RecordBatch:
@@ -216,16 +216,15 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
     lengths = np.bincount(cut.owner, weights=cut.lengths, minlength=len(texts)).astype(np.int64)
     ends = np.concatenate(([0], np.cumsum(counts)))
     token_ends = np.concatenate(([0], np.cumsum(lengths)))
-    owner, key, slots, near_words = _near(cut)
+    owner, slots, near_words = _near(cut)
     page_of = np.searchsorted(ends, owner, side="right") - 1
     place = owner - ends[page_of]
     if beside:
         # titles and notices of one word count too
-        owner2, key2, slots2, words2 = _near(sentences_of(said), 1)
+        owner2, slots2, words2 = _near(sentences_of(said), 1)
         page_of = np.concatenate((page_of, np.array(of)[owner2]))
         order = np.argsort(page_of, kind="stable")
         page_of, place = page_of[order], np.concatenate((place, np.array(place_of)[owner2]))[order]
-        key = np.concatenate((key, key2))[order]
         slots = pa.concat_arrays([slots, slots2]).take(pa.array(order))
         near_words = pa.concat_arrays([near_words, words2]).take(pa.array(order))
     near_ends = np.searchsorted(page_of, np.arange(len(pages) + 1))
@@ -234,6 +233,7 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
     token_count = lengths.astype(np.int32)
+    marked = np.flatnonzero(flags & (FIELD | MESSAGE_TITLE))  # blocks that are residue by themselves
     # the line of the first block of the main container that alone makes a body long; null without
     long = np.flatnonzero(((flags & MAIN) != 0) & ((flags & BYLINE) == 0) & (words > SHORT_WORDS))
     at = np.searchsorted(long, ends[:-1])
@@ -242,8 +242,8 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
     long_line = pa.array(keys[long[at[some]]] if some.any() else np.zeros(0, np.int64)).take(pa.array(np.where(some, np.cumsum(some) - 1, 0), mask=~some)) if some.any() else pa.nulls(len(pages), pa.int64())
     langs = [(m[1].lower() if (m := _LANG.search(h)) else None) for h in htmls]
     struct = pa.StructArray.from_arrays(
-        [pa.array(place.astype(np.int32)), pa.array(key), slots, near_words],
-        names=["block_ord", "key", "slots", "folded"],
+        [pa.array(place.astype(np.int32)), slots, near_words],
+        names=["block_ord", "slots", "folded"],
     )
     # the tokens of a page come after the token counts of its blocks
     merged_ends = ends + token_ends[ends]
@@ -263,6 +263,7 @@ def profile_batch(ids: list[int], hosts: list[str | None], htmls: list[str | Non
             listed(pa.array(merged), merged_ends),
             pa.array(unblocked, pa.bool_()),
             long_line,
+            listed(pa.array((marked - ends[np.searchsorted(ends, marked, side="right") - 1]).astype(np.int32)), np.searchsorted(marked, ends)),
             listed(struct, near_ends),
         ],
         names=SCHEMA.names,

@@ -42,7 +42,8 @@ def _similar(a: Column, b: Column) -> Column:
 
 def sentences(profile: DataFrame) -> DataFrame:
     """``page_id, host, block_ord, key, slots, folded`` of all sentences, once for each delivery of a page."""
-    return profile.select("page_id", "host", F.explode("near").alias("n")).select("page_id", "host", "n.*")
+    rows = profile.select("page_id", "host", F.explode("near").alias("n"))
+    return rows.select("page_id", "host", "n.block_ord", F.xxhash64("n.folded").alias("key"), "n.slots", "n.folded")
 
 
 def _maybe_short(p: Pages) -> DataFrame:
@@ -62,7 +63,7 @@ def sole_bodies(p: Pages, nodes: DataFrame) -> DataFrame:
     here = some.select("page_id", "host", "near").join(body, "page_id", "left").where(F.coalesce("n", F.lit(0)) <= SOLE_WORDS)
     own = F.coalesce("own", F.array(F.lit(NOTICE)))
     said = here.withColumn("own", own).select("page_id", "host", F.explode(F.expr("filter(near, n -> array_contains(own, n.block_ord))")).alias("n"))
-    alone = said.select("page_id", "host", "n.*").groupBy("key").agg(
+    alone = said.select("page_id", "host", F.xxhash64("n.folded").alias("key"), "n.slots", "n.folded").groupBy("key").agg(
         F.count_distinct("page_id").alias("alone"), F.count_distinct("host").alias("hosts"), F.first("slots").alias("slots"), F.first("folded").alias("folded")
     )
     alone = keep(alone.where(F.col("hosts") >= SOLE_HOSTS), "alone")
@@ -95,8 +96,7 @@ def residue_blocks(p: Pages, nodes: DataFrame) -> DataFrame:
     """``page_id, block_ord`` of the blocks that are or contain residue, and of labelled notices and title parts, kept."""
     labels = labelled_sentences(nodes.select("key", "slots", "folded"), sole_bodies(p, nodes))
     said = nodes.select("page_id", "block_ord", "key").join(labels, "key", "left_semi").select("page_id", "block_ord")
-    rows = p.profile.select("page_id", F.posexplode("flags").alias("block_ord", "flags"))
-    shown = rows.where(field_flag()).select("page_id", "block_ord")
+    shown = p.profile.select("page_id", F.explode("marked").alias("block_ord"))
     return keep(shown.unionByName(said).dropDuplicates(["page_id", "block_ord"]), "residue")
 
 

@@ -80,10 +80,10 @@ def near_sentences(spark, sentences):
     import pyarrow as pa
 
     cut = page_profile.sentences_of(pa.array(sentences))
-    owner, key, slots, words = page_profile._near(cut)
-    rows = list(zip(key.tolist(), slots.to_pylist(), words.to_pylist()))
+    owner, slots, words = page_profile._near(cut)
+    rows = list(zip(range(len(owner)), slots.to_pylist(), words.to_pylist()))
     labels = {r["key"] for r in residue.labelled_sentences(spark.createDataFrame(rows, "key long, slots array<int>, folded string")).collect()}
-    return {sentences[i] for i, k in zip(owner.tolist(), key.tolist()) if k in labels}
+    return {sentences[i] for k, i in enumerate(owner.tolist()) if k in labels}
 
 
 def similar(a, b):
