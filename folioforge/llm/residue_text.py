@@ -7,6 +7,7 @@ show by default.  What a corpus says in words of its own is learned from it
 
 from __future__ import annotations
 
+import bisect
 import re
 
 # Unfilled fields of common template languages, of any length.
@@ -51,17 +52,18 @@ LOREM = frozenset(
 _MASHED = frozenset("asdf asd sdf dfg fgh jkl jklö qwe qwer qwert qwerty qwertz azerty foo bar baz blah bla xyz abc xxx xxxx test tests testing probe essai prueba тест".split())
 # Heads of filler texts that name themselves such, notes to the author, in several languages.
 _FILLER = re.compile(
-    r"^\W*(?:(?:this|here) is (?:a |an |some |your )?)?(?:sample|dummy|placeholder|filler) (?:heading|title|text|texts|paragraph|sentence|content|copy|subtitle|caption|headline)\b"
-    r"|^\W*(?:\w+ ){0,3}placeholder\W+(?:insert|replace|add|put|edit)\b"
-    r"|^\W*(?:text|copy|content|image|title|headline|description|caption) (?:goes|comes|to come|coming|to follow|tbd|tbc)\b"
-    r"|^\W*(?:dies(?:er|es) (?:ist ein )?)?(?:blindtext|platzhalter(?:text)?|mustertext|beispieltext)\b"
-    r"|^\W*texte? (?:provisoire|fictif|factice|d['’]exemple|de remplissage|à remplacer)\b"
-    r"|^\W*texto (?:de (?:ejemplo|relleno|muestra|prueba|exemplo|preenchimento)|provisional|provisório|simulado|ficticio|fictício)\b"
-    r"|^\W*testo (?:segnaposto|di esempio|provvisorio)\b"
-    r"|^\W*(?:пример текста|текст[ -](?:заполнитель|рыба)|здесь будет текст)\b",
+    r"\W*(?:(?:this|here) is (?:a |an |some |your )?)?(?:sample|dummy|placeholder|filler) (?:heading|title|text|texts|paragraph|sentence|content|copy|subtitle|caption|headline)\b"
+    r"|\W*(?:\w+ ){0,3}placeholder\W+(?:insert|replace|add|put|edit)\b"
+    r"|\W*(?:text|copy|content|image|title|headline|description|caption) (?:goes|comes|to come|coming|to follow|tbd|tbc)\b"
+    r"|\W*(?:dies(?:er|es) (?:ist ein )?)?(?:blindtext|platzhalter(?:text)?|mustertext|beispieltext)\b"
+    r"|\W*texte? (?:provisoire|fictif|factice|d['’]exemple|de remplissage|à remplacer)\b"
+    r"|\W*texto (?:de (?:ejemplo|relleno|muestra|prueba|exemplo|preenchimento)|provisional|provisório|simulado|ficticio|fictício)\b"
+    r"|\W*testo (?:segnaposto|di esempio|provvisorio)\b"
+    r"|\W*(?:пример текста|текст[ -](?:заполнитель|рыба)|здесь будет текст)\b",
     re.I,
 )
-_NOTE = re.compile(r"^\W*(?:TODO|TBD|FIXME|XXX+)\b(?=\W)|\bXXX+\W*$")
+_NOTE = re.compile(r"\W*(?:TODO|TBD|FIXME|XXX+)\b(?=\W)")
+_NOTE_END = re.compile(r"\bXXX+\W*\Z")
 # Default messages of servers, frameworks, browsers and site builders, and their usual translations.
 MESSAGES = """
 page not found
@@ -251,29 +253,29 @@ def _is_mention(sentence: str, at: int) -> bool:
     return bool(_WRITE.search(sentence[:at]) and _ABOUT_TEMPLATES.search(sentence))
 
 
+_MASHED_ONE = re.compile(r"\b(?:" + "|".join(sorted(_MASHED)) + r")\b", re.I)
+_FIELD_SIGNS = re.compile(r"[{\[%@]|<[%?]|__|NaN")
+
+
 def contains_field(text: str) -> bool:
     """Whether a text holds an unfilled field, filler or a note to its author, and does not write about it."""
-    if _FILLER.search(text) or _NOTE.search(text):
+    if _FILLER.match(text) or _NOTE.match(text) or "XXX" in text and _NOTE_END.search(text):
         return True
-    has_field = FIELD.search(text) or UNDEFINED.search(text)
-    if not has_field and not _LATIN.search(text) and len(text) > 400:
-        return False
-    if has_field:
-        spans = [(0, 0)] if len(text) < 1 else []
-        start = 0
-        for m in _SENTENCES.finditer(text):
-            spans.append((start, m.start()))
-            start = m.end()
-        spans.append((start, len(text)))
-        hits = [m.start() for p in (FIELD, UNDEFINED) for m in p.finditer(text)]
+    hits = [m.start() for m in FIELD.finditer(text)] if _FIELD_SIGNS.search(text) else []
+    if "undefined" in text:
+        hits += [m.start() for m in UNDEFINED.finditer(text)]
+    if hits:
+        cuts = [0, *(m.end() for m in _SENTENCES.finditer(text)), len(text) + 1]
         for h in hits:
-            lo, hi = next(((a, b) for a, b in spans if a <= h < b), (0, len(text)))
-            if not _is_mention(text[lo:hi], h - lo):
+            k = bisect.bisect_right(cuts, h) - 1
+            if not _is_mention(text[cuts[k] : cuts[k + 1]], h - cuts[k]):
+                return True
+    latin, mashed = _LATIN.search(text), _MASHED_ONE.search(text)
+    if latin or mashed:
+        for s in _SENTENCES.split(text):
+            words = re.findall(r"[^\W\d_]+", s.lower())
+            if len(words) >= 2 and (latin and sum(w in LOREM for w in words) >= 0.7 * len(words) or mashed and all(w in _MASHED for w in words)):
                 return True
-    for s in _SENTENCES.split(text):
-        words = re.findall(r"[^\W\d_]+", s.lower())
-        if len(words) >= 2 and (sum(w in LOREM for w in words) >= 0.7 * len(words) or all(w in _MASHED for w in words)):
-            return True
     return False
 
 
