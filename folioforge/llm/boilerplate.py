@@ -140,12 +140,18 @@ def distinct_per_class(cls: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def ranked_runs(s: Shard, pick: np.ndarray) -> Runs:
-    """The runs of the blocks ``pick``, at least one, over the suffixes of the whole shard."""
-    blocks = len(s.page)
+    """The runs of the blocks ``pick``, at least one, over the suffixes of the shard.
+
+    A run lies within its block, so the stream holds the tokens of these blocks alone.
+    """
+    chosen = np.zeros(len(s.page), bool)
+    chosen[pick] = True
+    token_block = np.repeat(np.arange(len(s.page)), s.lengths)
+    tokens, token_block = s.tokens[chosen[token_block]], token_block[chosen[token_block]]
+    lengths = np.where(chosen, s.lengths, 0)
     # symbols: (host, token), and an own separator after each page
-    token_block = np.repeat(np.arange(blocks), s.lengths)
     token_page = s.page[token_block]
-    symbol = dense(s.host[token_block] * (1 << 32) + s.tokens.astype(np.int64)) if len(s.tokens) else np.zeros(0, np.int64)
+    symbol = dense(s.host[token_block] * (1 << 32) + tokens.astype(np.int64)) if len(tokens) else np.zeros(0, np.int64)
     pages = int(s.page[-1]) + 1
     top = int(symbol.max()) + 1 if len(symbol) else 0
     where = np.arange(len(symbol)) + token_page
@@ -154,7 +160,7 @@ def ranked_runs(s: Shard, pick: np.ndarray) -> Runs:
     sep = np.ones(len(stream), bool)
     sep[where] = False
     stream[sep] = top + np.arange(pages)
-    block_start = np.concatenate(([0], np.cumsum(s.lengths)[:-1])) + s.page
+    block_start = np.concatenate(([0], np.cumsum(lengths)[:-1])) + s.page
     ranks = doubled_ranks(stream, int(s.lengths[pick].max()))
     cls = run_classes(ranks, block_start[pick], s.lengths[pick])
     first_of_page = np.flatnonzero(np.concatenate(([True], s.page[1:] != s.page[:-1])))
