@@ -283,5 +283,7 @@ def field_flag() -> Column:
 def find_boilerplate(p: Pages, residue: DataFrame) -> DataFrame:
     """``page_id, block_ord`` of the blocks outside the main body; ``residue``
     holds the blocks that are template residue, which are none of them."""
-    marks = block_marks(p).where(~F.col("is_body")).select("page_id", "block_ord")
-    return marks.join(residue.where("block_ord >= 0"), ["page_id", "block_ord"], "left_anti").dropDuplicates(["page_id", "block_ord"])
+    # a page delivered twice leaves before its blocks are rows
+    once = p.profile.select("page_id", "flags", "lines", "words").dropDuplicates(["page_id"])
+    marks = block_marks(p._replace(profile=once)).where(~F.col("is_body")).select("page_id", "block_ord")
+    return marks.join(residue.where("block_ord >= 0"), ["page_id", "block_ord"], "left_anti")
