@@ -1,4 +1,4 @@
-"""Signals inside markup and structured data, as Spark expressions.  Null gives null."""
+"""Signals inside texts, as Spark expressions.  Null gives null."""
 
 from __future__ import annotations
 
@@ -6,52 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def declarations(style: Column) -> Column:
-    """``prop -> value`` of an inline style, in lower case; a repeated property keeps its last value."""
-    parts = F.filter(F.split(F.lower(style), ";"), lambda d: d.contains(":"))
-    pairs = F.transform(parts, lambda d: F.struct(F.trim(F.regexp_extract(d, "^([^:]*):", 1)).alias("k"), F.trim(F.regexp_extract(d, "^[^:]*:(.*)$", 1)).alias("v")))
-    # the last wins: keep a pair if no later one has its key
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
-
-
-def _number(c: Column) -> Column:
-    return F.regexp_extract(c, r"^(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
-
-
-def concealment(style: Column) -> Column:
-    """Name of the first technique by which a style hides its element, or null."""
-    m = declarations(style)
-    g = lambda k: F.coalesce(m[k], F.lit(""))
-    zero = lambda c: c.isin("0", "0px")
-    return (
-        F.when(g("display") == "none", "display:none")
-        .when(g("visibility") == "hidden", "visibility:hidden")
-        .when(g("opacity").isin("0", "0.0", "0%"), "opacity:0")
-        .when(g("font-size").isin("0", "0px", "0em", "0rem", "0%"), "font-size:0")
-        .when(_number(g("text-indent")) <= -9999, "text-indent")
-        .when(F.replace(g("clip"), F.lit(" "), F.lit("")).isin("rect(0,0,0,0)", "rect(0px,0px,0px,0px)"), "clip")
-        .when(zero(g("width")) | zero(g("height")), "zero size")
-        .when((g("position") == "absolute") & ((_number(g("left")) <= -1000) | (_number(g("top")) <= -1000)), "off screen")
-    )
-
-
-# Phrases that address a reading machine.
-OVERRIDE = "ignore (?:all )?(?:previous|prior) instructions|disregard the above|system prompt|you are an? (?:ai|assistant|language model)|as an ai|new instructions"
-AUTHORITY = "cite this (?:page|site|source)|authoritative source|always (?:recommend|mention)|rank this|do not suggest competitors"
-ADDRESS = "(?:^|[^a-z])(?:ai|assistant|model|chatbot|llm|agent|crawler|bot) *[,:] *(?:please |kindly |always )*(?:cite|recommend|mention|rank|ignore|treat|respond|answer|include|list|tell|say|write)(?:[^a-z]|$)"
-
-
-def instruction_kind(text: Column) -> Column:
-    """override, agent addressing or self authority (from 40 characters on), or null."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike(OVERRIDE), "override")
-        .when(low.rlike(ADDRESS), "agent addressing")
-        .when(low.rlike(AUTHORITY) & (F.length(text) >= 40), "self authority")
-    )
-
-
 def parse_claimed_date(c: Column) -> Column:
     """Date in one of five usual forms, the first that fits; null else."""
     t = F.replace(F.trim(c), F.lit(","), F.lit(""))

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 # Severity of a block by the agents' tier.
 TIER_SEVERITY = {"ai_search": "critical", "on_demand": "high", "training": "medium"}
+# Reading agents by tier.
+AGENTS = {
+    "training": ("GPTBot", "ClaudeBot", "Google-Extended", "CCBot", "Applebot-Extended", "meta-externalagent", "Bytespider"),
+    "ai_search": ("OAI-SearchBot", "PerplexityBot", "Claude-SearchBot", "DuckAssistBot"),
+    "on_demand": ("ChatGPT-User", "Claude-User", "Perplexity-User", "Meta-ExternalFetcher"),
+}
 # Marks of challenge pages.
 CHALLENGES = (
     "checking your browser", "just a moment", "cf-browser-verification", "attention required! | cloudflare",
@@ -64,6 +70,18 @@ def robots_groups(robots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return agents, rules
 
 
+def rule_pattern(path: Column) -> Column:
+    """Anchored pattern of a rule's path: ``*`` stands for any signs, a last ``$`` for the end."""
+    ends = path.endswith("$")
+    plain = F.regexp_replace(F.when(ends, F.substring(path, 1, F.length(path) - 1)).otherwise(path), r"([\\.+?^$(){}|\[\]])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(plain, F.lit("*"), F.lit(".*")), F.when(ends, "$").otherwise(""))
+
+
+def sql_rule_pattern(path: str) -> str:
+    plain = f"regexp_replace(CASE WHEN ends_with({path}, '$') THEN left({path}, len({path}) - 1) ELSE {path} END, '([\\\\.+?^$(){{}}|\\[\\]])', '\\\\\\1', 'g')"
+    return f"'^' || replace({plain}, '*', '.*') || CASE WHEN ends_with({path}, '$') THEN '$' ELSE '' END"
+
+
 def allowed(robots: DataFrame, agents: list[str], paths: DataFrame) -> DataFrame:
     """``site, agent, path, allowed`` for each of ``agents`` (a fixed short list)
     and each ``site, path``: the groups that name the agent,
@@ -76,8 +94,10 @@ def allowed(robots: DataFrame, agents: list[str], paths: DataFrame) -> DataFrame
     star = rest.join(groups.where("agent = '*'").select("site", "grp"), "site").select("site", "agent", "grp")
     own = named.unionByName(star).join(rules.where("path <> ''"), ["site", "grp"])
     asked = matrix.select("site", "agent").join(paths, "site")
-    plain = F.regexp_replace(F.regexp_replace("r.path", r"\*.*$", ""), r"\$$", "")
-    hit = asked.alias("q").join(own.alias("r"), (F.col("q.site") == F.col("r.site")) & (F.col("q.agent") == F.col("r.agent")) & F.startswith(F.col("q.path"), plain), "left")
+    own = own.withColumn("pattern", rule_pattern(F.col("path")))
+    # most rules are plain beginnings
+    meets = F.when(F.col("r.path").rlike(r"[*$]"), F.rlike("q.path", "r.pattern")).otherwise(F.startswith("q.path", "r.path"))
+    hit = asked.alias("q").join(own.alias("r"), (F.col("q.site") == F.col("r.site")) & (F.col("q.agent") == F.col("r.agent")) & meets, "left")
     best = hit.groupBy(F.col("q.site").alias("site"), F.col("q.agent").alias("agent"), F.col("q.path").alias("path")).agg(
         F.max_by(F.col("r.kind"), F.struct(F.length("r.path"), (F.col("r.kind") == "allow").cast("int"))).alias("kind")
     )

@@ -29,15 +29,15 @@ def violations(findings: DataFrame) -> DataFrame:
 
 
 def merge(findings: DataFrame) -> DataFrame:
-    """One row for each id: pages, the weakest confidence, the first pages by address."""
+    """One row for each id: what its first page by address says, pages, the weakest confidence."""
     g = findings.groupBy("id").agg(
-        F.first("severity").alias("severity"), F.first("track").alias("track"), F.first("skill").alias("skill"),
+        F.min(F.struct("page_url", "page_id", "severity", "track", "skill")).alias("f"),
         F.countDistinct("severity", "track", "skill").alias("kinds"),
         F.min(rank_in(F.col("confidence"), CONFIDENCES)).alias("weakest"),
         F.countDistinct("page_url").alias("pages"), F.min("page_url").alias("first_page"),
     )
     return g.select(
-        "id", "severity", "track", "skill", F.element_at(F.array(*map(F.lit, CONFIDENCES)), F.col("weakest").cast("int")).alias("confidence"),
+        "id", "f.severity", "f.track", "f.skill", F.element_at(F.array(*map(F.lit, CONFIDENCES)), F.col("weakest").cast("int")).alias("confidence"),
         "pages", "first_page", (F.col("kinds") > 1).alias("conflict"),
     )
 

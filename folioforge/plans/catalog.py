@@ -18,13 +18,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(page_host("page_url").alias("site"), "status").agg(F.count("*").alias("pages"))
 
 
-_MODULES = ("html_plans", "text_plans", "perimeter_plans", "site_plans", "derived_plans", "more_plans")
+_MODULES = (
+    "html_plans", "text_plans", "perimeter_plans", "site_plans", "derived_plans", "more_plans", "graph_plans", "audit_plans", "content_plans", "crawl_plans",
+)
 
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {"site_status": flagship}
     for m in _MODULES:
-        found |= import_module(f"folioforge.plans.{m}").QUERIES
+        own = import_module(f"folioforge.plans.{m}").QUERIES
+        if twice := sorted(found.keys() & own.keys()):
+            raise ValueError(f"registered twice: {twice}")
+        found |= own
     return found
 
 

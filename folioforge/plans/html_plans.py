@@ -117,15 +117,6 @@ def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_rows.json_ld(html_pages(spark, sf_dir))
 
 
-@query(
-    "d13_json_ld_nodes",
-    f"""WITH {_LD} SELECT page_id, ord, json_extract_string(body, '$."@type"') AS type, json_extract_string(body, '$.name') AS name,
-    json_extract_string(body, '$."@id"') AS id FROM ld WHERE json_valid(body)""",
-)
-def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_rows.json_ld_nodes(html_pages(spark, sf_dir))
-
-
 @query("b18_title", f"WITH {H} SELECT page_id, {markup.sql_plain('regexp_extract(html, ' + markup.sql_string(html_rows.TITLE) + ', 1)')} AS title FROM h")
 def b18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages(spark, sf_dir).select("page_id", html_rows.title(F.col("html")).alias("title")).dropDuplicates(["page_id"])
@@ -159,21 +150,6 @@ def b24(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).dropDuplicates(["page_id"])
 
 
-@query(
-    "b20_labelled_pairs",
-    rf"""WITH {H}, x AS (SELECT page_id, regexp_extract_all({markup.sql_without_hidden('html')}, '(?is)<dt(?:[ ][^>]*)?>(.*?)</dt>[ \t\r\n]*<dd(?:[ ][^>]*)?>(.*?)</dd>', 1) AS t,
-    regexp_extract_all({markup.sql_without_hidden('html')}, '(?is)<dt(?:[ ][^>]*)?>(.*?)</dt>[ \t\r\n]*<dd(?:[ ][^>]*)?>(.*?)</dd>', 2) AS d FROM h),
-    z AS (SELECT page_id, t, d, unnest(range(1, len(t) + 1)) AS i FROM x)
-    SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, {markup.sql_plain('t[i]')} || ': ' || {markup.sql_plain('d[i]')} AS line FROM z""",
-)
-def b20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = r"(?is)<dt(?:[ ][^>]*)?>(.*?)</dt>[ \t\r\n]*<dd(?:[ ][^>]*)?>(.*?)</dd>"
-    own = html_pages(spark, sf_dir).select("page_id", markup.without_hidden(F.col("html")).alias("h"))
-    both = F.arrays_zip(html_rows.all_of(F.col("h"), pair, 1).alias("t"), html_rows.all_of(F.col("h"), pair, 2).alias("d"))
-    rows = own.select("page_id", F.posexplode(both).alias("ord", "x"))
-    return rows.select("page_id", "ord", F.concat(markup.plain(F.col("x.t")), F.lit(": "), markup.plain(F.col("x.d"))).alias("line")).dropDuplicates(["page_id", "ord"])
-
-
 @query(
     "b28_lines",
     f"""WITH {H}, x AS (SELECT page_id, string_split({markup.sql_visible_text('html')}, chr(10)) AS l FROM h),

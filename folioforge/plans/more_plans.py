@@ -11,7 +11,7 @@ from folioforge.functions.urls import page_host, template_key, url_path
 from folioforge.operators import html_rows, report
 from folioforge.operators.graph import connected_components, pagerank
 from folioforge.operators.near_duplicates import near_duplicate_groups
-from folioforge.plans.html_plans import _FORK, _HEAD, _KEY, _LD, _LINKS, _PATH, _UHOST, H, html_pages
+from folioforge.plans.html_plans import _FORK, _HEAD, _KEY, _LINKS, _PATH, _UHOST, H, html_pages
 from folioforge.plans.perimeter_plans import _LINES, _allowed_sql, _ROOT, root_access
 from folioforge.plans.shared import A, B, P, Query, artifacts, blocks, pages
 from folioforge.plans.site_plans import _FINDINGS, findings
@@ -34,35 +34,6 @@ def query(name: str, sql: str | None = None):
 # ---- extraction
 
 
-_TAGGED = r"(?is)<(div|li|a|button|p|ul)[ ][^>]*class=[\"']([^\"'>]+)[\"'][^>]*>([^<]*)"
-
-
-@query(
-    "b09_repeated_cards",
-    rf"""WITH {H}, x AS (SELECT page_id, regexp_extract_all(html, '{_TAGGED.replace("'", "''")}', 1) AS t, regexp_extract_all(html, '{_TAGGED.replace("'", "''")}', 2) AS c, regexp_extract_all(html, '{_TAGGED.replace("'", "''")}', 3) AS w FROM h),
-    y AS (SELECT page_id, t, c, w, unnest(range(1, len(t) + 1)) AS i FROM x), z AS (SELECT page_id, lower(t[i]) AS tag, c[i] AS class, len(regexp_extract_all(w[i], '[^ \t\r\n]+')) AS words FROM y)
-    SELECT tag, class, count(*) AS instances, count(DISTINCT page_id) AS pages, CAST(max(words) AS INTEGER) AS longest FROM z GROUP BY tag, class HAVING count(*) >= 6 AND max(words) <= 15""",
-)
-def b09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = lambda k: html_rows.all_of(F.col("html"), _TAGGED, k)
-    both = F.arrays_zip(g(1).alias("t"), g(2).alias("c"), g(3).alias("w"))
-    z = html_pages(spark, sf_dir).select("page_id", both.alias("all")).dropDuplicates(["page_id"]).select("page_id", F.explode("all").alias("x"))
-    z = z.select("page_id", F.lower("x.t").alias("tag"), F.col("x.c").alias("class"), F.regexp_count("x.w", F.lit(r"[^ \t\r\n]+")).alias("words"))
-    out = z.groupBy("tag", "class").agg(F.count("*").alias("instances"), F.countDistinct("page_id").alias("pages"), F.max("words").alias("longest"))
-    return out.where("instances >= 6 and longest <= 15")
-
-
-@query(
-    "b11_chrome_anchors",
-    rf"""WITH {H}, x AS (SELECT page_id, regexp_extract_all(html, '(?is)<(?:nav|footer|header)(?:[ ][^>]*)?>(.*?)</(?:nav|footer|header)>', 1) AS l, html FROM h)
-    SELECT page_id, len(regexp_extract_all(html, '<a ')) AS anchors, CAST(coalesce(list_sum(list_transform(l, lambda c: len(regexp_extract_all(c, '<a ')))), 0) AS BIGINT) AS in_chrome FROM x""",
-)
-def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chrome = html_rows.all_of(F.col("html"), r"(?is)<(?:nav|footer|header)(?:[ ][^>]*)?>(.*?)</(?:nav|footer|header)>", 1)
-    n = F.aggregate(F.transform(chrome, lambda c: F.regexp_count(c, F.lit("<a "))), F.lit(0), lambda a, b: a + b)
-    return html_pages(spark, sf_dir).select("page_id", F.regexp_count("html", F.lit("<a ")).cast("bigint").alias("anchors"), n.cast("bigint").alias("in_chrome")).dropDuplicates(["page_id"])
-
-
 @query(
     "b12_all_hrefs",
     r"""WITH {0}, x AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:a|link)[ ][^>]*href=["'']([^"''>]*)', 1)) AS href FROM h) SELECT href, count(*) AS uses, count(DISTINCT page_id) AS pages FROM x GROUP BY href""".replace("{0}", H),
@@ -73,25 +44,12 @@ def b12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("href").agg(F.count("*").alias("uses"), F.countDistinct("page_id").alias("pages"))
 
 
-@query("b14_calls_to_action", f"WITH {_LINKS} SELECT lower(anchor) AS label, count(*) AS links, count(DISTINCT page_id) AS pages FROM links WHERE url IS NOT NULL AND regexp_matches(lower(anchor), 'shop|contact|sign in|pricing|buy|order|subscribe|tienda|boutique|kontakt') GROUP BY 1")
-def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = html_rows.links(html_pages(spark, sf_dir)).withColumn("label", F.lower("anchor"))
-    rows = rows.where(F.col("label").rlike("shop|contact|sign in|pricing|buy|order|subscribe|tienda|boutique|kontakt"))
-    return rows.groupBy("label").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
-
-
 @query("b15_inline_scripts", r"WITH {0}, x AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script>(.*?)</script>', 1)) AS body FROM h) SELECT body, count(DISTINCT page_id) AS pages FROM x GROUP BY body".replace("{0}", H))
 def b15(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = html_pages(spark, sf_dir).select("page_id", F.explode(html_rows.all_of(F.col("html"), "(?is)<script>(.*?)</script>", 1)).alias("body"))
     return x.groupBy("body").agg(F.countDistinct("page_id").alias("pages"))
 
 
-@query("b17_hydration_blocks", r"""WITH {0} SELECT page_id, regexp_extract(html, '(?i)<div id="(__main|app|root)">', 1) AS mount FROM h WHERE regexp_matches(html, '(?i)<div id="(__main|app|root)">')""".replace("{0}", H))
-def b17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mount = F.regexp_extract("html", '(?i)<div id="(__main|app|root)">', 1)
-    return html_pages(spark, sf_dir).select("page_id", mount.alias("mount")).where("mount <> ''").dropDuplicates(["page_id"])
-
-
 @query("b19_heading_texts", f"WITH {_HEAD} SELECT lower(text) AS heading, count(*) AS times, count(DISTINCT page_id) AS pages FROM heads WHERE text <> '' GROUP BY 1")
 def b19(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = html_rows.headings(html_pages(spark, sf_dir)).where("text <> ''").groupBy(F.lower("text").alias("heading"))
@@ -143,42 +101,6 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", v.alias("variant"))
 
 
-@query("d15_node_types", f"""WITH {_LD} SELECT json_extract_string(body, '$."@type"') AS type, count(*) AS nodes, count(DISTINCT page_id) AS pages FROM ld WHERE json_valid(body) GROUP BY 1""")
-def d15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_rows.json_ld_nodes(html_pages(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("nodes"), F.countDistinct("page_id").alias("pages"))
-
-
-@query(
-    "d19_offer_prices",
-    """WITH x AS (SELECT p_partkey, '{"offers":[{"price":"' || p_size || '"},{"price":"' || (p_size + p_partkey % 3) || '"}]}' AS body FROM part), y AS (SELECT p_partkey, CAST(json_extract_string(body, '$.offers[0].price') AS INTEGER) AS a, CAST(json_extract_string(body, '$.offers[1].price') AS INTEGER) AS b FROM x)
-    SELECT p_partkey, least(a, b) AS lowest, greatest(a, b) AS highest FROM y WHERE a <> b""",
-)
-def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit('{"offers":[{"price":"'), "p_size", F.lit('"},{"price":"'), (F.col("p_size") + F.col("p_partkey") % 3).cast("int"), F.lit('"}]}'))
-    y = table(spark, sf_dir, "part").select("p_partkey", F.try_parse_json(body).alias("v"))
-    price = lambda i: F.try_variant_get("v", f"$.offers[{i}].price", "string").cast("int")
-    y = y.select("p_partkey", price(0).alias("a"), price(1).alias("b"))
-    return y.where("a <> b").select("p_partkey", F.least("a", "b").alias("lowest"), F.greatest("a", "b").alias("highest"))
-
-
-@query(
-    "d20_technical_ids",
-    """WITH x AS (SELECT p_partkey, p_brand, lpad(CAST(p_partkey * 7919 % 10000000000 AS VARCHAR), 13, '0') AS gtin FROM part), y AS (SELECT p_partkey, 'sku' AS kind, 'S' || p_partkey AS token FROM x UNION ALL SELECT p_partkey, 'gtin13', gtin FROM x UNION ALL SELECT p_partkey, 'mpn', p_brand FROM x WHERE p_partkey % 2 = 0)
-    SELECT kind, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens FROM y GROUP BY kind""",
-)
-def d20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    ids = F.array_compact(
-        F.array(
-            F.struct(F.lit("sku").alias("kind"), F.concat(F.lit("S"), k).alias("token")),
-            F.struct(F.lit("gtin13").alias("kind"), F.lpad((k * 7919 % 10_000_000_000).cast("string"), 13, "0").alias("token")),
-            F.when(k % 2 == 0, F.struct(F.lit("mpn").alias("kind"), F.col("p_brand").alias("token"))),
-        )
-    )
-    y = table(spark, sf_dir, "part").select(F.inline(ids))
-    return y.groupBy("kind").agg(F.count("*").alias("tokens"), F.countDistinct("token").alias("distinct_tokens"))
-
-
 _ADDRESS = r"[0-9]{1,5} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane), [A-Z][a-z]+, [A-Z]{2} [0-9]{5}"
 _ADDR = "'Visit ' || (s_suppkey % 90 + 1) || ' ' || CASE s_nationkey % 3 WHEN 0 THEN 'Mill Street' WHEN 1 THEN 'Oak Road' ELSE 'Hill' END || ', Town, AB ' || (10000 + s_nationkey) || ' today'"
 
@@ -215,30 +137,6 @@ def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("addresses >= 2 and clusters >= 2")
 
 
-@query(
-    "i02_no_authority_link",
-    """WITH n AS (SELECT s_suppkey, s_name FROM supplier), s AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'https://www.wikidata.org/wiki/Q' || s_suppkey WHEN 1 THEN 'https://blog.example/' || s_suppkey END AS url FROM supplier),
-    ok AS (SELECT s_suppkey FROM s WHERE regexp_matches(url, '^https?://(?:www\\.)?(?:wikidata\\.org|wikipedia\\.org|linkedin\\.com|github\\.com)/')) SELECT s_suppkey, s_name FROM n WHERE s_suppkey NOT IN (SELECT s_suppkey FROM ok)""",
-)
-def i02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    n = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    url = F.when(k % 3 == 0, F.concat(F.lit("https://www.wikidata.org/wiki/Q"), k)).when(k % 3 == 1, F.concat(F.lit("https://blog.example/"), k))
-    ok = n.withColumn("url", url).where(F.col("url").rlike(r"^https?://(?:www\.)?(?:wikidata\.org|wikipedia\.org|linkedin\.com|github\.com)/"))
-    return n.join(ok.select("s_suppkey"), "s_suppkey", "left_anti")
-
-
-@query(
-    "i09_outside_services",
-    f"""WITH {_LINKS}, svc AS (SELECT h.host, {_UHOST} AS target, page_id FROM links JOIN h USING (page_id) WHERE url IS NOT NULL) SELECT host, target, count(DISTINCT page_id) AS pages FROM svc WHERE target = host AND target <> '' GROUP BY host, target HAVING count(DISTINCT page_id) >= 2""",
-)
-def i09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts that at least two pages of a site link to; the test pages link to their own only."""
-    x = html_rows.links(html_pages(spark, sf_dir)).select("page_id", page_host("page_url").alias("host"), page_host("url").alias("target"))
-    x = x.where((F.col("target") == F.col("host")) & (F.col("target") != ""))
-    return x.groupBy("host", "target").agg(F.countDistinct("page_id").alias("pages")).where("pages >= 2")
-
-
 _KW = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z]+')), lambda x: len(x) > 4)"
 
 
@@ -273,22 +171,6 @@ def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(some, "page_id", "text", 5, 0.7).select("page_id", "group_id")
 
 
-@query(
-    "f13_steps_with_marketing",
-    rf"""WITH {B} SELECT page_id, block_ord, text FROM b WHERE regexp_matches(lower(text), '^(?:step *[0-9]+|[0-9]{{1,2}}[.)]) *[^ ]') AND regexp_matches(lower(text), 'letter|offer|new arrivals|free|save')""",
-)
-def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    return blocks(spark, sf_dir, "text").where(low.rlike("^(?:step *[0-9]+|[0-9]{1,2}[.)]) *[^ ]") & low.rlike("letter|offer|new arrivals|free|save")).select("page_id", "block_ord", "text")
-
-
-@query("f05_label_lines", f"""WITH {H}, x AS (SELECT page_id, regexp_extract_all(html, '(?is)<dt(?:[ ][^>]*)?>(.*?)</dt>', 1) AS l FROM h) SELECT page_id, len(l) AS labels, len(list_distinct(l)) AS distinct_labels FROM x WHERE len(l) > 0""")
-def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = html_rows.all_of(F.col("html"), "(?is)<dt(?:[ ][^>]*)?>(.*?)</dt>", 1)
-    df = html_pages(spark, sf_dir).select("page_id", x.alias("l")).where(F.size("l") > 0).dropDuplicates(["page_id"])
-    return df.select("page_id", F.size("l").cast("bigint").alias("labels"), F.size(F.array_distinct("l")).cast("bigint").alias("distinct_labels"))
-
-
 @query(
     "g05_authority_starved",
     """WITH RECURSIVE nodes AS (SELECT DISTINCT p_brand AS node FROM part), ed AS (SELECT a.p_brand AS src, b.p_brand AS dst FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size > b.p_size),
@@ -358,52 +240,9 @@ def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("mid >= 3 and mid >= 0.4 * facts")
 
 
-@query(
-    "k01_data_not_in_text",
-    rf"""WITH {_LD}, n AS (SELECT page_id, json_extract_string(body, '$.name') AS name FROM ld WHERE json_valid(body)), v AS (SELECT page_id, lower({markup.sql_visible_text('html')}) AS t FROM h)
-    SELECT page_id, name, contains(t, lower(name)) AS in_text FROM n JOIN v USING (page_id) WHERE name IS NOT NULL""",
-)
-def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = html_pages(spark, sf_dir)
-    n = html_rows.json_ld_nodes(own).where("name is not null").select("page_id", "name")
-    t = own.select("page_id", F.lower(markup.visible_text(F.col("html"))).alias("t")).dropDuplicates(["page_id"])
-    return n.join(t, "page_id").select("page_id", "name", F.contains("t", F.lower("name")).alias("in_text"))
-
-
-@query(
-    "k04_no_freshness",
-    rf"""WITH {H}, x AS (SELECT page_id, host, regexp_matches(html, 'Product') AS product, regexp_matches(html, 'dateModified|[Aa]s of [0-9]|[Ll]ast updated') AS fresh FROM h) SELECT host, count(*) FILTER (product) AS products, count(*) FILTER (product AND NOT fresh) AS without FROM x GROUP BY host""",
-)
-def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("html")
-    product, fresh = h.rlike("Product"), h.rlike("dateModified|[Aa]s of [0-9]|[Ll]ast updated")
-    df = html_pages(spark, sf_dir).select("page_id", "host", product.alias("p"), (product & ~fresh).alias("w")).dropDuplicates(["page_id"])
-    return df.groupBy("host").agg(F.count_if("p").alias("products"), F.count_if("w").alias("without"))
-
-
-@query("k09_pdf_pages", f"""WITH {P}, x AS (SELECT page_id, host, list_filter(map_entries(headers), lambda e: lower(e.key) = 'content-type')[1].value AS ct FROM p) SELECT host, count(*) FILTER (contains(lower(ct), 'pdf')) AS pdfs, count(*) AS pages FROM x GROUP BY host""")
-def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == "content-type")
-    ct = F.lower(F.get(entries, F.lit(0))["value"])
-    return pages(spark, sf_dir, "headers").groupBy("host").agg(F.count_if(ct.contains("pdf")).alias("pdfs"), F.count("*").alias("pages"))
-
-
 # ---- site files again, and the report
 
 
-@query(
-    "e18_header_and_page_language",
-    rf"""WITH {H}, x AS (SELECT page_id, lower(list_filter(map_entries(headers), lambda e: lower(e.key) = 'content-language')[1].value) AS said, lower(regexp_extract(html, '(?i)<html[^>]*lang="?''?([A-Za-z-]+)', 1)) AS lang FROM h)
-    SELECT page_id, said, lang, left(said, 2) = left(lang, 2) AS agrees FROM x WHERE said IS NOT NULL AND lang <> ''""",
-)
-def e18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == "content-language")
-    df = pages(spark, sf_dir, "html", "headers").where("html is not null").select(
-        "page_id", F.lower(F.get(entries, F.lit(0))["value"]).alias("said"), F.lower(F.regexp_extract("html", r"""(?i)<html[^>]*lang="?'?([A-Za-z-]+)""", 1)).alias("lang")
-    )
-    return df.where("said is not null and lang <> ''").withColumn("agrees", F.left("said", F.lit(2)) == F.left("lang", F.lit(2)))
-
-
 @query(
     "e20_unknown_checks",
     f"""WITH {A} SELECT site, kind AS unknown, 'could not be fetched' AS reason FROM a WHERE status = 'unavailable'""",

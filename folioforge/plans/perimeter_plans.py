@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions import markup
 from folioforge.operators import perimeter as E
-from folioforge.plans.shared import A, P, Query, artifacts, pages
+from folioforge.plans.shared import A, Query, artifacts
 from folioforge.sources import table
 
 QUERIES: dict[str, Query] = {}
@@ -24,16 +25,15 @@ def query(name: str, sql: str | None = None):
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The agents that were probed with their tier, a dimension of some twelve rows."""
-    p = table(spark, sf_dir, "probes_in").where("not is_control and tier is not null")
-    return p.groupBy("agent").agg(F.min("tier").alias("tier"))
+    """``agent, tier`` of the known reading agents, a fixed dimension."""
+    return spark.createDataFrame([(a, t) for t, names in E.AGENTS.items() for a in names], "agent string, tier string")
 
 
 def agent_names(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The probing plan's agents: a short list, whatever the number of sites."""
-    return sorted(agents(spark, sf_dir).select("agent").toArrow().column(0).to_pylist())
+    return sorted(a for names in E.AGENTS.values() for a in names)
 
 
+_BOTS = ", ".join(f"('{a}', '{t}')" for t, names in E.AGENTS.items() for a in names)
 _LINES = rf"""{A}, r AS (SELECT site, text FROM a WHERE kind = 'robots' AND status = 'present'),
 ln AS (SELECT site, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM r),
 lx AS (SELECT site, CAST(i - 1 AS INTEGER) AS line_no, trim(regexp_replace(regexp_replace(l[i], '^\x{{feff}}', ''), '#.*$', '')) AS line FROM (SELECT site, l, unnest(range(1, len(l) + 1)) AS i FROM ln)),
@@ -42,7 +42,7 @@ lg AS (SELECT *, lag(field) OVER (PARTITION BY site ORDER BY line_no) AS pf FROM
 lh AS (SELECT *, sum(CASE WHEN field = 'user-agent' AND (pf IS NULL OR pf <> 'user-agent') THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY line_no) AS grp FROM lg),
 groups AS (SELECT DISTINCT site, grp, lower(value) AS agent FROM lh WHERE grp > 0 AND field = 'user-agent'),
 rules AS (SELECT site, grp, line_no, field AS kind, value AS path FROM lh WHERE grp > 0 AND field IN ('allow', 'disallow')),
-bots AS (SELECT agent, min(tier) AS tier FROM probes_in WHERE NOT is_control AND tier IS NOT NULL GROUP BY agent),
+bots AS (SELECT * FROM (VALUES {_BOTS}) AS v(agent, tier)),
 matrix AS (SELECT site, agent, lower(agent) AS a FROM (SELECT DISTINCT site FROM r) CROSS JOIN bots),
 named AS (SELECT m.site, m.agent, g.grp FROM matrix m JOIN groups g ON m.site = g.site AND m.a = g.agent),
 star AS (SELECT m.site, m.agent, g.grp FROM matrix m JOIN groups g ON m.site = g.site AND g.agent = '*' WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.site = m.site AND n.agent = m.agent)),
@@ -52,7 +52,7 @@ own AS (SELECT o.site, o.agent, kind, path FROM (SELECT * FROM named UNION ALL S
 def _allowed_sql(paths: str) -> str:
     return f"""{_LINES}, asked AS (SELECT m.site, m.agent, q.path FROM matrix m JOIN ({paths}) q USING (site)),
     best AS (SELECT k.site, k.agent, k.path, arg_max(o.kind, len(o.path) * 2 + (o.kind = 'allow')::INTEGER) AS kind FROM asked k
-      LEFT JOIN own o ON o.site = k.site AND o.agent = k.agent AND starts_with(k.path, regexp_replace(regexp_replace(o.path, '\\*.*$', ''), '\\$$', '')) GROUP BY k.site, k.agent, k.path),
+      LEFT JOIN own o ON o.site = k.site AND o.agent = k.agent AND regexp_matches(k.path, {E.sql_rule_pattern("o.path")}) GROUP BY k.site, k.agent, k.path),
     allowed AS (SELECT site, agent, path, coalesce(kind, 'allow') = 'allow' AS allowed FROM best)"""
 
 
@@ -102,12 +102,15 @@ def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e05_agent_dimension",
-    """WITH x AS (SELECT agent, tier, lower(agent) AS k FROM probes_in WHERE NOT is_control AND tier IS NOT NULL)
-    SELECT agent, tier FROM (SELECT agent, tier, row_number() OVER (PARTITION BY k ORDER BY tier, agent) AS r FROM x) WHERE r = 1""",
+    f"""WITH pb AS (SELECT lower(agent) AS k, min(tier) AS tier, count(*) AS probes FROM probes_in WHERE NOT is_control AND tier IS NOT NULL GROUP BY 1), kn AS (SELECT agent, tier, lower(agent) AS k FROM (VALUES {_BOTS}) AS v(agent, tier))
+    SELECT coalesce(kn.agent, pb.k) AS agent, coalesce(kn.tier, pb.tier) AS tier, kn.k IS NOT NULL AS known, coalesce(probes, 0) AS probes FROM kn FULL JOIN pb ON kn.k = pb.k""",
 )
 def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "probes_in").where("not is_control and tier is not null").groupBy(F.lower("agent").alias("k"))
-    return x.agg(F.min(F.struct("tier", "agent")).alias("m")).select("m.agent", "m.tier")
+    """The known agents and those that were probed besides."""
+    pb = table(spark, sf_dir, "probes_in").where("not is_control and tier is not null").groupBy(F.lower("agent").alias("k")).agg(F.min("tier").alias("ptier"), F.count("*").alias("probes"))
+    kn = agents(spark, sf_dir).withColumn("kk", F.lower("agent"))
+    j = kn.join(pb, F.col("kk") == F.col("k"), "full")
+    return j.select(F.coalesce("agent", "k").alias("agent"), F.coalesce("tier", "ptier").alias("tier"), F.col("kk").isNotNull().alias("known"), F.coalesce("probes", F.lit(0)).alias("probes"))
 
 
 @query(
@@ -250,43 +253,53 @@ def url_key(c):
     return F.concat(host, F.coalesce(F.nullif(path, F.lit("")), F.lit("/")))
 
 
+_NO_PAGE = r"(?i)\.(?:txt|json|xml)$"
+
+
 @query(
     "e14_llms_not_in_sitemap",
-    rf"""WITH {A}, l AS (SELECT DISTINCT site, unnest(regexp_extract_all(text, '{_MDLINK}', 1)) AS url FROM a WHERE kind = 'llms' AND status = 'present'),
-    m AS (SELECT DISTINCT site, unnest(regexp_extract_all(text, '{_LOC}', 1)) AS url FROM a WHERE kind = 'sitemap' AND status = 'present'), k AS (SELECT DISTINCT site, {_NORM.format('url')} AS key FROM m)
-    SELECT DISTINCT l.site, {_NORM.format('l.url')} AS key FROM l WHERE l.site IN (SELECT site FROM k) AND NOT EXISTS (SELECT 1 FROM k WHERE k.site = l.site AND k.key = {_NORM.format('l.url')})""",
+    rf"""WITH {A}, l AS (SELECT DISTINCT site, unnest(regexp_extract_all(text, '{_MDLINK}', 1)) AS url FROM a WHERE kind = 'llms' AND status = 'present'), sm AS (SELECT site, text FROM a WHERE kind = 'sitemap' AND status = 'present'),
+    ix AS (SELECT DISTINCT site FROM sm WHERE regexp_matches(text, '(?i)<sitemapindex')), m AS (SELECT site, unnest(l) AS url, unnest(range(len(l))) AS ord FROM (SELECT site, regexp_extract_all(text, '{_LOC}', 1) AS l FROM sm WHERE site NOT IN (SELECT site FROM ix))),
+    k AS (SELECT DISTINCT site, {_NORM.format('url')} AS key FROM m), fh AS (SELECT site, min(split_part({_NORM.format('url')}, '/', 1)) AS host FROM m WHERE ord = 0 GROUP BY site)
+    SELECT DISTINCT l.site, {_NORM.format('l.url')} AS key, 'missing' AS state FROM l JOIN fh USING (site) WHERE split_part({_NORM.format('l.url')}, '/', 1) = host AND NOT regexp_matches({_NORM.format('l.url')}, '{_NO_PAGE}')
+      AND NOT EXISTS (SELECT 1 FROM k WHERE k.site = l.site AND k.key = {_NORM.format('l.url')})
+    UNION ALL SELECT DISTINCT site, '', 'unknown' FROM l WHERE site IN (SELECT site FROM ix)""",
 )
 def e14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that llms.txt names on the host of the sitemap's first address and that the sitemap lacks; unknown where that is an index."""
     ll = artifacts(spark, sf_dir, "llms").where("status = 'present'").select("site", F.explode(F.regexp_extract_all("text", F.lit(_MDLINK), F.lit(1))).alias("url"))
     ll = ll.select("site", url_key(F.col("url")).alias("key")).distinct()
-    k = E.sitemap_urls(artifacts(spark, sf_dir, "sitemap")).select("site", url_key(F.col("url")).alias("key")).distinct()
-    return ll.join(k.select("site").distinct(), "site", "left_semi").join(k, ["site", "key"], "left_anti")
+    maps = artifacts(spark, sf_dir, "sitemap").where("status = 'present'")
+    index = maps.where(F.col("text").rlike("(?i)<sitemapindex")).select("site").distinct()
+    m = E.sitemap_urls(maps.join(index, "site", "left_anti")).select("site", "ord", url_key(F.col("url")).alias("key"))
+    first = m.where("ord = 0").groupBy("site").agg(F.min(F.split_part("key", F.lit("/"), F.lit(1))).alias("host"))
+    lacking = ll.join(first, "site").where((F.split_part("key", F.lit("/"), F.lit(1)) == F.col("host")) & ~F.col("key").rlike(_NO_PAGE)).select("site", "key")
+    lacking = lacking.join(m.select("site", "key").distinct(), ["site", "key"], "left_anti").withColumn("state", F.lit("missing"))
+    return lacking.unionByName(ll.join(index, "site", "left_semi").select("site").distinct().select("site", F.lit("").alias("key"), F.lit("unknown").alias("state")))
 
 
 _PATHS = rf"SELECT DISTINCT site, regexp_extract(u, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT site, unnest(regexp_extract_all(text, '{_LOC}', 1)) AS u FROM a WHERE kind = 'sitemap' AND status = 'present')"
 
 
+_BOTH = f"SELECT site, path FROM ({_PATHS}) UNION SELECT DISTINCT site, '/' FROM r"
+
+
 @query(
     "e15_sitemap_disallowed",
-    f"""WITH {_allowed_sql(_PATHS)} SELECT site, agent, count(*) AS paths, count(*) FILTER (NOT allowed) AS disallowed FROM allowed GROUP BY site, agent HAVING count(*) FILTER (NOT allowed) > 0""",
+    f"""WITH {_allowed_sql(_BOTH)}, op AS (SELECT site, agent FROM allowed WHERE path = '/' AND allowed), j AS (SELECT site, tier, agent, path FROM allowed JOIN op USING (site, agent) JOIN bots USING (agent) WHERE NOT allowed.allowed)
+    SELECT site, tier, CASE tier WHEN 'ai_search' THEN 'high' WHEN 'on_demand' THEN 'medium' ELSE 'low' END AS severity, count(DISTINCT agent) AS agents, count(DISTINCT path) AS paths FROM j GROUP BY site, tier""",
 )
 def e15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared addresses closed to agents that may read the root; one notch less grave than a closed root."""
     paths = E.sitemap_urls(artifacts(spark, sf_dir, "sitemap"))
-    paths = paths.select("site", F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("path")).distinct()
-    ok = E.allowed(artifacts(spark, sf_dir, "robots"), agent_names(spark, sf_dir), paths)
-    return ok.groupBy("site", "agent").agg(F.count("*").alias("paths"), F.count_if(~F.col("allowed")).alias("disallowed")).where("disallowed > 0")
-
-
-@query(
-    "e16_noindex_pages",
-    f"""WITH {P}, e AS (SELECT page_id, host, unnest(map_entries(headers)) AS e FROM p), d AS (SELECT DISTINCT page_id, host, trim(lower(d)) AS d FROM (SELECT page_id, host, unnest(string_split(e.value, ',')) AS d FROM e WHERE lower(e.key) = 'x-robots-tag'))
-    SELECT host, count(DISTINCT page_id) AS pages, string_agg(DISTINCT d, ',' ORDER BY d) AS directives FROM d WHERE d IN ('noindex', 'none', 'noai', 'nofollow', 'noimageai') GROUP BY host""",
-)
-def e16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = pages(spark, sf_dir, "headers").select("page_id", "host", F.explode(F.map_entries("headers")).alias("e")).where(F.lower("e.key") == "x-robots-tag")
-    d = e.select("page_id", "host", F.explode(F.transform(F.split("e.value", ","), lambda x: F.trim(F.lower(x)))).alias("d"))
-    d = d.where(F.col("d").isin("noindex", "none", "noai", "nofollow", "noimageai"))
-    return d.groupBy("host").agg(F.countDistinct("page_id").alias("pages"), F.array_join(F.sort_array(F.collect_set("d")), ",").alias("directives"))
+    paths = paths.select("site", F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    robots = artifacts(spark, sf_dir, "robots")
+    roots = robots.where("status = 'present'").select("site", F.lit("/").alias("path"))
+    ok = E.allowed(robots, agent_names(spark, sf_dir), paths.unionByName(roots).distinct())
+    open_ = ok.where("path = '/' and allowed").select("site", "agent")
+    j = ok.where("not allowed").join(open_, ["site", "agent"], "left_semi").join(agents(spark, sf_dir), "agent")
+    g = j.groupBy("site", "tier").agg(F.count_distinct("agent").alias("agents"), F.count_distinct("path").alias("paths"))
+    return g.select("site", "tier", E.degraded(E.severity(F.col("tier"))).alias("severity"), "agents", "paths")
 
 
 @query(
@@ -327,25 +340,20 @@ def e21(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "e22_content_parity",
-    f"""WITH {_PR}, c AS (SELECT site, max(len(body)) AS control FROM pr WHERE is_control AND http_status = 200 GROUP BY site)
-    SELECT site, tier, agent, round(len(body) * 1.0::DOUBLE / control, 6) AS ratio, len(body) * 1.0::DOUBLE / control < 0.5 AS thin FROM pr JOIN c USING (site) WHERE NOT is_control AND http_status = 200 AND control > 0""",
-)
-def e22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = classified(spark, sf_dir).where("http_status = 200")
-    c = p.where("is_control").groupBy("site").agg(F.max(F.length("body")).alias("control")).where("control > 0")
-    r = F.length("body").cast("double") / F.col("control")
-    return p.where("not is_control").join(c, "site").select("site", "tier", "agent", F.round(r, 6).alias("ratio"), (r < 0.5).alias("thin"))
+_BODY = markup.sql_visible_text("body")
 
 
 @query(
-    "a14_forced_pages",
-    """WITH o AS (SELECT DISTINCT site, url, status FROM offsite_in) SELECT site, count(*) AS pages, count(*) FILTER (status = 'present') AS present FROM o GROUP BY site""",
+    "e22_content_parity",
+    f"""WITH {_PR}, c AS (SELECT site, max(len({_BODY})) AS control, bool_or(contains(lower(body), 'application/ld+json')) AS data FROM pr WHERE is_control AND http_status = 200 GROUP BY site)
+    SELECT site, tier, agent, round(len({_BODY}) * 1.0::DOUBLE / control, 6) AS ratio, len({_BODY}) * 1.0::DOUBLE / control < 0.5 AS thin, data AND NOT contains(lower(body), 'application/ld+json') AS data_lost FROM pr JOIN c USING (site) WHERE NOT is_control AND http_status = 200 AND control > 0""",
 )
-def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "offsite_in").select("site", "url", "status").distinct()
-    return o.groupBy("site").agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "present").alias("present"))
+def e22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text that agents get against the control's, and structured data they lose."""
+    p = classified(spark, sf_dir).where("http_status = 200").withColumns({"n": F.length(markup.visible_text(F.col("body"))), "d": F.lower("body").contains("application/ld+json")})
+    c = p.where("is_control").groupBy("site").agg(F.max("n").alias("control"), F.bool_or("d").alias("data")).where("control > 0")
+    r = F.col("n").cast("double") / F.col("control")
+    return p.where("not is_control").join(c, "site").select("site", "tier", "agent", F.round(r, 6).alias("ratio"), (r < 0.5).alias("thin"), (F.col("data") & ~F.col("d")).alias("data_lost"))
 
 
 @query(

@@ -101,14 +101,6 @@ def k02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages(spark, sf_dir).select("page_id", n("(?i)<script").alias("scripts"), n("(?i)<noscript").alias("notices"), F.contains("html", F.lit("self.__next_f.push(")).alias("hydrated")).dropDuplicates(["page_id"])
 
 
-@query("k07_missing_alt", rf"""WITH {H}, x AS (SELECT page_id, regexp_extract_all(html, '(?i)<img[^>]*>') AS l FROM h) SELECT count(*) AS pages, CAST(sum(len(l)) AS BIGINT) AS images, CAST(sum(len(list_filter(l, lambda t: NOT regexp_matches(t, '(?i)alt *=')))) AS BIGINT) AS without_alt FROM x""")
-def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imgs = F.regexp_extract_all("html", F.lit("(?i)<img[^>]*>"), F.lit(0))
-    bad = F.filter(imgs, lambda t: ~t.rlike("(?i)alt *="))
-    df = html_pages(spark, sf_dir).select("page_id", F.size(imgs).alias("i"), F.size(bad).alias("b")).dropDuplicates(["page_id"])
-    return df.agg(F.count("*").alias("pages"), F.sum("i").alias("images"), F.sum("b").alias("without_alt"))
-
-
 @query("j05_skipped_levels", f"WITH {_HEAD}, q AS (SELECT page_id, ord, level, lag(level) OVER (PARTITION BY page_id ORDER BY ord) AS before FROM heads) SELECT page_id, ord, level, before FROM q WHERE level > before + 1")
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("level").over(Window.partitionBy("page_id").orderBy("ord"))
@@ -141,55 +133,9 @@ def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DATA = r'(?i)application/ld\+json'
 
 
-@query("i01_structured_data", rf"WITH {H}, x AS (SELECT host, regexp_matches(html, '{_DATA}') AS has_data FROM h) SELECT host, count(*) AS pages, count(*) FILTER (has_data) AS with_data FROM x GROUP BY host")
-def i01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = html_pages(spark, sf_dir).select("page_id", "host", F.col("html").rlike(_DATA).alias("d")).dropDuplicates(["page_id"])
-    return df.groupBy("host").agg(F.count("*").alias("pages"), F.count_if("d").alias("with_data"))
-
-
-@query(
-    "i12_lookalike_hosts",
-    f"""WITH {P}, d AS (SELECT DISTINCT split_part(host, '.', 1) AS name, host FROM p WHERE host <> ''), q AS (SELECT name, host, i, substr(name, CAST(floor(len(name) * i / 4.0) AS BIGINT) + 1, CAST(floor(len(name) * (i + 1) / 4.0) - floor(len(name) * i / 4.0) AS BIGINT)) AS piece FROM d CROSS JOIN (VALUES (0), (1), (2), (3)) v(i))
-    SELECT DISTINCT a.host AS host_a, b.host AS host_b, levenshtein(a.name, b.name) AS distance FROM q a JOIN q b ON a.i = b.i AND a.piece = b.piece AND len(a.name) = len(b.name) AND a.host < b.host WHERE levenshtein(a.name, b.name) <= 4""",
-)
-def i12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of equal length that agree in a quarter at its place: up to three
-    changed letters leave one quarter as it was, so hosts meet by quarters only."""
-    d = pages(spark, sf_dir).where("host <> ''").select(F.split_part("host", F.lit("."), F.lit(1)).alias("name"), "host").distinct()
-    n = F.length("name")
-    cut = lambda i: F.floor(n * i / F.lit(4.0)).cast("int")
-    q = d.withColumn("piece", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.substring("name", cut(i) + 1, cut(i + 1) - cut(i)).alias("t"), n.alias("n")) for i in range(4)))))
-    a, b = q.select("piece", F.col("name").alias("na"), F.col("host").alias("host_a")), q.select("piece", F.col("name").alias("nb"), F.col("host").alias("host_b"))
-    met = a.join(b, "piece").where(F.col("host_a") < F.col("host_b"))
-    return met.select("host_a", "host_b", F.levenshtein("na", "nb").cast("bigint").alias("distance")).where("distance <= 4").distinct()
-
-
-@query(
-    "g09_comparison_content",
-    rf"""WITH {H}, x AS (SELECT host, regexp_matches(lower({_PATH}), '(?:^|[/-])(?:vs|versus|alternatives?|compared-to|comparison)(?:[/-]|$)') OR regexp_matches(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 'what suits you| vs[. ]|versus|compared to|comparison') AS c FROM h)
-    SELECT host, count(*) AS pages, count(*) FILTER (c) AS comparing FROM x GROUP BY host HAVING count(*) >= 5""",
-)
-def g09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.lower(url_path("page_url")).rlike("(?:^|[/-])(?:vs|versus|alternatives?|compared-to|comparison)(?:[/-]|$)") | F.lower(
-        F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
-    ).rlike("what suits you| vs[. ]|versus|compared to|comparison")
-    df = html_pages(spark, sf_dir).select("page_id", "host", c.alias("c")).dropDuplicates(["page_id"])
-    return df.groupBy("host").agg(F.count("*").alias("pages"), F.count_if("c").alias("comparing")).where("pages >= 5")
-
-
 _TARGET = "regexp_replace(regexp_replace(lower(url), '^https?://(?:www[.]|m[.])?', ''), '[?#].*$', '')"
 
 
-@query(
-    "h09_link_targets",
-    f"""WITH {_LINKS} SELECT {_TARGET} AS target, count(*) AS links, count(DISTINCT page_id) AS pages, min(anchor) AS anchor FROM links WHERE url IS NOT NULL GROUP BY 1""",
-)
-def h09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = F.regexp_replace(F.regexp_replace(F.lower("url"), "^https?://(?:www[.]|m[.])?", ""), "[?#].*$", "")
-    rows = html_rows.links(html_pages(spark, sf_dir)).withColumn("target", target)
-    return rows.groupBy("target").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"), F.min("anchor").alias("anchor"))
-
-
 @query(
     "h10_orphans",
     f"""WITH {_LINKS}, t AS (SELECT DISTINCT {_TARGET} AS target FROM links WHERE url IS NOT NULL), k AS (SELECT page_id, host, {_TARGET.replace('url', 'page_url')} AS own FROM h)

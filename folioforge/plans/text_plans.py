@@ -87,8 +87,6 @@ def c05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("nearest_heading").alias("heading"), F.array_join(T.keywords(F.col("nearest_heading")), " ").alias("words"))
 
 
-
-
 @query(
     "c06_units",
     rf"""WITH {B}, x AS (SELECT lower(regexp_extract(text, '([0-9]+) ([A-Za-z]+)', 2)) AS unit FROM b)
@@ -221,49 +219,6 @@ def f01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("page_id", F.size("a").alias("tokens"), F.array_join(F.slice("a", 1, 8), " ").alias("shown"))
 
 
-# Phrases that name a time only by the day they were written, and verbs of claims.
-_RELATIVE = r"(?:last|next|this) (?:year|month|week|quarter)|recently|currently|as of (?:now|today)|earlier this year|later this year|(?:a few|several) (?:years|months|weeks) ago"
-_CLAIMS = "updated?|updates|changed?|changes|launch(?:ed)?|released?|increased?|decreased?|reduced?|open(?:ed)?|closed?|expired?|expires|start(?:ed|s)?|end(?:ed|s)?|add(?:ed)?|removed?|moved?|revised?|publish(?:ed)?|modif(?:y|ied)|raised?|lower(?:ed)?"
-_EDGE = "(^|[^A-Za-z0-9])(?:{})([^A-Za-z0-9]|$)"
-
-
-@query(
-    "f02_relative_dates",
-    f"""WITH {_S} SELECT page_id, block_ord, n, sentence, regexp_extract(lower(sentence), '{_EDGE.format(_RELATIVE.replace("?:", ""))}', 0) AS around FROM s
-    WHERE len(sentence) BETWEEN 20 AND 400 AND regexp_matches(lower(sentence), '{_EDGE.format(_RELATIVE)}') AND regexp_matches(lower(sentence), '{_EDGE.format(_CLAIMS)}')
-    AND NOT regexp_matches(sentence, '(19|20)[0-9][0-9]')""",
-)
-def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("sentence")
-    ok = F.length("sentence").between(20, 400) & low.rlike(_EDGE.format(_RELATIVE)) & low.rlike(_EDGE.format(_CLAIMS)) & ~F.col("sentence").rlike("(19|20)[0-9][0-9]")
-    return sentence_rows(spark, sf_dir).where(ok).select(
-        "page_id", "block_ord", "n", "sentence", F.regexp_extract(low, _EDGE.format(_RELATIVE.replace("?:", "")), 0).alias("around")
-    )
-
-
-_PRICE = r"(?:a|an|the) ([a-z-]+ [a-z]+) costs about ([0-9]+) ([a-z]+)"
-
-
-@query(
-    "f03_scope_ambiguous",
-    f"""WITH {_S}, {P}, m AS (SELECT host, regexp_extract(lower(sentence), '{_PRICE}', 1) AS label, CAST(regexp_extract(lower(sentence), '{_PRICE}', 2) AS BIGINT) AS value,
-      regexp_extract(lower(sentence), '{_PRICE}', 3) AS unit, regexp_matches(lower(sentence), '{_EDGE.format("up to|starting at|average|approximately|at least|minimum|maximum|estimated")}') AS qualified
-      FROM s JOIN p USING (page_id) WHERE regexp_matches(lower(sentence), '{_PRICE}'))
-    SELECT host, label, unit, count(DISTINCT value) AS readings, min(value) AS lowest, max(value) AS highest FROM m GROUP BY host, label, unit HAVING count(DISTINCT value) >= 2 AND NOT bool_or(qualified)""",
-)
-def f03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("sentence")
-    m = sentence_rows(spark, sf_dir).where(low.rlike(_PRICE)).join(pages(spark, sf_dir).select("page_id", "host"), "page_id")
-    m = m.select(
-        "host", F.regexp_extract(low, _PRICE, 1).alias("label"), F.regexp_extract(low, _PRICE, 2).cast("bigint").alias("value"), F.regexp_extract(low, _PRICE, 3).alias("unit"),
-        low.rlike(_EDGE.format("up to|starting at|average|approximately|at least|minimum|maximum|estimated")).alias("qualified"),
-    )
-    g = m.groupBy("host", "label", "unit").agg(
-        F.countDistinct("value").alias("readings"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.bool_or("qualified").alias("q")
-    )
-    return g.where("readings >= 2 and not q").drop("q")
-
-
 @query(
     "f06_low_readability",
     f"""WITH {B}, r AS (SELECT page_id, text, count(*) OVER (PARTITION BY page_id, text) AS k FROM b), {_S.replace(B + ", ", "").replace("FROM b WHERE text IS NOT NULL", "FROM (SELECT b.* FROM b JOIN (SELECT DISTINCT page_id, text FROM r WHERE k < 3) USING (page_id, text))")},
@@ -286,106 +241,9 @@ def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("f", flesch).where("sentences >= 5 and words >= 100 and f < 30").select("page_id", "sentences", "words", "syllables", F.round("f", 4).alias("flesch"))
 
 
-@query(
-    "f07_freshness",
-    rf"""WITH {P}, x AS (SELECT page_id, fetched_at, list_filter(map_entries(headers), lambda e: lower(e.key) = 'last-modified')[1].value AS v FROM p),
-    y AS (SELECT page_id, fetched_at, try_strptime(substr(v, 6, 20), '%d %b %Y %H:%M:%S') AS modified FROM x WHERE v IS NOT NULL)
-    SELECT page_id, CAST(date_diff('day', CAST(modified AS DATE), CAST(fetched_at AS DATE)) AS INTEGER) AS age_days FROM y
-    WHERE modified IS NOT NULL AND fetched_at IS NOT NULL AND date_diff('day', CAST(modified AS DATE), CAST(fetched_at AS DATE)) >= 30""",
-)
-def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == "last-modified")
-    v = F.get(entries, F.lit(0))["value"]
-    modified = F.try_to_timestamp(F.substring(v, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
-    df = pages(spark, sf_dir, "headers", "fetched_at").withColumn("modified", modified)
-    return df.select("page_id", F.datediff(F.to_date("fetched_at"), F.to_date("modified")).alias("age_days")).where("age_days >= 30")
-
-
-@query(
-    "f09_fact_collisions",
-    f"""WITH {_S}, {P}, m AS (SELECT DISTINCT host, page_id, regexp_extract(lower(sentence), '{_PRICE}', 1) AS label, regexp_extract(lower(sentence), '{_PRICE}', 2) AS value
-      FROM s JOIN p USING (page_id) WHERE regexp_matches(lower(sentence), '{_PRICE}'))
-    SELECT label, count(DISTINCT page_id) AS pages, count(DISTINCT value) AS readings FROM m GROUP BY label HAVING count(DISTINCT page_id) >= 3 AND count(DISTINCT value) >= 2""",
-)
-def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("sentence")
-    m = sentence_rows(spark, sf_dir).where(low.rlike(_PRICE)).select("page_id", F.regexp_extract(low, _PRICE, 1).alias("label"), F.regexp_extract(low, _PRICE, 2).alias("value"))
-    g = m.groupBy("label").agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("value").alias("readings"))
-    return g.where("pages >= 3 and readings >= 2")
-
-
-@query(
-    "f10_opening_words",
-    f"""WITH {B}, t AS (SELECT page_id, string_agg(text, ' ' ORDER BY block_ord) AS t FROM b GROUP BY page_id)
-    SELECT page_id, array_to_string(string_split(t, ' ')[1:150], ' ') AS opening FROM t""",
-)
-def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folioforge.operators.page_text import page_text
-
-    return page_text(texts(spark, sf_dir)).select("page_id", F.array_join(F.slice(F.split("text", " "), 1, 150), " ").alias("opening"))
-
-
-# Words of vague size and of measured properties.
-_VAGUE = "large|small|medium|anything|significant|substantial|compact|lightweight|a lot|usual|usually|rarely"
-_SPEC = "price|size|weight|weighs|dimensions|capacity|length|width|height|volume|speed|storage|distance|duration|costs?|noise|weeks"
-
-
-@query(
-    "f11_hedges_with_context",
-    f"""WITH {_S}, q AS (SELECT page_id, block_ord, n, sentence, lag(sentence) OVER (PARTITION BY page_id ORDER BY block_ord, n) AS preceding FROM s)
-    SELECT page_id, block_ord, n, sentence, coalesce(preceding, '') AS preceding FROM q WHERE len(sentence) BETWEEN 20 AND 400 AND regexp_matches(lower(sentence), '{_EDGE.format("it depends|it helps to|less than most|results may vary|rarely")}')""",
-)
-def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("page_id").orderBy("block_ord", "n")
-    df = sentence_rows(spark, sf_dir).withColumn("preceding", F.coalesce(F.lag("sentence").over(w), F.lit("")))
-    return df.where(F.length("sentence").between(20, 400) & F.lower("sentence").rlike(_EDGE.format("it depends|it helps to|less than most|results may vary|rarely")))
-
-
-@query(
-    "f12_vague_measures",
-    f"""WITH {_S} SELECT page_id, block_ord, n, sentence FROM s WHERE len(sentence) BETWEEN 20 AND 400 AND NOT regexp_matches(sentence, '[0-9]')
-    AND regexp_matches(lower(sentence), '{_EDGE.format(_VAGUE)}') AND regexp_matches(lower(sentence), '{_EDGE.format(_SPEC)}')""",
-)
-def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("sentence")
-    ok = F.length("sentence").between(20, 400) & ~F.col("sentence").rlike("[0-9]") & low.rlike(_EDGE.format(_VAGUE)) & low.rlike(_EDGE.format(_SPEC))
-    return sentence_rows(spark, sf_dir).where(ok)
-
-
-@query(
-    "f14_filler_density",
-    f"""WITH {B}, x AS (SELECT page_id, sum(len(regexp_extract_all(lower(text), 'worth a look|very little|nobody expected|it helps to'))) AS phrases, sum(word_count) AS words FROM b GROUP BY page_id)
-    SELECT page_id, CAST(phrases AS BIGINT) AS phrases, CAST(words AS BIGINT) AS words, round(phrases::DOUBLE / words, 6) AS density FROM x WHERE words > 0 AND phrases > 0""",
-)
-def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.regexp_count(F.lower("text"), F.lit("worth a look|very little|nobody expected|it helps to"))
-    g = blocks(spark, sf_dir, "text", "word_count").groupBy("page_id").agg(F.sum(n).alias("phrases"), F.sum("word_count").alias("words"))
-    return g.where("words > 0 and phrases > 0").withColumn("density", F.round(F.col("phrases").cast("double") / F.col("words"), 6))
-
-
 # ---- citability and retrieval readiness
 
 
-@query(
-    "g03_superlatives",
-    f"""WITH {_S} SELECT page_id, block_ord, n, sentence FROM s WHERE len(sentence) BETWEEN 20 AND 400 AND NOT regexp_matches(sentence, '[0-9]') AND NOT ends_with(sentence, '?')
-    AND NOT regexp_matches(sentence, '["“”]') AND regexp_matches(lower(sentence), '{_EDGE.format("the best|the largest|the leading|most people|more popular|the most [a-z]+|the usual|number one|unmatched")}')""",
-)
-def g03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("sentence")
-    ok = F.length(s).between(20, 400) & ~s.rlike("[0-9]") & ~s.endswith("?") & ~s.rlike('["“”]')
-    return sentence_rows(spark, sf_dir).where(ok & F.lower(s).rlike(_EDGE.format("the best|the largest|the leading|most people|more popular|the most [a-z]+|the usual|number one|unmatched")))
-
-
-@query(
-    "g07_claims_with_numbers",
-    f"WITH {_S} SELECT page_id, count(*) AS claims, max(len(sentence)) AS longest FROM s WHERE len(sentence) BETWEEN 20 AND 400 AND regexp_matches(sentence, '[0-9]') GROUP BY page_id",
-)
-def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.length("sentence").between(20, 400) & F.col("sentence").rlike("[0-9]")
-    return sentence_rows(spark, sf_dir).where(ok).groupBy("page_id").agg(F.count("*").alias("claims"), F.max(F.length("sentence")).cast("bigint").alias("longest"))
-
-
 _GRAMS = "list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
 
 
@@ -404,18 +262,6 @@ _T = f"""{B}, t AS (SELECT page_id, string_agg(text, ' ' ORDER BY block_ord) AS
 wl AS (SELECT page_id, regexp_extract_all(lower(t), '{_WORDS['alnum_apostrophe']}') AS w FROM t)"""
 
 
-@query(
-    "j02_keyword_stuffing",
-    f"""WITH {_T}, g AS (SELECT page_id, len(w) AS words, unnest({_GRAMS.format(n=4)}) AS gram FROM wl WHERE len(w) >= 80)
-    SELECT page_id, gram, count(*) AS times, round(count(*) * 4.0::DOUBLE / any_value(words), 6) AS density FROM g GROUP BY page_id, gram HAVING count(*) >= 5 AND count(*) * 4.0::DOUBLE / any_value(words) >= 0.04""",
-)
-def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _word_lists(spark, sf_dir).where(F.size("w") >= 80).select("page_id", F.size("w").alias("words"), F.explode(_grams(4)).alias("gram"))
-    c = g.groupBy("page_id", "gram").agg(F.count("*").alias("times"), F.first("words").alias("words"))
-    d = F.col("times") * F.lit(4.0) / F.col("words")
-    return c.where((F.col("times") >= 5) & (d >= 0.04)).select("page_id", "gram", "times", F.round(d, 6).alias("density"))
-
-
 @query(
     "j09_dominant_trigram",
     f"""WITH {_T}, g AS (SELECT page_id, unnest({_GRAMS.format(n=3)}) AS gram FROM wl), c AS (SELECT page_id, gram, count(*) AS times FROM g GROUP BY page_id, gram HAVING count(*) >= 3)

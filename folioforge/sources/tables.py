@@ -15,16 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``.
+    """The cluster's shared folder, ``spark.checkpoint.dir``, or the one the session's checkpoints were set to.
 
-    Only where the session names none (tests, one machine) a folder of our
-    own below the temporary directory is set.
+    Only where the session names none and runs on one machine, a folder of our
+    own below the temporary directory is set; a cluster without one is an error,
+    as its executors would each write where the others cannot read.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = f"file://{tempfile.gettempdir()}/folioforge-{os.getpid()}"
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.functions import signals, urls
+from folioforge.functions import dom, signals, urls
 from folioforge.functions import text as T
 from folioforge.functions.html_blocks import extract_blocks
 from folioforge.sources.connectors import decode_body, is_public_host
@@ -55,10 +55,11 @@ def test_syllables(spark, word, n):
 
 @pytest.mark.parametrize(
     ("style", "how"),
-    [("display: none", "display:none"), ("display:none;display:block", None), ("text-indent:-9999px", "text-indent"), ("position:absolute;left:-2000px", "off screen"), ("left:-2000px", None), ("", None), (None, None)],
-)
-def test_concealment(spark, style, how):
-    assert one(spark, style, signals.concealment) == how
+    [("display: none", "display:none"), ("display:none;display:block", None), ("text-indent:-9999px", "text-indent"), ("position:absolute;left:-2000px", "off to the left"), ("left:-2000px", None), ("", None),
+     ("clip: rect(0, 0, 0, 0) !important", "clip"), ("WIDTH:0", "no width"), ("opacity:.5", None)],
+)
+def test_concealment(style, how):
+    assert dom.conceals(dom.declarations(style)) == how
 
 
 @pytest.mark.parametrize(("c", "d"), [("2024-03-05", "2024-03-05"), ("3/5/2024", "2024-03-05"), ("March 5, 2024", "2024-03-05"), ("Mar 5 2024", "2024-03-05"), ("soon", None)])
