@@ -15,7 +15,7 @@ from folioforge.functions import dom, markup, signals
 from folioforge.functions.urls import page_host, registrable_domain, resolve, url_path
 from folioforge.operators import html_rows, perimeter
 from folioforge.plans.examples import all_pages, all_pages_sql
-from folioforge.plans.shared import SITE, A, P, Query, artifacts, pages
+from folioforge.plans.shared import SITE, A, Query, artifacts
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -591,13 +591,13 @@ _FORCED = ("/", "/contact", "/checkout", "/search", "/pricing")
 
 @query(
     "a14_forced_pages",
-    rf"""WITH {P}, {A}, live AS (SELECT DISTINCT host, CASE WHEN pp = '' THEN '/' ELSE pp END AS path FROM (SELECT host, status, regexp_replace(regexp_extract(trim(page_url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', '') AS pp FROM p) WHERE status = 'present'),
+    rf"""WITH {all_pages_sql("graphs", "forms")}, {A}, live AS (SELECT DISTINCT host, CASE WHEN pp = '' THEN '/' ELSE pp END AS path FROM (SELECT host, regexp_replace(regexp_extract(trim(page_url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', '') AS pp FROM x)),
     known AS (SELECT DISTINCT {_UHOST} AS host, CASE WHEN up = '' THEN '/' ELSE up END AS path FROM (SELECT url, regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', '') AS up FROM (SELECT trim(unnest(regexp_extract_all(text, {lit(r"(?i)<loc>[ \t\r\n]*([^< \t\r\n][^<]*)</loc>")}, 1))) AS url FROM a WHERE kind = 'sitemap' AND status = 'present')))
     SELECT DISTINCT host, path FROM live WHERE path IN ({", ".join(map(lit, _FORCED))}) AND (host, path) NOT IN (SELECT host, path FROM known)""",
 )
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standard pages that answer and that no sitemap lists."""
     path = lambda c: F.coalesce(F.nullif(F.regexp_replace(url_path(c), "/+$", ""), F.lit("")), F.lit("/"))
-    live = pages(spark, sf_dir, "status").where("status = 'present'").select("host", path("page_url").alias("path"))
+    live = all_pages(spark, sf_dir, "graphs", "forms").select("host", path("page_url").alias("path"))
     known = perimeter.sitemap_urls(artifacts(spark, sf_dir, "sitemap")).select(page_host("url").alias("host"), path("url").alias("path"))
     return live.where(F.col("path").isin(*_FORCED)).distinct().join(known.distinct(), ["host", "path"], "left_anti")

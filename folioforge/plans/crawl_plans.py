@@ -12,7 +12,7 @@ from folioforge.plans import audit_plans, content_plans, graph_plans
 from folioforge.plans.audit_plans import lit
 from folioforge.plans.examples import all_pages, all_pages_sql
 from folioforge.plans.perimeter_plans import _LINES
-from folioforge.plans.shared import SITE, P, Query, artifacts, pages
+from folioforge.plans.shared import SITE, A, P, Query, artifacts, pages
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -66,8 +66,8 @@ _ROOT_OF = "'https://' || site || '/sitemap.xml'"
 
 @query(
     "a12_sitemap_walk",
-    f"""WITH RECURSIVE f AS (SELECT {_ROOT_OF} AS url, text FROM (SELECT DISTINCT site, text FROM artifacts_in WHERE kind = 'sitemap' AND status = 'present') UNION ALL SELECT * FROM (VALUES {", ".join(f"({lit(u)}, {lit(t)})" for u, t in _FILES)}) AS v(url, text)),
-    rt AS (SELECT DISTINCT site, {_ROOT_OF} AS url FROM artifacts_in WHERE kind = 'sitemap' AND status = 'present' UNION ALL SELECT 'w.test', 'https://w.test/sitemap.xml'),
+    f"""WITH RECURSIVE {A}, f AS (SELECT {_ROOT_OF} AS url, text FROM (SELECT DISTINCT site, text FROM a WHERE kind = 'sitemap' AND status = 'present') UNION ALL SELECT * FROM (VALUES {", ".join(f"({lit(u)}, {lit(t)})" for u, t in _FILES)}) AS v(url, text)),
+    rt AS (SELECT DISTINCT site, {_ROOT_OF} AS url FROM a WHERE kind = 'sitemap' AND status = 'present' UNION ALL SELECT 'w.test', 'https://w.test/sitemap.xml'),
     w AS (SELECT site, url AS sitemap, 0 AS level FROM rt UNION SELECT w.site, trim(l.u), w.level + 1 FROM w JOIN f ON f.url = w.sitemap, LATERAL (SELECT unnest(regexp_extract_all(f.text, {lit(_LOC)}, 1)) AS u) AS l WHERE w.level < {sitemaps.MOST_LEVELS - 1} AND (contains(lower(f.text), '<sitemapindex') OR regexp_matches(lower(trim(l.u)), '\\.xml(?:\\.gz)?$'))),
     fw AS (SELECT site, sitemap, min(level) AS level FROM w GROUP BY site, sitemap), lc AS (SELECT site, sitemap, level, contains(lower(text), '<sitemapindex') AS ix, trim(unnest(l)) AS url, unnest(range(len(l))) AS ord FROM (SELECT fw.*, f.text, regexp_extract_all(f.text, {lit(_LOC)}, 1) AS l FROM fw JOIN f ON f.url = fw.sitemap)),
     pg AS (SELECT site, url, min(struct_pack(level := level, sitemap := sitemap, ord := ord)) AS m FROM lc WHERE NOT ix AND NOT regexp_matches(lower(url), '\\.xml(?:\\.gz)?$') AND ord < {sitemaps.MOST_OF_FILE} GROUP BY site, url)

@@ -146,11 +146,12 @@ def l04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Letters that may differ between lookalike names, and the share that must agree.
 LOOKALIKE_DISTANCE, LOOKALIKE_SHARE = 3, 0.75
+_LOOKALIKES = ("lanternworks.test", "lanternwork.test", "lantemworks.test", "thelanternworks.test", "lampworks.test", "lanternworks.shop.test")
 
 
 @query(
     "i12_lookalike_hosts",
-    f"""WITH {P}, d AS (SELECT DISTINCT split_part(host, '.', 1) AS name, host FROM p WHERE host <> '')
+    f"""WITH {P}, d AS (SELECT DISTINCT split_part(host, '.', 1) AS name, host FROM (SELECT host FROM p UNION ALL SELECT unnest([{_LIST(_LOOKALIKES)}])) WHERE host <> '')
     SELECT a.host AS host_a, b.host AS host_b, levenshtein(a.name, b.name) AS distance FROM d a JOIN d b ON a.host < b.host AND abs(len(a.name) - len(b.name)) <= {LOOKALIKE_DISTANCE}
     WHERE levenshtein(a.name, b.name) <= {LOOKALIKE_DISTANCE} AND 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(len(a.name), len(b.name)) >= {LOOKALIKE_SHARE}""",
 )
@@ -160,7 +161,8 @@ def i12(spark: SparkSession, sf_dir: str) -> DataFrame:
     A name cut in one piece more than letters may differ keeps one piece whole,
     moved by as many places at most: names meet by such pieces, not all with all.
     """
-    d = pages(spark, sf_dir).where("host <> ''").select(F.split_part("host", F.lit("."), F.lit(1)).alias("name"), "host").distinct()
+    hosts = pages(spark, sf_dir).select("host").unionByName(spark.createDataFrame([(h,) for h in _LOOKALIKES], "host string"))
+    d = hosts.where("host <> ''").select(F.split_part("host", F.lit("."), F.lit(1)).alias("name"), "host").distinct()
     k = LOOKALIKE_DISTANCE + 1
     n = F.length("name")
     cut = lambda i, size: F.floor(size * i / F.lit(float(k))).cast("int")
