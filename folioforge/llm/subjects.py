@@ -258,12 +258,12 @@ def word_statistics(rows: DataFrame, phi: np.ndarray, alpha: np.ndarray) -> np.n
 
 
 def with_labels(corpus: Corpus, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """``corpus.rows`` with ``subjects``: places of the labelled subjects, null without; kept."""
+    """``doc_id, bag, times`` of ``corpus.rows`` with ``subjects``: places of the labelled subjects, null without; kept."""
     place = F.array_position(F.array(*map(F.lit, subjects)), F.col("subject")) - 1 if subjects else F.lit(None).cast("long")
     clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects))
     per_doc = clean.groupBy("doc_id").agg(F.sort_array(F.collect_set(place.cast("int"))).alias("subjects"))
     per_doc = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
-    return keep(corpus.rows.join(per_doc, "doc_id", "left"), "labelled")
+    return keep(corpus.rows.select("doc_id", "bag", "times").join(per_doc, "doc_id", "left"), "labelled")
 
 
 def labelled_counts(rows: DataFrame, v: int, s: int) -> np.ndarray:
@@ -272,16 +272,16 @@ def labelled_counts(rows: DataFrame, v: int, s: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.zeros((s, v))
         for batch in batches:
-            ids, lengths = _columns(batch, "words")
+            ids, lengths = _columns(batch, "bag")
             ends = np.concatenate(([0], np.cumsum(lengths)))
             for i, own in enumerate(batch.column(batch.schema.get_field_index("subjects")).to_pylist()):
-                w = np.unique(ids[ends[i] : ends[i + 1]])
+                w = ids[ends[i] : ends[i + 1]]
                 for x in own:
                     by[x, w] += 1.0 / len(own)
         a, b = np.nonzero(by)
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(by[a, b])], names=["s", "w", "n"])
 
-    got = rows.where("subjects is not null").select("words", "subjects").mapInArrow(run, "s int, w int, n double").groupBy("s", "w").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.where("subjects is not null").select("bag", "subjects").mapInArrow(run, "s int, w int, n double").groupBy("s", "w").agg(F.sum("n").alias("n")).toArrow()
     by = np.zeros((s, v))
     by[got.column("s").to_numpy(), got.column("w").to_numpy()] = got.column("n").to_numpy()
     return by
