@@ -104,7 +104,11 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = f"""{all_blocks_sql()}, sl AS (SELECT page_id, block_ord, {T.sql_sentences("text")} AS l FROM b), sx AS (SELECT page_id, block_ord, l, unnest(range(1, len(l) + 1)) AS i FROM sl),
     s AS (SELECT page_id, block_ord, CAST(i - 1 AS INTEGER) AS n, l[i] AS sentence FROM sx WHERE l[i] <> '')"""
 _FITS = "len(sentence) BETWEEN 20 AND 400"
-FITS = F.length("sentence").between(20, 400)
+
+
+def fits() -> Column:
+    """Sentences of 20 to 400 signs."""
+    return F.length("sentence").between(20, 400)
 
 
 @query(
@@ -115,7 +119,7 @@ FITS = F.length("sentence").between(20, 400)
 def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims dated by the day they were written, with no date of the calendar within 30 signs."""
     low = F.lower("sentence")
-    ok = FITS & (F.size(F.split("sentence", " ")) >= 4) & low.rlike(either(RELATIVE)) & low.rlike(either(CLAIM_VERBS)) & ~low.rlike(_DATED)
+    ok = fits() & (F.size(F.split("sentence", " ")) >= 4) & low.rlike(either(RELATIVE)) & low.rlike(either(CLAIM_VERBS)) & ~low.rlike(_DATED)
     return sentences(spark, sf_dir).where(ok)
 
 
@@ -256,14 +260,14 @@ def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifteen hedges of a page with the sentences before them."""
     w = Window.partitionBy("page_id").orderBy("block_ord", "n")
     q = sentences(spark, sf_dir).withColumn("preceding", F.coalesce(F.lag("sentence").over(w), F.lit("")))
-    h = q.where(FITS & F.lower("sentence").rlike(either(HEDGES))).withColumn("r", F.row_number().over(w))
+    h = q.where(fits() & F.lower("sentence").rlike(either(HEDGES))).withColumn("r", F.row_number().over(w))
     return h.where("r <= 15").drop("r")
 
 
 @query("f12_vague_measures", f"WITH {_S} SELECT page_id, block_ord, n, sentence FROM s WHERE {_FITS} AND NOT regexp_matches(sentence, '[0-9]') AND regexp_matches(lower(sentence), {lit(either(VAGUE))}) AND regexp_matches(lower(sentence), {lit(either(MEASURED))})")
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("sentence")
-    return sentences(spark, sf_dir).where(FITS & ~F.col("sentence").rlike("[0-9]") & low.rlike(either(VAGUE)) & low.rlike(either(MEASURED)))
+    return sentences(spark, sf_dir).where(fits() & ~F.col("sentence").rlike("[0-9]") & low.rlike(either(VAGUE)) & low.rlike(either(MEASURED)))
 
 
 _STEP = r"^(?:step *[0-9]+ *[:.)]?|[0-9]{1,2}[.)]) *[^ ]"
@@ -314,7 +318,7 @@ _QUOTES = r'["“”]'
 def g03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Superlatives with no number, outside quotes, questions and headings."""
     s = F.col("sentence")
-    ok = FITS & ~s.rlike("[0-9]") & ~s.endswith("?") & ~s.rlike(_QUOTES) & F.lower(s).rlike(either(SUPERLATIVES))
+    ok = fits() & ~s.rlike("[0-9]") & ~s.endswith("?") & ~s.rlike(_QUOTES) & F.lower(s).rlike(either(SUPERLATIVES))
     heads = all_pages(spark, sf_dir, "facts").select("page_id", F.explode(html_rows.all_of(F.col("html"), html_rows.HEADING, 2)).alias("t")).select("page_id", F.lower(markup.plain(F.col("t"))).alias("low")).distinct()
     return sentences(spark, sf_dir).where(ok).withColumn("low", F.lower(s)).join(heads, ["page_id", "low"], "left_anti").drop("low")
 
@@ -331,7 +335,7 @@ def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with a number and no link of the page in them."""
     p = all_pages(spark, sf_dir, "facts").select("page_id", F.explode(html_rows.all_of(markup.without_hidden(F.col("html")), _MARKED, 1)).alias("t"))
     labels = p.select("page_id", markup.plain(F.col("t")).alias("label")).where(F.length("label") > 3).groupBy("page_id").agg(F.collect_set("label").alias("labels"))
-    s = sentences(spark, sf_dir).where(FITS & F.col("sentence").rlike("[0-9]")).join(labels, "page_id", "left")
+    s = sentences(spark, sf_dir).where(fits() & F.col("sentence").rlike("[0-9]")).join(labels, "page_id", "left")
     return s.where(~F.exists(F.coalesce("labels", F.array().cast("array<string>")), lambda k: F.contains("sentence", k))).drop("labels")
 
 
