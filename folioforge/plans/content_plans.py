@@ -126,13 +126,16 @@ def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lines and labels
 
 _PAIRS = tuple(rf"(?is)<{a}(?:[ \t\r\n][^>]*)?>((?:[^<]|<[^/])*?)</{a}[ \t\r\n]*>[ \t\r\n]*<{b}(?:[ \t\r\n][^>]*)?>((?:[^<]|<[^/])*?)</{b}[ \t\r\n]*>" for a, b in (("dt", "dd"), ("th", "td")))
+#: The same for Java, which goes one call deeper at each sign of a repeated choice and runs out of stack in cells of some
+#: thousand signs.  A cell ends at the next ``</`` or not at all, so a run that gives nothing back holds the same text.
+_DEEP_PAIRS = tuple(p.replace("((?:[^<]|<[^/])*?)", "((?:[^<]++|<[^/])*+)") for p in _PAIRS)
 
 
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, label, value`` of neighbouring cells and definitions, each once."""
     pages = all_pages(spark, sf_dir, "facts")
     out = None
-    for pattern in _PAIRS:
+    for pattern in _DEEP_PAIRS:
         two = F.arrays_zip(html_rows.all_of(F.col("html"), pattern, 1).alias("a"), html_rows.all_of(F.col("html"), pattern, 2).alias("b"))
         rows = pages.select("page_id", F.explode(two).alias("x")).select("page_id", markup.plain(F.col("x.a")).alias("label"), markup.plain(F.col("x.b")).alias("value"))
         out = rows if out is None else out.unionByName(rows)
