@@ -188,6 +188,8 @@ def f03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LIST = r"^[ \t]*([A-Za-z][A-Za-z0-9 /()-]{2,40}?): *(-?[0-9]+(?:\.[0-9]+)?(?: *, *-?[0-9]+(?:\.[0-9]+)?){2,}) *$"
+#: The same for Java, in a list of any length; a number ends before the next comma or the end, so nothing need be given back.
+_DEEP_LIST = _LIST.replace("){2,})", "){2,}+)")
 _MEAN = r"(?:^|[^a-z])(?:average|avg|mean)(?:[^a-z0-9-][^.\n]{0,40}?)?(-?[0-9]+(?:\.[0-9]+)?)"
 
 
@@ -200,8 +202,8 @@ _MEAN = r"(?:^|[^a-z])(?:average|avg|mean)(?:[^a-z0-9-][^.\n]{0,40}?)?(-?[0-9]+(
 )
 def f04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages that a page claims and its own list of numbers does not give."""
-    numbers = F.transform(F.split(F.regexp_extract("line", _LIST, 2), ","), lambda v: F.trim(v).cast("double"))
-    li = lines(spark, sf_dir).where(F.col("line").rlike(_LIST)).select("page_id", F.trim(F.regexp_extract("line", _LIST, 1)).alias("label"), numbers.alias("v"))
+    numbers = F.transform(F.split(F.regexp_extract("line", _DEEP_LIST, 2), ","), lambda v: F.trim(v).cast("double"))
+    li = lines(spark, sf_dir).where(F.col("line").rlike(_DEEP_LIST)).select("page_id", F.trim(F.regexp_extract("line", _DEEP_LIST, 1)).alias("label"), numbers.alias("v"))
     low = F.lower("sentence")
     cl = sentences(spark, sf_dir).where(low.rlike(_MEAN) & ~low.rlike(either(WEIGHTINGS))).select("page_id", "sentence", F.regexp_extract(low, _MEAN, 1).cast("double").alias("claimed")).distinct()
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))

@@ -30,12 +30,13 @@ def long_dir(data_dir, tmp_path_factory):
         con.execute("INSERT INTO p VALUES (?, ?, ?)", [900_000_001 + k, f"https://long.example/rooms/{k}10-a", html])
     con.execute("CREATE TABLE b (page_id BIGINT, block_ord INTEGER, text VARCHAR, word_count INTEGER)")
     con.execute("INSERT INTO b SELECT page_id, 0, 'The average of the rooms is 9.', 6 FROM p")
+    con.execute(f"INSERT INTO b SELECT page_id, 1, 'Rooms: ' || array_to_string(list_transform(range({LONG}), lambda i: i % 7 + 1), ', '), {LONG} + 1 FROM p")
     for name, more in (("pages_in", "p"), ("blocks_in", "b")):
         con.execute(f"COPY (SELECT * FROM read_parquet('{data_dir}/{name}.parquet') UNION ALL BY NAME SELECT * FROM {more}) TO '{out}/{name}.parquet' (FORMAT parquet)")
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["d22_labelled_facts"])
+@pytest.mark.parametrize("name", ["d22_labelled_facts", "f04_computed_stat"])
 def test_long_texts(spark, long_dir, name, tmp_path):
     con = duckdb.connect()
     for f in os.listdir(long_dir):
