@@ -36,7 +36,7 @@ def long_dir(data_dir, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["d22_labelled_facts", "f04_computed_stat", "f09_fact_collisions", "m15_page_audits", "f05_label_lines", "m14_site_audits"])
+@pytest.mark.parametrize("name", ["d22_labelled_facts", "f04_computed_stat", "f09_fact_collisions", "m15_page_audits", "f05_label_lines", "m14_site_audits", "f03_scope_ambiguous"])
 def test_long_texts(spark, long_dir, name, tmp_path):
     con = duckdb.connect()
     for f in os.listdir(long_dir):
