@@ -6,9 +6,9 @@ from the projected database of its prefix: every later frequent line of the
 pages that hold the prefix may extend it, whatever stands between, until no
 pattern is left to grow.  A pattern is frequent on at least ``LEAST_PAGES`` pages of its site and on
 one in ``ONE_IN`` of the site's pages that have blocks.  The blocks to delete are
-all occurrences of frequent patterns, single lines included; as each line of a
-frequent sequence is itself frequent on the same pages, these are the blocks of
-the frequent single lines.
+all occurrences of the lines of frequent patterns, single lines included: all
+patterns are grown, those with equal projected databases as one, and the last
+line of each is marked.
 
 Hosts are mined side by side, a large host by the first line of its patterns; a
 projected database is a set of bits, one a page.  All frequent sequences are
@@ -64,11 +64,16 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
 
 
 def find_repeated(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``page_id, block_ord`` of the blocks that hold a frequent line."""
+    """``page_id, block_ord`` of the blocks that hold a line of a frequent sequence, mined whole."""
     rows, _ = line_rows(pages, blocks)
     rows = keep(rows, "lines")
-    lines = frequent_lines(rows)
-    return rows.join(lines.select("host", "line"), ["host", "line"], "left_semi").select("page_id", "block_ord")
+    lines = sequence_lines(rows)
+    return rows.join(lines, ["host", "line"], "left_semi").select("page_id", "block_ord")
+
+
+def sequence_lines(rows: DataFrame) -> DataFrame:
+    """``host, line`` of the frequent sequences, each marked by its last line; a line inside a sequence ends its beginning, which is frequent too."""
+    return _projected(rows).mapInArrow(_mark_groups, "host string, line long").distinct()
 
 
 def hash_long(values: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
@@ -116,12 +121,17 @@ class _Projection:
                 self.step[r, k, c[k]] = k + 1
 
 
-def grow(pages: list[np.ndarray], first: int | None, need: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+def grow(pages: list[np.ndarray], first: int | None, need: int, merge: bool = False) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(pattern, length, support, pattern without its last line, last line) of all sequences on at least ``need`` of ``pages``, any lines between allowed.
 
     ``first``: only those that begin with this line.  Prefixes are grown until
     none is left, depth first in blocks, so memory does not grow with the patterns.
+
+    ``merge``: of prefixes with one last line and one projected database (told by a
+    hash of 64 bits), whose continuations are the same, only the first is given and
+    grown; memory then holds a number for each that differs.
     """
+    seen: set[int] = set()
     x = _Projection(pages)
     rows = np.arange(len(x.step))
     words = x.after.shape[-1]
@@ -147,34 +157,54 @@ def grow(pages: list[np.ndarray], first: int | None, need: int) -> Iterator[tupl
             to = x.step[rows[None, :], where]
             support += (to != x.dead).sum(1)
         i, b = np.nonzero(support >= need)
+        if merge and len(i):
+            state = hash_long(b.astype(np.uint64), _SEED)
+            for part in (held[i, b].T, to[i, :, b].T if len(rows) else ()):
+                for word in part:
+                    state = hash_long(word.astype(np.uint64), state)
+            state, at = np.unique(state, return_index=True)
+            new = [k for k, v in zip(at.tolist(), state.tolist()) if v not in seen]
+            seen.update(state.tolist())
+            i, b = i[new], b[new]
         if len(i):
             longer = hash_long(keys[b], hash_long(pattern[i], _SEED))
             yield longer, length + 1, support[i, b], pattern[i], keys[b]
             stack.append((length + 1, b, held[i, b], to[i, :, b] if len(rows) else where[i], longer))
 
 
-def _grow_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Patterns of each run of rows with one ``host, first``."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int | None, int, list[np.ndarray]]]:
+    """(host, first, need, pages) of each run of rows with one ``host, first``."""
     key, need, pages = None, 0, []
+    for batch in batches:
+        hosts, firsts, needs = (batch.column(i).to_pylist() for i in range(3))
+        for k in range(batch.num_rows):
+            if (hosts[k], firsts[k]) != key:
+                if pages:
+                    yield *key, need, pages
+                key, need, pages = (hosts[k], firsts[k]), needs[k], []
+            pages.append(batch.column(3)[k].values.to_numpy())
+    if pages:
+        yield *key, need, pages
+
 
-    def found() -> Iterator[pa.RecordBatch]:
-        for pattern, length, support, prefix, last in grow(pages, key[1], need) if pages else ():
+def _grow_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Patterns of each group."""
+    for host, first, need, pages in _groups(batches):
+        for pattern, length, support, prefix, last in grow(pages, first, need):
             for lo in range(0, len(pattern), OUT_ROWS):
                 part = pattern[lo : lo + OUT_ROWS]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(key[0], pa.string()), len(part)), pa.array(part.view(np.int64)), pa.repeat(pa.scalar(length, pa.int32()), len(part)), pa.array(support[lo : lo + OUT_ROWS]),
+                    [pa.repeat(pa.scalar(host, pa.string()), len(part)), pa.array(part.view(np.int64)), pa.repeat(pa.scalar(length, pa.int32()), len(part)), pa.array(support[lo : lo + OUT_ROWS]),
                      pa.array(prefix[lo : lo + OUT_ROWS].view(np.int64)), pa.array(last[lo : lo + OUT_ROWS].view(np.int64))],
                     names=["host", "pattern", "length", "support", "prefix", "line"],
                 )
 
-    for batch in batches:
-        hosts, firsts, needs = (batch.column(i).to_pylist() for i in range(3))
-        for k in range(batch.num_rows):
-            if (hosts[k], firsts[k]) != key:
-                yield from found()
-                key, need, pages = (hosts[k], firsts[k]), needs[k], []
-            pages.append(batch.column(3)[k].values.to_numpy())
-    yield from found()
+
+def _mark_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last lines of each group's patterns; equal projected databases are grown once."""
+    for host, first, need, pages in _groups(batches):
+        lines = np.unique(np.concatenate([last for *_, last in grow(pages, first, need, merge=True)])).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(host, pa.string()), len(lines)), pa.array(lines)], names=["host", "line"])
 
 
 def sequences(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -185,7 +215,11 @@ def sequences(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     back line by line; :func:`line_texts` gives their texts.
     """
     rows, _ = line_rows(pages, blocks)
-    rows = keep(rows, "lines")
+    return _projected(keep(rows, "lines")).mapInArrow(_grow_groups, "host string, pattern long, length int, support long, prefix long, line long")
+
+
+def _projected(rows: DataFrame) -> DataFrame:
+    """``host, first, need, seq``: the frequent lines of each page in order, groups that are mined together side by side."""
     single = keep(frequent_lines(rows), "frequent")
     need = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") / ONE_IN)).cast("int").alias("need")
     pair = F.array_sort(F.collect_list(F.struct("block_ord", "line")))
@@ -198,10 +232,9 @@ def sequences(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     firsts = F.when(F.col("pages") > WHOLE_PAGES, F.array_distinct("seq")).otherwise(F.array(F.lit(None).cast("long")))
     left = F.expr("CASE WHEN first IS NULL THEN seq ELSE slice(seq, CAST(array_position(seq, first) AS INT), size(seq)) END")
     cut = seqs.withColumn("first", F.explode(firsts)).select("host", "first", "need", left.alias("seq"))
-    spark = pages.sparkSession
+    spark = rows.sparkSession
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = cut.repartition(parts, "host", "first").sortWithinPartitions("host", "first")
-    return cut.mapInArrow(_grow_groups, "host string, pattern long, length int, support long, prefix long, line long")
+    return cut.repartition(parts, "host", "first").sortWithinPartitions("host", "first")
 
 
 def line_texts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
