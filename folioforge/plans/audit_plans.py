@@ -16,6 +16,7 @@ from folioforge.functions.urls import page_host, registrable_domain, resolve, ur
 from folioforge.operators import html_rows, perimeter
 from folioforge.plans.examples import all_pages, all_pages_sql
 from folioforge.plans.shared import SITE, A, Query, artifacts
+from folioforge.sources import once
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -81,26 +82,30 @@ def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     A label wraps its field or names its id, in either order; ``aria-label`` and
     an ``aria-labelledby`` that names an id on the page count too.
     """
-    tokens = html_rows.all_of(F.col("html"), _FORM_TOKENS, 0)
-    p = all_pages(spark, sf_dir, "forms").select("page_id", tokens.alias("tk"), html_rows.all_of(F.col("html"), r"""(?is)[ \t\r\n]id[ \t\r\n]*=[ \t\r\n]*["']([^"']+)["']""", 1).alias("ids"))
-    is_label = lambda t: F.lower(F.left(t, F.lit(6))) == "<label"
-    is_end = lambda t: F.left(t, F.lit(2)) == "</"
-    fors = F.transform(F.filter("tk", is_label), lambda t: attr(t, "for"))
-    p = p.where(F.size("tk") > 0).dropDuplicates(["page_id"]).withColumn("fors", fors)
-    rows = p.select("page_id", "fors", "ids", "tk", F.posexplode("tk").alias("ord", "t"))
-    before = F.slice("tk", 1, F.col("ord"))
-    depth = F.size(F.filter(before, is_label)) - F.size(F.filter(before, is_end))
-    t = F.col("t")
-    tag = F.lower(F.regexp_extract(t, "^<([A-Za-z]+)", 1))
-    kind = F.when(tag == "input", F.coalesce(F.nullif(F.lower(F.trim(attr(t, "type"))), F.lit("")), F.lit("text"))).otherwise(tag)
-    rows = rows.withColumns({"tag": tag, "kind": kind, "depth": depth}).where(F.col("tag").isin("input", "select", "textarea") & ~F.col("kind").isin(*_NO_LABEL))
-    out_of_sight = (
-        has(t, "hidden") | has(t, "disabled") | ((F.col("kind") == "range") & has(t, "readonly")) | (F.lower(F.trim(attr(t, "aria-hidden"))) == "true")
-        | F.arrays_overlap(F.split(attr(t, "class"), " "), F.array(F.lit("hidden"), F.lit("d-none"))) | attr(t, "style").rlike(r"(?i)display[ \t]*:[ \t]*none")
-    )
-    by_id = (attr(t, "id") != "") & F.array_contains("fors", attr(t, "id"))
-    by_text = (F.trim(attr(t, "aria-label")) != "") | F.arrays_overlap(F.filter(F.split(attr(t, "aria-labelledby"), " "), lambda i: i != ""), F.col("ids"))
-    return rows.where(~out_of_sight).select("page_id", F.col("ord").cast("long").alias("ord"), "kind", ((F.col("depth") > 0) | by_id | by_text).alias("labelled"))
+
+    def made() -> DataFrame:
+        tokens = html_rows.all_of(F.col("html"), _FORM_TOKENS, 0)
+        p = all_pages(spark, sf_dir, "forms").select("page_id", tokens.alias("tk"), html_rows.all_of(F.col("html"), r"""(?is)[ \t\r\n]id[ \t\r\n]*=[ \t\r\n]*["']([^"']+)["']""", 1).alias("ids"))
+        is_label = lambda t: F.lower(F.left(t, F.lit(6))) == "<label"
+        is_end = lambda t: F.left(t, F.lit(2)) == "</"
+        fors = F.transform(F.filter("tk", is_label), lambda t: attr(t, "for"))
+        p = p.where(F.size("tk") > 0).dropDuplicates(["page_id"]).withColumn("fors", fors)
+        rows = p.select("page_id", "fors", "ids", "tk", F.posexplode("tk").alias("ord", "t"))
+        before = F.slice("tk", 1, F.col("ord"))
+        depth = F.size(F.filter(before, is_label)) - F.size(F.filter(before, is_end))
+        t = F.col("t")
+        tag = F.lower(F.regexp_extract(t, "^<([A-Za-z]+)", 1))
+        kind = F.when(tag == "input", F.coalesce(F.nullif(F.lower(F.trim(attr(t, "type"))), F.lit("")), F.lit("text"))).otherwise(tag)
+        rows = rows.withColumns({"tag": tag, "kind": kind, "depth": depth}).where(F.col("tag").isin("input", "select", "textarea") & ~F.col("kind").isin(*_NO_LABEL))
+        out_of_sight = (
+            has(t, "hidden") | has(t, "disabled") | ((F.col("kind") == "range") & has(t, "readonly")) | (F.lower(F.trim(attr(t, "aria-hidden"))) == "true")
+            | F.arrays_overlap(F.split(attr(t, "class"), " "), F.array(F.lit("hidden"), F.lit("d-none"))) | attr(t, "style").rlike(r"(?i)display[ \t]*:[ \t]*none")
+        )
+        by_id = (attr(t, "id") != "") & F.array_contains("fors", attr(t, "id"))
+        by_text = (F.trim(attr(t, "aria-label")) != "") | F.arrays_overlap(F.filter(F.split(attr(t, "aria-labelledby"), " "), lambda i: i != ""), F.col("ids"))
+        return rows.where(~out_of_sight).select("page_id", F.col("ord").cast("long").alias("ord"), "kind", ((F.col("depth") > 0) | by_id | by_text).alias("labelled"))
+
+    return once("form_fields", made)
 
 
 _ISL, _ISE = "lower(left({0}, 6)) = '<label'", "left({0}, 2) = '</'"
@@ -229,10 +234,14 @@ def e16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchors(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     """``page_id, page_url, host, ord, href, url, label`` of the anchors of all pages; ``url`` is null for other schemes."""
-    p = all_pages(spark, sf_dir, family).select("page_id", "page_url", "host", markup.without_hidden(F.col("html")).alias("html"))
-    two = F.arrays_zip(html_rows.all_of(F.col("html"), html_rows.ANCHOR, 1).alias("href"), html_rows.all_of(F.col("html"), html_rows.ANCHOR, 2).alias("inner"))
-    rows = p.select("page_id", "page_url", "host", F.posexplode(two).alias("ord", "a")).dropDuplicates(["page_id", "ord"])
-    return rows.select("page_id", "page_url", "host", "ord", F.trim("a.href").alias("href"), resolve(F.col("a.href"), F.col("page_url")).alias("url"), markup.plain(F.col("a.inner")).alias("label"))
+
+    def made() -> DataFrame:
+        p = all_pages(spark, sf_dir, family).select("page_id", "page_url", "host", markup.without_hidden(F.col("html")).alias("html"))
+        two = F.arrays_zip(html_rows.all_of(F.col("html"), html_rows.ANCHOR, 1).alias("href"), html_rows.all_of(F.col("html"), html_rows.ANCHOR, 2).alias("inner"))
+        rows = p.select("page_id", "page_url", "host", F.posexplode(two).alias("ord", "a")).dropDuplicates(["page_id", "ord"])
+        return rows.select("page_id", "page_url", "host", "ord", F.trim("a.href").alias("href"), resolve(F.col("a.href"), F.col("page_url")).alias("url"), markup.plain(F.col("a.inner")).alias("label"))
+
+    return once(f"anchors_{family}", made)
 
 
 def anchors_sql(family: str) -> str:
@@ -453,7 +462,7 @@ def k08(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.arrays_zip(html_rows.all_of(F.col("t"), _NUMBER_AND_BEFORE, 1).alias("before"), html_rows.all_of(F.col("t"), _NUMBER_AND_BEFORE, 2).alias("raw"))
     n = s.select("page_id", F.explode(two).alias("x")).where(~F.col("x.before").rlike(_TRACKING)).select("page_id", F.concat(F.lit("+"), F.regexp_replace("x.raw", "[^0-9]", "")).alias("phone"))
     n = n.where(F.length("phone").between(8, 16)).distinct()
-    seen = p.select("page_id", signals.phones(markup.visible_text(F.col("html"))).alias("vis")).dropDuplicates(["page_id"])
+    seen = p.where(F.col("html").rlike(signals.PHONE)).select("page_id", signals.phones(markup.visible_text(F.col("html"))).alias("vis")).dropDuplicates(["page_id"])
     return n.join(seen, "page_id").where(~F.array_contains("vis", F.col("phone"))).select("page_id", "phone")
 
 
@@ -575,9 +584,10 @@ def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
     modified = F.try_to_timestamp(F.substring(F.get(entries, F.lit(0))["value"], 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
     p = all_pages(spark, sf_dir, "freshness").withColumn("modified", modified).where("modified is not null")
     said = F.coalesce(F.nullif(F.regexp_extract(markup.visible_text(F.col("html")), _CLAIM, 1), F.lit("")), F.nullif(F.regexp_extract("html", _MODIFIED, 1), F.lit("")))
-    v = F.trim(F.replace(said, F.lit(","), F.lit("")))
+    p = p.select("page_id", "fetched_at", "modified", F.trim(F.replace(said, F.lit(","), F.lit(""))).alias("claimed"))
+    v = F.col("claimed")
     iso = v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
-    p = p.select("page_id", "fetched_at", "modified", v.alias("claimed"), F.when(iso, F.left(v, F.lit(10))).otherwise(v).alias("d")).dropDuplicates(["page_id"])
+    p = p.select("page_id", "fetched_at", "modified", "claimed", F.when(iso, F.left(v, F.lit(10))).otherwise(v).alias("d")).dropDuplicates(["page_id"])
     z = p.withColumn("newer_days", F.datediff(signals.parse_claimed_date(F.col("d")), F.to_date("modified")).cast("long"))
     apart = F.col("fetched_at").isNull() | (F.abs(F.unix_timestamp("fetched_at") - F.unix_timestamp("modified")) >= 3600)
     return z.where((F.col("newer_days") >= 30) & apart).select("page_id", "claimed", "newer_days")

@@ -18,6 +18,7 @@ from folioforge.plans.audit_plans import anchors, anchors_sql
 from folioforge.plans.examples import all_blocks, all_blocks_sql, all_pages, all_pages_sql
 from folioforge.plans.html_plans import _KEY
 from folioforge.plans.shared import SITE, Query
+from folioforge.sources import once
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -98,7 +99,11 @@ _DATED = rf"{_REL}.{{0,30}}{_ABSOLUTE}|{_ABSOLUTE}.{{0,30}}{_REL}"
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, block_ord, n, sentence``."""
-    return all_blocks(spark, sf_dir).select("page_id", "block_ord", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence")).where("sentence <> ''")
+
+    def made() -> DataFrame:
+        return all_blocks(spark, sf_dir).select("page_id", "block_ord", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence")).where("sentence <> ''")
+
+    return once("sentences", made)
 
 
 _S = f"""{all_blocks_sql()}, sl AS (SELECT page_id, block_ord, {T.sql_sentences("text")} AS l FROM b), sx AS (SELECT page_id, block_ord, l, unnest(range(1, len(l) + 1)) AS i FROM sl),
@@ -133,13 +138,17 @@ _DEEP_PAIRS = tuple(p.replace("((?:[^<]|<[^/])*?)", "((?:[^<]++|<[^/])*+)") for
 
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, label, value`` of neighbouring cells and definitions, each once."""
-    pages = all_pages(spark, sf_dir, "facts")
-    out = None
-    for pattern in _DEEP_PAIRS:
-        two = F.arrays_zip(html_rows.all_of(F.col("html"), pattern, 1).alias("a"), html_rows.all_of(F.col("html"), pattern, 2).alias("b"))
-        rows = pages.select("page_id", F.explode(two).alias("x")).select("page_id", markup.plain(F.col("x.a")).alias("label"), markup.plain(F.col("x.b")).alias("value"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.where("label <> '' and value <> ''").distinct()
+
+    def made() -> DataFrame:
+        pages = all_pages(spark, sf_dir, "facts")
+        out = None
+        for pattern in _DEEP_PAIRS:
+            two = F.arrays_zip(html_rows.all_of(F.col("html"), pattern, 1).alias("a"), html_rows.all_of(F.col("html"), pattern, 2).alias("b"))
+            rows = pages.select("page_id", F.explode(two).alias("x")).select("page_id", markup.plain(F.col("x.a")).alias("label"), markup.plain(F.col("x.b")).alias("value"))
+            out = rows if out is None else out.unionByName(rows)
+        return out.where("label <> '' and value <> ''").distinct()
+
+    return once("labelled_pairs", made)
 
 
 _PAIR_ROWS = f"""{all_pages_sql("facts")}, pz AS ({" UNION ALL ".join(f"SELECT page_id, unnest(regexp_extract_all(html, {lit(p)}, 1)) AS a, unnest(regexp_extract_all(html, {lit(p)}, 2)) AS v FROM x" for p in _PAIRS)}),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.html_blocks import extract_blocks
 from folioforge.functions.urls import page_host
 from folioforge.plans.shared import SITE
-from folioforge.sources import table
+from folioforge.sources import once, table
 
 _WORDS = " ".join(f"river{i % 7} stone{i % 5} lantern" for i in range(180))
 _LD = '<script type="application/ld+json">'
@@ -138,8 +138,12 @@ def _example_blocks(family: str) -> list[tuple[int, int, str, int]]:
 
 def all_blocks(spark: SparkSession, sf_dir: str, family: str = "facts") -> DataFrame:
     """``page_id, block_ord, text, word_count`` of all blocks and of the examples of a family, each once."""
-    own = table(spark, sf_dir, "blocks_in").select("page_id", "block_ord", "text", "word_count").dropDuplicates(["page_id", "block_ord"])
-    return own.unionByName(spark.createDataFrame(_example_blocks(family), "page_id long, block_ord int, text string, word_count int")).where("text is not null")
+
+    def made() -> DataFrame:
+        own = table(spark, sf_dir, "blocks_in").select("page_id", "block_ord", "text", "word_count").dropDuplicates(["page_id", "block_ord"])
+        return own.unionByName(spark.createDataFrame(_example_blocks(family), "page_id long, block_ord int, text string, word_count int")).where("text is not null")
+
+    return once(f"blocks_{family}", made)
 
 
 def all_blocks_sql(family: str = "facts") -> str:

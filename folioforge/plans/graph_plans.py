@@ -15,6 +15,7 @@ from folioforge.operators import html_rows
 from folioforge.operators.graph import connected_components
 from folioforge.plans.examples import all_pages, all_pages_sql
 from folioforge.plans.shared import Query
+from folioforge.sources import once
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -66,15 +67,19 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, page_url, host, idx, id, types, node`` of all objects, in page order."""
-    df = blocks(spark, sf_dir).where("v is not null").select("page_id", "page_url", "host", "ord", "v")
-    for k in range(3):
-        df = df.select("page_id", "page_url", "host", "ord", *(f"o{i}" for i in range(k)), F.posexplode(_opened("v")).alias(f"o{k}", "v"))
-    order = Window.partitionBy("page_id").orderBy("ord", "o0", "o1", "o2")  # a page bounds it
-    df = df.where(_is(F.col("v"), "OBJECT")).withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
-    listed = F.try_variant_get("v", '$["@type"]', "array<variant>")
-    names = F.transform(F.filter(listed, lambda t: _is(t, "STRING")), lambda t: F.try_variant_get(t, "$", "string"))
-    types = F.coalesce(names, F.array_compact(F.array(_text("v", "@type"))))
-    return df.select("page_id", "page_url", "host", "idx", _text("v", "@id").alias("id"), types.alias("types"), F.col("v").alias("node"))
+
+    def made() -> DataFrame:
+        df = blocks(spark, sf_dir).where("v is not null").select("page_id", "page_url", "host", "ord", "v")
+        for k in range(3):
+            df = df.select("page_id", "page_url", "host", "ord", *(f"o{i}" for i in range(k)), F.posexplode(_opened("v")).alias(f"o{k}", "v"))
+        order = Window.partitionBy("page_id").orderBy("ord", "o0", "o1", "o2")  # a page bounds it
+        df = df.where(_is(F.col("v"), "OBJECT")).withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+        listed = F.try_variant_get("v", '$["@type"]', "array<variant>")
+        names = F.transform(F.filter(listed, lambda t: _is(t, "STRING")), lambda t: F.try_variant_get(t, "$", "string"))
+        types = F.coalesce(names, F.array_compact(F.array(_text("v", "@type"))))
+        return df.select("page_id", "page_url", "host", "idx", _text("v", "@id").alias("id"), types.alias("types"), F.col("v").alias("node"))
+
+    return once("nodes", made)
 
 
 def _text(c: str, key: str) -> Column:

@@ -5,6 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future
+from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +56,36 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHARED: ContextVar[tuple[Lock, dict[str, Future]] | None] = ContextVar("shared", default=None)
+
+
+@contextmanager
+def sharing() -> Iterator[None]:
+    """Within it, and in copies of its context in other threads, what :func:`once` names is kept and made once."""
+    before = _SHARED.set((Lock(), {}))
+    try:
+        yield
+    finally:
+        _SHARED.reset(before)
+
+
+def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``; within :func:`sharing` the table kept as ``name``, which the first caller makes and others wait for."""
+    held = _SHARED.get()
+    if held is None:
+        return make()
+    lock, made = held
+    with lock:
+        first = name not in made
+        future = made.setdefault(name, Future())
+    if first:
+        try:
+            future.set_result(keep(make(), name))
+        except BaseException as e:
+            future.set_exception(e)
+    return future.result()
+
+
 def forget(spark: SparkSession) -> int:
     """Delete the tables kept by this process so far, once their results are
     written; the number of tables deleted."""
