@@ -7,7 +7,7 @@ from folioforge.plans.crawl_plans import CHECKS
 from folioforge.sources import tables
 
 
-@pytest.mark.parametrize("name", ["m15_page_audits"])
+@pytest.mark.parametrize("name", ["m15_page_audits", "m14_site_audits"])
 def test_audit_plan_is_small(spark, data_dir, name, monkeypatch):
     made = []
     keep = tables.keep
