@@ -20,6 +20,9 @@ REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("
 
 COMMENT = r"(?s)<!--.*?-->"
 TAG = r"<[^>]*>"
+#: The same for Java, to be replaced by ``$1``: a ``<`` that nothing closes is found once and kept with all that follows, else each
+#: such ``<`` looks for its ``>`` up to the end and the time grows with the square of the text.
+_TAG_ONCE = r"<[^>]*+>|(<[^>]*+\z)"
 BREAK = r"(?i)</?(?:" + "|".join(BREAKING) + r")(?:[ \t\r\n/][^>]*)?>"
 SPACES = r"[ \t\r\n\f]+"
 
@@ -37,9 +40,13 @@ def without_hidden(html: Column) -> Column:
     return c
 
 
+def without_tags(c: Column) -> Column:
+    return F.regexp_replace(c, _TAG_ONCE, "$1")
+
+
 def plain(fragment: Column) -> Column:
     """Text of a fragment: no tags, the usual references, white space collapsed."""
-    c = F.regexp_replace(fragment, TAG, "")
+    c = without_tags(fragment)
     for a, b in REFERENCES:
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(c, SPACES, " "))
@@ -51,7 +58,7 @@ def visible_text(html: Column, raw: bool = False) -> Column:
     if not raw:
         c = F.regexp_replace(c, SPACES, " ")
     c = F.regexp_replace(c, BREAK, "\n")
-    c = F.regexp_replace(c, TAG, "")
+    c = without_tags(c)
     for a, b in REFERENCES:
         c = F.replace(c, F.lit(a), F.lit(b))
     c = F.regexp_replace(c, r"[ \t\r\f]+", " ")

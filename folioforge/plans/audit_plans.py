@@ -342,7 +342,7 @@ def anchor_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = markup.without_hidden(F.col("html"))
     c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[\u0001-\u0004]", ""), _CHROME_OPEN, "\u0002"), _CHROME_SHUT, "\u0003")
     c = F.regexp_replace(F.regexp_replace(c, _A_OPEN, "\u0001$1\u0004"), markup.BREAK, " ")
-    c = F.regexp_replace(F.regexp_replace(c, markup.TAG, ""), markup.SPACES, " ")
+    c = F.regexp_replace(markup.without_tags(c), markup.SPACES, " ")
     p = all_pages(spark, sf_dir, "citations").select("page_id", "host", "page_url", F.split(c, "\u0001").alias("parts")).dropDuplicates(["page_id"])
     rows = p.select("page_id", "host", "page_url", F.posexplode("parts").alias("ord", "part"))
     text = F.regexp_replace("part", "^[^\u0004]*\u0004", "")
