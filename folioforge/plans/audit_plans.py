@@ -421,6 +421,10 @@ def k07_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STYLED = r"""(?is)<[a-z][a-z0-9]*[ \t\r\n][^>]*style[ \t\r\n]*=[^>]*>"""
+#: The same for Java in two steps, the start tags and those with a style: of several ``<`` before one ``>`` the first has the
+#: style if any has, so the others need not be tried, each up to the ``>``.
+_START_TAG = r"(?is)<[a-z][a-z0-9]*[ \t\r\n][^>]*+(?:>|\z)"
+_STYLED_TAG = _STYLED.replace("(?is)", "(?is)^")
 _WIDTH = r"(?i)(?:^|;)[ \t]*width[ \t]*:[ \t]*([0-9]+(?:\.[0-9]+)?)px"
 _FITS = r"(?i)max-width[ \t]*:[ \t]*100%"
 
@@ -428,7 +432,9 @@ _FITS = r"(?i)max-width[ \t]*:[ \t]*100%"
 @query("h04_fixed_widths", f"WITH {all_pages_sql('media')}, {sql_found('st', _STYLED)}, w AS (SELECT page_id, TRY_CAST(nullif(regexp_extract({sql_attr('t', 'style')}, {lit(_WIDTH)}, 1), '') AS DOUBLE) AS px, regexp_matches({sql_attr('t', 'style')}, {lit(_FITS)}) AS fits FROM st) SELECT page_id, count(*) AS boxes, max(px) AS widest FROM w WHERE px > 480 AND NOT fits GROUP BY page_id")
 def h04(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = attr(F.col("t"), "style")
-    w = found(all_pages(spark, sf_dir, "media"), _STYLED).select("page_id", F.regexp_extract(style, _WIDTH, 1).try_cast("double").alias("px"), style.rlike(_FITS).alias("fits"))
+    tags = F.filter(html_rows.all_of(F.col("html"), _START_TAG, 0), lambda t: t.rlike(_STYLED_TAG))
+    st = all_pages(spark, sf_dir, "media").select("page_id", F.posexplode(tags).alias("ord", "t")).dropDuplicates(["page_id", "ord"])
+    w = st.select("page_id", F.regexp_extract(style, _WIDTH, 1).try_cast("double").alias("px"), style.rlike(_FITS).alias("fits"))
     return w.where("px > 480 and not fits").groupBy("page_id").agg(F.count("*").alias("boxes"), F.max("px").alias("widest"))
 
 

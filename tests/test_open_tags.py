@@ -31,7 +31,7 @@ def open_dir(data_dir, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["f09_fact_collisions", "f05_label_lines", "f03_scope_ambiguous"])
+@pytest.mark.parametrize("name", ["f09_fact_collisions", "f05_label_lines", "f03_scope_ambiguous", "h04_fixed_widths"])
 def test_open_tags(spark, open_dir, name, tmp_path):
     con = duckdb.connect()
     for f in os.listdir(open_dir):
